@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textguard.functions.text import MARK
+from textguard.functions.text import MARK, quoted
 
 MATCH_TYPE = "array<struct<start:int,n:int,end:int,value:string>>"
 _BLOCK = 64
 
 
-def marked_parts(text: Column, java: str) -> Column:
-    """The text split around the matches; odd positions are the matches."""
-    return F.split(F.regexp_replace(text, F.lit(java), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+def marked_parts(text: str, java: str) -> str:
+    """SQL for the text split around the matches; odd parts are the matches."""
+    marked = f"regexp_replace({text}, {quoted(java)}, {quoted(f'{MARK}$0{MARK}')})"
+    return f"split({marked}, {quoted(MARK)}, -1)"
 
 
 def _running(lengths: Column, first: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,22 +61,29 @@ def literals_in(fold: Column, words: Iterable[str]) -> Column:
     return F.array_join(F.array_distinct(found), " ")
 
 
-def gate_condition(gate: Gate, fold: Column, words: Column, skeleton: Column) -> Column | None:
-    """Condition every text with a match fulfils, or None when there is none.
+def quoted(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``words`` holds the literals of two or more characters present in the text,
-    or the folded text itself.
+
+def gate_condition(gate: Gate, fold: str, words: str, skeleton: str) -> str:
+    """SQL condition every text with a match fulfils, empty when there is none.
+
+    ``words`` names the column of literals of two or more characters present in
+    the text, or the folded text itself. Conditions are written as SQL text: the
+    catalogue has some thousand of them, and one parse is far cheaper than as
+    many calls into the JVM.
     """
     tests = [
-        reduce(lambda a, b: a | b, [(words if len(w) > 1 else fold).contains(w) for w in group])
+        "(" + " OR ".join(f"contains({words if len(w) > 1 else fold}, {quoted(w)})" for w in group) + ")"
         for group in gate.words
     ]
     if gate.digits:
-        tests.append(skeleton.rlike(gate.digits))
+        tests.append(f"rlike({skeleton}, {quoted(gate.digits)})")
     if gate.alternatives:
         ways = [gate_condition(a, fold, words, skeleton) for a in gate.alternatives]
-        tests.append(reduce(lambda a, b: a | b, ways))
-    return reduce(lambda a, b: a & b, tests) if tests else None
+        tests.append("(" + " OR ".join(f"({w})" for w in ways) + ")")
+    return " AND ".join(tests)
 
 
 def cut(value: Column, n: int) -> Column:

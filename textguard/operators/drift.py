@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.operators.skew import salted_join
+
 # Bins, weight floor, level thresholds and history length.
 BINS = 10
 FLOOR = 0.0001
@@ -28,10 +30,9 @@ def baseline(df: DataFrame, feature: str = "feature", value: str = "value", bins
             "width": F.when(F.col("width") == 0, 1.0 / bins).otherwise(F.col("width")),
         }
     )
+    values = df.where(v.isNotNull()).select(F.col(feature).alias("feature"), v.alias("v"))
     placed = (
-        df.where(v.isNotNull())
-        .select(F.col(feature).alias("feature"), v.alias("v"))
-        .join(ruled.select("feature", "low", "width"), "feature")
+        salted_join(values, ruled.select("feature", "low", "width"), "feature", "v")
         .withColumn("bin", ((F.col("v") - F.col("low")) / F.col("width")).cast("long"))
         .withColumn("bin", F.greatest(F.least(F.col("bin"), F.lit(bins - 1)), F.lit(0)).cast("int"))
     )
@@ -74,7 +75,10 @@ def binned(current: DataFrame, base: DataFrame, feature: str = "feature", value:
     """Current values with their baseline bin (null when dropped); features
     without a baseline drop out."""
     rows = current.where(F.col(value).isNotNull()).withColumnRenamed(feature, "feature")
-    return rows.join(base.select("feature", "lowers"), "feature").withColumn("bin", bin_of(F.col(value), F.col("lowers")))
+    ruled = base.select("feature", "lowers")
+    # A stream joins the fixed baseline as it is; a table spreads hot features.
+    joined = rows.join(ruled, "feature") if current.isStreaming else salted_join(rows, ruled, "feature", value)
+    return joined.withColumn("bin", bin_of(F.col(value), F.col("lowers")))
 
 
 def weights(counts: Column, total: Column) -> Column:

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.dialect import java_of
+from textguard.functions.text import quoted
 from textguard.operators.guard import check_patterns
-from textguard.operators.scan import _SAFE, gated, with_gates
+from textguard.operators.scan import _SAFE, gated, hits_of, with_gates
 from textguard.rules import phrases
 
-TECHNIQUE = "struct<name:string,category:string,weight:double,match:string>"
-
 
 def with_evasion(
     df: DataFrame, text: str = "text", into: str = "evasion",
@@ -28,16 +27,14 @@ def with_evasion(
     seen = with_gates(df, text, phrases.EVASION_GATES.values())
 
     def technique(name, category, weight, pattern):
-        first = F.regexp_extract(F.col(_SAFE), java_of(name, pattern), 0)
+        first = f"regexp_extract({_SAFE}, {quoted(java_of(name, pattern))}, 0)"
         found = gated(phrases.EVASION_GATES.get(name), first)
-        row = F.struct(
-            F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(weight).alias("weight"),
-            found.alias("match"),
+        return (
+            f"named_struct('name', {quoted(name)}, 'category', {quoted(category)}, 'weight', {float(weight)}D, "
+            f"'match', {found})"
         )
-        return row
 
-    listed = F.array(*[technique(*row) for row in (*phrases.EVASION, *extra)])
-    matched = F.filter(listed, lambda t: F.coalesce(t["match"], F.lit("")) != "")
+    matched = hits_of([technique(*row) for row in (*phrases.EVASION, *extra)], "coalesce(h.match, '') <> ''")
     score = F.aggregate("__matched", F.lit(0.0), lambda a, t: a + t["weight"])
     return seen.select(*columns, matched.alias("__matched")).select(
         *columns,

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import masking, severity
-from textguard.functions.text import cut, token_estimate, truncated_prefix
+from textguard.functions.dialect import java_of, to_java
+from textguard.functions.text import cut, quoted, token_estimate, truncated_prefix
 from textguard.functions.validators import plausible
-from textguard.operators.scan import VALUE_LIMIT, lookup, with_matches
+from textguard.operators.scan import _SAFE, VALUE_LIMIT, fenced, gated, hits_of, lookup, with_gates, with_matches
 from textguard.rules import GATES, PACKS, phrases, rules_of, secrets, validated
 from textguard.rules.model import Rule
 
@@ -44,8 +45,6 @@ class GuardConfig:
 
 def check_patterns(df: DataFrame, patterns: Sequence[str]) -> None:
     """Rejects a bad user pattern on the driver, before any task starts."""
-    from textguard.functions.dialect import to_java
-
     for pattern in patterns:
         try:
             df.sparkSession._jvm.java.util.regex.Pattern.compile(to_java(pattern))
@@ -149,23 +148,13 @@ def toxicity_of(categories: Column) -> Column:
 
 def with_toxicity(df: DataFrame, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Adds the toxicity verdict. Only presence counts, so rules are tested."""
-    from textguard.operators.scan import _SAFE, gated, with_gates
-    from textguard.functions.dialect import java_of
-
     columns = [F.col(c) for c in df.columns]
-    hit = [
-        F.when(
-            gated(
-                phrases.TOXICITY_GATES[r.name],
-                F.col(_SAFE).rlike(java_of(r.name, r.regex)),
-                F.lit(False),
-            ),
-            F.lit(r.name),
-        )
-        for r in phrases.TOXICITY_RULES
-    ]
-    gates = with_gates(df, text, phrases.TOXICITY_GATES.values())
-    return gates.select(*columns, F.array_compact(F.array(*hit)).alias(into)).withColumn(into, toxicity_of(F.col(into)))
+    hit = []
+    for r in phrases.TOXICITY_RULES:
+        test = f"rlike({_SAFE}, {quoted(java_of(r.name, r.regex))})"
+        hit.append(f"CASE WHEN {gated(phrases.TOXICITY_GATES[r.name], test, 'false')} THEN {quoted(r.name)} END")
+    seen = with_gates(df, text, phrases.TOXICITY_GATES.values())
+    return seen.select(*columns, hits_of(hit, "h IS NOT NULL").alias(into)).withColumn(into, toxicity_of(F.col(into)))
 
 
 # -------------------------------------------------------------------- verdict
@@ -396,9 +385,8 @@ def with_verdict(
             x["end"].alias("end"),
         ),
     ) if keep_rules else None
-    return judged.select(
-        *columns, verdict.alias("verdict"), *([rule_matches.alias("rule_matches")] if keep_rules else [])
-    )
+    kept = {"verdict": verdict, **({"rule_matches": rule_matches} if keep_rules else {})}
+    return fenced(judged.select(*columns, *[v.alias(k) for k, v in kept.items()]), *kept)
 
 
 def with_summary(
@@ -475,4 +463,4 @@ def with_summary(
         v["tokens"].alias("tokens"),
         v["truncated"].alias("truncated"),
     )
-    return joined.select(*columns, summary.alias("summary"))
+    return fenced(joined.select(*columns, summary.alias("summary")), "summary")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import severity
+from textguard.operators.scan import fenced
 
 # Defaults of a block policy.
 STATUS = 403
@@ -67,7 +68,8 @@ def with_decision(
         scope = scope & (F.col(direction) == policy.direction)
     blocked = F.coalesce(scope & first.isNotNull(), F.lit(False))
     reason = F.when(blocked, F.concat(first["category"], F.lit(": "), first["text"])).otherwise(F.lit(""))
-    return df.withColumn("decision", F.struct(blocked.alias("blocked"), reason.alias("reason")))
+    decided = df.withColumn("decision", F.struct(blocked.alias("blocked"), reason.alias("reason")))
+    return fenced(decided, "decision")
 
 
 def highest_severity(results: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import spans
 from textguard.functions.dialect import java_of
-from textguard.functions.text import cut, digit_skeleton, folded, gate_condition, literals_in, markless
+from textguard.functions.text import cut, digit_skeleton, folded, gate_condition, literals_in, markless, quoted
 from textguard.rules import GATES, PACKS, rules_of
 from textguard.rules.model import Gate, Rule, literals_of
 
@@ -37,6 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def fenced(df: DataFrame, *computed: str) -> DataFrame:
+    """The same rows, with ``computed`` handed through a one-element explode.
+
+    A filter on a computed column would otherwise be pushed below the projection
+    that makes it, together with a copy of its whole expression; the optimizer
+    cannot push anything through the generator's own output.
+    """
+    rest = [c for c in df.columns if c not in computed]
+    one = df.select(*rest, F.explode(F.array(F.struct(*computed))).alias("__fenced"))
+    return one.select(*[f"__fenced.{c}" if c in computed else c for c in df.columns])
+
+
 def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
     """Adds the safe text and what the gates look at: the folded text, the gate
     literals present in it, and its digit skeleton."""
@@ -47,13 +59,15 @@ def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
     return safe.withColumn(_WORDS, literals_in(F.col(_FOLD), literals) if one_pass else F.col(_FOLD))
 
 
-def gated(gate: Gate | None, value: Column, otherwise: Column | None = None) -> Column:
-    """``value`` where the rule can match, else ``otherwise`` (null by default)."""
-    condition = gate_condition(gate, F.col(_FOLD), F.col(_WORDS), F.col(_SKELETON)) if gate else None
-    if condition is None:
-        return value
-    chosen = F.when(condition, value)
-    return chosen if otherwise is None else chosen.otherwise(otherwise)
+def gated(gate: Gate | None, value: str, otherwise: str = "NULL") -> str:
+    """SQL for ``value`` where the rule can match, else ``otherwise``."""
+    condition = gate_condition(gate, _FOLD, _WORDS, _SKELETON) if gate else ""
+    return f"CASE WHEN {condition} THEN {value} ELSE {otherwise} END" if condition else value
+
+
+def hits_of(rows: Iterable[str], keep: str) -> Column:
+    """Array of the per-rule structs for which ``keep`` (over ``h``) holds."""
+    return F.expr(f"filter(array({', '.join(rows)}), h -> {keep})")
 
 
 def with_matches(
@@ -66,13 +80,11 @@ def with_matches(
     """Adds ``into``: all matches of ``rules`` sorted by start, then rule order."""
     columns = [F.col(c) for c in df.columns]
     marked = [
-        F.struct(
-            F.lit(i).alias("n"),
-            gated(gates.get(r.name), spans.marked_parts(F.col(_SAFE), java_of(r.name, r.regex))).alias("parts"),
-        )
+        f"named_struct('n', {i}, 'parts', "
+        f"{gated(gates.get(r.name), spans.marked_parts(_SAFE, java_of(r.name, r.regex)))})"
         for i, r in enumerate(rules)
     ]
-    hits = F.filter(F.array(*marked), lambda h: F.size(h["parts"]) > 1)
+    hits = hits_of(marked, "size(h.parts) > 1")
     found = F.flatten(F.transform(F.col(_HITS), lambda h: spans.located(h["n"], h["parts"])))
     own = F.when(
         F.col(text).contains(spans.MARK),
@@ -81,16 +93,16 @@ def with_matches(
             lambda m: m.withField("value", F.substring(F.col(text), m["start"] + 1, m["end"] - m["start"])),
         ),
     ).otherwise(found)
-    return (
-        with_gates(df, text, [gates[r.name] for r in rules if r.name in gates])
-        .select(*columns, hits.alias(_HITS))
-        .select(*columns, F.array_sort(own).cast(spans.MATCH_TYPE).alias(into))
+    found_in = with_gates(df, text, [gates[r.name] for r in rules if r.name in gates]).select(
+        *columns, hits.alias(_HITS)
     )
+    return fenced(found_in.select(*columns, F.array_sort(own).cast(spans.MATCH_TYPE).alias(into)), into)
 
 
-def lookup(values: Sequence[str], n: Column) -> Column:
+def lookup(values: Sequence[str | int], n: Column) -> Column:
     """Constant of a rule by its number."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), n + 1)
+    listed = ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in values)
+    return F.element_at(F.expr(f"array({listed})"), n + 1)
 
 
 def scan(df: DataFrame, packs: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -123,37 +135,34 @@ def findings(df: DataFrame, keys: Sequence[str], packs: Sequence[str] = (), text
     return exploded(scan(df.select(*keys, text), packs, text), keys)
 
 
+def catalogue(df: DataFrame, packs: Sequence[str] = ()) -> DataFrame:
+    """The rules as a table: number, pack, rule, severity."""
+    rows = [(i, p, r.name, r.severity) for i, (p, r) in enumerate(rules_of(*packs))]
+    return df.sparkSession.createDataFrame(rows, "n int, pack string, rule string, severity string")
+
+
 def rule_counts(df: DataFrame, packs: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """Texts and matches per rule. Counts need no offsets: one row of partial
-    sums per task, no findings shuffled."""
+    """Texts and matches per rule, rules without a hit included. Counts need no
+    offsets; only partial counts, one row per rule and task, are shuffled."""
     pairs = rules_of(*packs)
-    counted = with_gates(df.select(text), text, [GATES[r.name] for _, r in pairs]).select(
-        *[
-            gated(
-                GATES.get(r.name),
-                F.size(F.regexp_extract_all(F.col(_SAFE), F.lit(java_of(r.name, r.regex)), F.lit(0))),
-                F.lit(0),
-            ).alias(f"c{i}")
-            for i, (_, r) in enumerate(pairs)
-        ]
+    counted = []
+    for i, (_, r) in enumerate(pairs):
+        matches = f"size(regexp_extract_all({_SAFE}, {quoted(java_of(r.name, r.regex))}, 0))"
+        counted.append(f"named_struct('n', {i}, 'k', {gated(GATES.get(r.name), matches, '0')})")
+    hits = with_gates(df.select(text), text, [GATES[r.name] for _, r in pairs]).select(
+        hits_of(counted, "h.k > 0").alias(_HITS)
     )
-    totals = counted.agg(
-        *[F.sum(F.col(f"c{i}").cast("long")).alias(f"m{i}") for i in range(len(pairs))],
-        *[F.count(F.when(F.col(f"c{i}") > 0, 1)).alias(f"d{i}") for i in range(len(pairs))],
+    per_rule = (
+        hits.select(F.explode_outer(_HITS).alias("h"))
+        .where(F.col("h").isNotNull())
+        .groupBy("h.n")
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("h.k").cast("long")).alias("matches"))
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pack"),
-                F.lit(r.name).alias("rule"),
-                F.lit(r.severity).alias("severity"),
-                F.col(f"d{i}").alias("texts"),
-                F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long").alias("matches"),
-            )
-            for i, (p, r) in enumerate(pairs)
-        ]
+    zero = F.lit(0).cast("long")
+    # Both sides have one row per rule.
+    return catalogue(df, packs).join(F.broadcast(per_rule), "n", "left").select(
+        "pack", "rule", "severity", F.coalesce("texts", zero).alias("texts"), F.coalesce("matches", zero).alias("matches")
     )
-    return totals.select(F.inline(rows))
 
 
 def pack_counts(df: DataFrame, packs: Sequence[str] = (), text: str = "text") -> DataFrame:

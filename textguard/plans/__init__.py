@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from textguard.plans import scanning, verdicts  # noqa: F401
+from textguard.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
