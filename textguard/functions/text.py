@@ -97,10 +97,15 @@ def token_estimate(text: Column) -> Column:
     return F.floor(words / F.lit(0.75)).cast("int")
 
 
+def lowered(text: Column) -> Column:
+    """Lower case, letter by letter: the dotted capital I gives one character."""
+    return F.lower(F.when(text.contains("İ"), F.translate(text, "İ", "i")).otherwise(text))
+
+
 def normalized(text: Column, limit: int = 128) -> Column:
     """Lower case, blanks trimmed and collapsed, cut to ``limit`` characters."""
     blanks = r"[\t\n\x0B\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-    return F.left(F.trim(F.regexp_replace(F.lower(text), blanks, " ")), F.lit(limit))
+    return F.left(F.trim(F.regexp_replace(lowered(text), blanks, " ")), F.lit(limit))
 
 
 def encoded(text: Column, limit: int = 128) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.dialect import SPACE, to_java
+from textguard.functions.text import lowered
+from textguard.operators.fence import fenced
 from textguard.rules import phrases
 
 EXPLANATION = "Potential overconfident claims detected without attribution"
@@ -24,7 +26,7 @@ def stat_claims(text: Column) -> Column:
 
 def phrase_count(text: Column) -> Column:
     """How many of the confident phrases occur."""
-    low = F.lower(text)
+    low = lowered(text)
     return reduce(lambda a, b: a + b, [low.contains(p).cast("int") for p in phrases.CONFIDENT_PHRASES])
 
 
@@ -91,4 +93,5 @@ def with_claim_risk(df: DataFrame, text: str = "text", into: str = "risk") -> Da
         F.when(base["total_claims"] > 0, phrases.STAT_CLAIM_CONFIDENCE).otherwise(1.0).alias("confidence"),
         ((base["total_claims"] == 0) | ~(base["flagged"] | (score > 5))).alias("valid"),
     )
-    return staged.withColumn(into, value).drop("__base", "__sentences", "__over", "__unverified", "__stats")
+    rated = staged.withColumn(into, value).drop("__base", "__sentences", "__over", "__unverified", "__stats")
+    return fenced(rated, into)

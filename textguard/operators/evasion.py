@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.dialect import java_of
 from textguard.functions.text import quoted
+from textguard.operators.fence import fenced
 from textguard.operators.guard import check_patterns
 from textguard.operators.scan import _SAFE, gated, hits_of, with_gates
 from textguard.rules import phrases
@@ -36,14 +37,12 @@ def with_evasion(
 
     matched = hits_of([technique(*row) for row in (*phrases.EVASION, *extra)], "coalesce(h.match, '') <> ''")
     score = F.aggregate("__matched", F.lit(0.0), lambda a, t: a + t["weight"])
-    return seen.select(*columns, matched.alias("__matched")).select(
-        *columns,
-        F.struct(
-            (F.size("__matched") > 0).alias("detected"),
-            F.least(F.lit(1.0), score).alias("score"),
-            F.col("__matched").alias("matched"),
-        ).alias(into),
+    value = F.struct(
+        (F.size("__matched") > 0).alias("detected"),
+        F.least(F.lit(1.0), score).alias("score"),
+        F.col("__matched").alias("matched"),
     )
+    return fenced(seen.select(*columns, matched.alias("__matched")).select(*columns, value.alias(into)), into)
 
 
 def evasion_counts(df: DataFrame, text: str = "text") -> DataFrame:

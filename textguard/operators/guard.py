@@ -17,7 +17,8 @@ from textguard.functions import masking, severity
 from textguard.functions.dialect import java_of, to_java
 from textguard.functions.text import cut, quoted, token_estimate, truncated_prefix
 from textguard.functions.validators import plausible
-from textguard.operators.scan import _SAFE, VALUE_LIMIT, fenced, gated, hits_of, lookup, with_gates, with_matches
+from textguard.operators.fence import fenced
+from textguard.operators.scan import _SAFE, VALUE_LIMIT, gated, hits_of, lookup, with_gates, with_matches
 from textguard.rules import GATES, PACKS, phrases, rules_of, secrets, validated
 from textguard.rules.model import Rule
 
@@ -154,7 +155,8 @@ def with_toxicity(df: DataFrame, text: str = "text", into: str = "toxicity") ->
         test = f"rlike({_SAFE}, {quoted(java_of(r.name, r.regex))})"
         hit.append(f"CASE WHEN {gated(phrases.TOXICITY_GATES[r.name], test, 'false')} THEN {quoted(r.name)} END")
     seen = with_gates(df, text, phrases.TOXICITY_GATES.values())
-    return seen.select(*columns, hits_of(hit, "h IS NOT NULL").alias(into)).withColumn(into, toxicity_of(F.col(into)))
+    hits = seen.select(*columns, hits_of(hit, "h IS NOT NULL").alias(into))
+    return fenced(hits.withColumn(into, toxicity_of(F.col(into))), into)
 
 
 # -------------------------------------------------------------------- verdict

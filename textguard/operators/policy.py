@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import severity
-from textguard.operators.scan import fenced
+from textguard.operators.fence import fenced
 
 # Defaults of a block policy.
 STATUS = 403

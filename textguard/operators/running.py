@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.operators.fence import fenced
+
 BUCKETS = 64
 
 
@@ -17,6 +19,8 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], buckets: in
     ``order``. Windows run inside a range; the totals of the ranges above come
     from a table of one row per range. ``order`` must be unique.
     """
+    # Range filters must not travel below the table that is being totalled.
+    df = fenced(df, order)
     points = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(order, points, 10_000))
     ranged = df.withColumn("__cuts", cuts.scalar()).withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textguard.functions import spans
 from textguard.functions.dialect import java_of
 from textguard.functions.text import cut, digit_skeleton, folded, gate_condition, literals_in, markless, quoted
+from textguard.operators.fence import fenced
 from textguard.rules import GATES, PACKS, rules_of
 from textguard.rules.model import Gate, Rule, literals_of
 
@@ -37,18 +38,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def fenced(df: DataFrame, *computed: str) -> DataFrame:
-    """The same rows, with ``computed`` handed through a one-element explode.
-
-    A filter on a computed column would otherwise be pushed below the projection
-    that makes it, together with a copy of its whole expression; the optimizer
-    cannot push anything through the generator's own output.
-    """
-    rest = [c for c in df.columns if c not in computed]
-    one = df.select(*rest, F.explode(F.array(F.struct(*computed))).alias("__fenced"))
-    return one.select(*[f"__fenced.{c}" if c in computed else c for c in df.columns])
-
-
 def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
     """Adds the safe text and what the gates look at: the folded text, the gate
     literals present in it, and its digit skeleton."""

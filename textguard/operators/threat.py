@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import decoded, encoded, fingerprint, normalized
+from textguard.operators.fence import fenced
 from textguard.rules.phrases import ATTACK_WORDS
 
 THRESHOLD = 0.7
@@ -42,16 +43,26 @@ def _total(parts: Sequence[tuple[Column, float]]) -> Column:
     return F.least(tenths, F.lit(round(CAP * 10))) / F.lit(10.0)
 
 
-def heuristic_score(text: Column) -> Column:
-    """Score of disguised attack words in the first 128 normalized characters:
-    a swap per word, dropped vowels and reversals."""
-    body = decoded(encoded(normalized(text)))
+def scored_body(text: Column) -> Column:
+    """What the heuristic looks at: 128 normalized characters, the unknown ones
+    replaced."""
+    return decoded(encoded(normalized(text)))
+
+
+def body_score(body: Column) -> Column:
+    """Weights of the disguised attack words in a body: a swap per word, dropped
+    vowels and reversals."""
     parts = [(_any(body, swapped(w)), 0.4) for w in ATTACK_WORDS]
     parts += [(body.contains(without_vowels(w)), 0.3) for w in ATTACK_WORDS if without_vowels(w) != w]
     parts += [(body.contains(w[::-1]), 0.3) for w in ATTACK_WORDS]
     return _total(parts)
 
 
+def heuristic_score(text: Column) -> Column:
+    """Score of a text. The body is bound once and tested for every word."""
+    return F.get(F.transform(F.array(scored_body(text)), body_score), F.lit(0))
+
+
 def variant_sets(words: Sequence[str] = ATTACK_WORDS) -> dict[str, list[str]]:
     """Distinct disguised forms by kind, in checking order."""
     return {
@@ -90,7 +101,7 @@ def with_set_score(df: DataFrame, text: str = "text", into: str = "set_score") -
         (~short & (running >= round(THRESHOLD * 10))).alias("is_threat"),
         F.when(short, "fast_path").otherwise(stage.otherwise("heuristic")).alias("variant"),
     )
-    return staged.withColumn(into, value).drop("__low", *[f"__{k}" for k in sets])
+    return fenced(staged.withColumn(into, value).drop("__low", *[f"__{k}" for k in sets]), into)
 
 
 def decision(score: Column, threshold: float = THRESHOLD, shadow: bool = False, enabled: bool = True) -> Column:

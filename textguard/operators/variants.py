@@ -76,47 +76,50 @@ def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> Da
     return staged.withColumn(into, out).drop("__seed", "__rolls", "__limit")
 
 
-def homoglyphs(text: Column) -> Column:
-    seed = _seed(text, "homoglyph")
-    table = F.create_map(*[F.lit(x) for pair in HOMOGLYPHS.items() for x in pair])
-    swap = lambda c, i: F.when(_draw(seed, i, 10) < 3, F.coalesce(F.try_element_at(table, c), c)).otherwise(c)
-    return F.array_join(F.transform(_chars(text), swap), "")
-
+# The evasions take a column of characters or words and a seed column: inside
+# an array function, anything but a plain column is evaluated per element.
 
-def split_words(text: Column) -> Column:
-    seed = _seed(text, "split")
 
-    def cut_word(w, i):
-        middle = F.floor(F.length(w) / 2).cast("int")
-        mark = _pick(SPLITTERS, _draw(seed, i, len(SPLITTERS), 1))
-        split = F.concat(F.left(w, middle), mark, F.substring(w, middle + 1, F.length(w)))
-        return F.when((F.octet_length(w) <= 2) | (_draw(seed, i, 10) >= 3), w).otherwise(split)
-
-    return F.array_join(F.transform(_words(text), cut_word), " ")
+def homoglyphs(chars: Column, seed: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in HOMOGLYPHS.items() for x in pair])
+    swap = lambda c, i: F.when(
+        _draw(seed, i, 10, 10) < 3, F.coalesce(F.try_element_at(table, c), c)
+    ).otherwise(c)
+    return F.array_join(F.transform(chars, swap), "")
 
 
-def spaced(text: Column) -> Column:
-    seed = _seed(text, "space")
+def spaced(chars: Column, seed: Column) -> Column:
     add = lambda c, i: F.when(
-        (_draw(seed, i, 10) < 2) & (c != " "), F.concat(c, _pick(BLANKS, _draw(seed, i, len(BLANKS), 1)))
+        (_draw(seed, i, 10, 20) < 2) & (c != " "), F.concat(c, _pick(BLANKS, _draw(seed, i, len(BLANKS), 21)))
     ).otherwise(c)
-    return F.array_join(F.transform(_chars(text), add), "")
+    return F.array_join(F.transform(chars, add), "")
 
 
-def entities(text: Column) -> Column:
-    seed = _seed(text, "entity")
+def entities(chars: Column, seed: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    swap = lambda c, i: F.when(_draw(seed, i, 10) < 3, F.coalesce(F.try_element_at(table, c), c)).otherwise(c)
-    return F.array_join(F.transform(_chars(text), swap), "")
+    swap = lambda c, i: F.when(
+        _draw(seed, i, 10, 30) < 3, F.coalesce(F.try_element_at(table, c), c)
+    ).otherwise(c)
+    return F.array_join(F.transform(chars, swap), "")
 
 
-def reordered(text: Column) -> Column:
+def split_words(words: Column, seed: Column) -> Column:
+    def cut_word(w, i):
+        middle = F.floor(F.length(w) / 2).cast("int")
+        mark = _pick(SPLITTERS, _draw(seed, i, len(SPLITTERS), 41))
+        split = F.concat(F.left(w, middle), mark, F.substring(w, middle + 1, F.length(w)))
+        return F.when((F.octet_length(w) <= 2) | (_draw(seed, i, 10, 40) >= 3), w).otherwise(split)
+
+    return F.array_join(F.transform(words, cut_word), " ")
+
+
+def reordered(words: Column, seed: Column) -> Column:
     """Words with up to two fifths of swaps: the places taken are the same, the
     words on them change seats."""
-    seed = _seed(text, "order")
-    words = F.transform(_words(text), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     rolled = F.array_sort(
-        F.transform(words, lambda x: F.struct(F.xxhash64(seed, x["i"]).alias("r"), x["i"].alias("i"), x["w"].alias("w")))
+        F.transform(
+            words, lambda w, i: F.struct(F.xxhash64(seed, i, F.lit(50)).alias("r"), i.alias("i"), w.alias("w"))
+        )
     )
     taken = F.least(F.size(words), F.floor(F.size(words) * 0.4).cast("int") * 2)
     moved = F.slice(rolled, 1, taken)
@@ -126,16 +129,11 @@ def reordered(text: Column) -> Column:
         F.slice(rolled, taken + 1, F.size(words)), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))
     )
     joined = F.array_join(F.transform(F.array_sort(F.concat(seated, stayed)), lambda x: x["w"]), " ")
-    return F.when(F.size(words) <= 2, text).otherwise(joined)
+    return F.when(F.size(words) > 2, joined)
 
 
-EVASIONS: dict[str, Callable[[Column], Column]] = {
-    "unicode-homoglyph": homoglyphs,
-    "character-splitting": split_words,
-    "whitespace-injection": spaced,
-    "encoding-mix": entities,
-    "word-reordering": reordered,
-}
+BY_CHARACTER = {"unicode-homoglyph": homoglyphs, "whitespace-injection": spaced, "encoding-mix": entities}
+BY_WORD = {"character-splitting": split_words, "word-reordering": reordered}
 
 
 def variants(
@@ -151,11 +149,16 @@ def variants(
         last = f"__multi{step}"
     row = lambda method, group, step, value: F.struct(
         F.lit(method).alias("method"), F.lit(group).alias("method_group"), F.lit(step).alias("step"),
-        value.alias("perturbed"),
+        # One or two words have no other order; they stay as they are.
+        F.coalesce(value, F.col(text)).alias("perturbed"),
     )
     rows = [row("single", "single", 0, F.col("__single"))]
     rows += [row(f"multi-step-{s}", "multi", s, F.col(f"__multi{s}")) for s in range(1, steps + 1)]
-    rows += [row(f"evasion-{n}", "evasion", 0, make(F.col(text))) for n, make in EVASIONS.items()]
+    staged = staged.withColumns(
+        {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": F.xxhash64(text)}
+    )
+    rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__chars"), F.col("__key"))) for n, f in BY_CHARACTER.items()]
+    rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__words"), F.col("__key"))) for n, f in BY_WORD.items()]
     return staged.select(*keys, F.col(text).alias("input"), F.inline(F.array(*rows)))
 
 
