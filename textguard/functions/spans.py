@@ -30,24 +30,24 @@ def _running(lengths: Column, first: Column) -> Column:
     return F.aggregate(lengths, zero, step)["out"]
 
 
-def starts_of(lengths: Column) -> Column:
+def starts_of(parts: Column) -> Column:
     """Start offset of each part. Long lists go block by block, so that the
     appends copy a block and not the whole list."""
-    size = F.size(lengths)
+    size = F.size(parts)
     width = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(size)).cast("int"))
     blocks = F.transform(
-        F.sequence(F.lit(0), size - 1, width), lambda at: F.slice(lengths, at + 1, width)
+        F.sequence(F.lit(0), size - 1, width),
+        lambda at: F.transform(F.slice(parts, at + 1, width), F.length),
     )
     sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
     offsets = F.arrays_zip(_running(sums, F.lit(0)).alias("first"), blocks.alias("block"))
     long = F.flatten(F.transform(offsets, lambda o: _running(o["block"], o["first"])))
-    return F.when(size <= _BLOCK, _running(lengths, F.lit(0))).otherwise(long)
+    return F.when(size <= _BLOCK, _running(F.transform(parts, F.length), F.lit(0))).otherwise(long)
 
 
 def located(n: Column, parts: Column) -> Column:
     """Matches of one rule from its marked parts."""
-    lengths = F.transform(parts, F.length)
-    placed = F.arrays_zip(starts_of(lengths).alias("start"), parts.alias("value"))
+    placed = F.arrays_zip(starts_of(parts).alias("start"), parts.alias("value"))
     odd = F.filter(placed, lambda _, i: i % 2 == 1)
     return F.transform(
         odd,

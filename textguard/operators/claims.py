@@ -65,6 +65,7 @@ def with_unattributed(df: DataFrame, text: str, into: str) -> DataFrame:
     staged = staged.withColumn(
         "__bare", F.filter(F.array_distinct("__quantities"), lambda s: ~near(s).rlike(attribution))
     )
+    staged = fenced(staged, "__quantities", "__bare")
     bare = F.filter("__quantities", lambda s: F.array_contains("__bare", s))
     return staged.withColumn(into, bare).drop("__quantities", "__bare")
 

@@ -11,7 +11,9 @@ def fenced(df: DataFrame, *computed: str) -> DataFrame:
 
     A filter on a computed column would otherwise be pushed below the projection
     that makes it, together with a copy of its whole expression; the optimizer
-    cannot push anything through the generator's own output.
+    cannot push anything through the generator's own output. Nor does it inline
+    it: a column read inside an array function would else be computed anew for
+    each element.
     """
     rest = [c for c in df.columns if c not in computed]
     one = df.select(*rest, F.explode(F.array(F.struct(*computed))).alias("__fenced"))

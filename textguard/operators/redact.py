@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import spans
 from textguard.functions.dialect import to_java
+from textguard.operators.fence import fenced
 from textguard.operators.guard import with_pii, with_secrets
 
 # Categories with a switch of their own; the rest share one.
@@ -56,7 +57,7 @@ def redact_spans(
         | (F.lit(policy.others) & ~m["category"].isin(*SWITCHED)),
     )
     put = F.transform(chosen, _span(lambda m: m["redacted"]))
-    out = found.withColumn("__kept", spans.disjoint(put)).withColumn(
+    out = fenced(found.withColumn("__kept", spans.disjoint(put)), "__kept").withColumn(
         into, spans.rebuilt(F.coalesce(F.col(text), F.lit("")), F.col("__kept"))
     )
     for pattern, replacement in policy.replacements.items():
@@ -77,7 +78,7 @@ def mask_secrets(df: DataFrame, text: str = "text", into: str = "masked") -> Dat
     found = with_secrets(df, text, "__secrets")
     kept = spans.disjoint(F.transform("__secrets", _span(lambda m: m["value"])))
     return (
-        found.withColumn("__kept", kept)
+        fenced(found.withColumn("__kept", kept), "__kept")
         .withColumn(into, spans.rebuilt(F.coalesce(F.col(text), F.lit("")), F.col("__kept")))
         .drop("__secrets", "__kept")
     )
@@ -105,11 +106,11 @@ def redact_values(
         F.coalesce(F.col(text), F.lit("")),
         lambda acc, v: F.replace(acc, v, _replacement(policy, F.octet_length(v).cast("int"))),
     )
-    staged = with_secrets(found.withColumn("__body", body), "__body", "__secrets")
+    staged = with_secrets(fenced(found.withColumn("__body", body), "__body"), "__body", "__secrets")
     picked = F.filter("__secrets", lambda m: m["category"].isin(*policy.secrets))
     kept = spans.disjoint(F.transform(picked, _span(lambda m: _replacement(policy, m["end"] - m["start"]))))
     return (
-        staged.withColumn("__kept", kept)
+        fenced(staged.withColumn("__kept", kept), "__kept")
         .withColumn(into, spans.rebuilt(F.col("__body"), F.col("__kept")))
         .drop("__pii", "__body", "__secrets", "__kept")
     )

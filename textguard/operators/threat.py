@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.text import decoded, encoded, fingerprint, normalized
+from textguard.functions.text import decoded, encoded, fingerprint, normalized, quoted
 from textguard.operators.fence import fenced
 from textguard.rules.phrases import ATTACK_WORDS
 
@@ -81,13 +81,11 @@ def with_set_score(df: DataFrame, text: str = "text", into: str = "set_score") -
     weights = {"direct_match": 4, "transposition": 4, "vowel_deleted": 3, "reversed": 3}
 
     def tenths(kind: str) -> Column:
-        total = F.lit(0)
-        for form in sets[kind]:
-            total = total + F.col("__low").contains(form).cast("int") * weights[kind]
-        return total
+        forms = ", ".join(quoted(form) for form in sets[kind])
+        return F.expr(f"size(filter(array({forms}), f -> contains(__low, f))) * {weights[kind]}")
 
     # The sums read a column of their own, so the lower-casing runs once.
-    staged = df.withColumn("__low", low)
+    staged = fenced(df.withColumn("__low", low), "__low")
     staged = staged.select("*", *[tenths(k).alias(f"__{k}") for k in sets])
     running, stage = F.lit(0), None
     for kind in sets:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import cut
+from textguard.operators.fence import fenced
 
 # Edit shares, steps, probabilities, characters and tables.
 SINGLE_SHARE, STEP_SHARE, STEPS = 0.15, 0.1, 5
@@ -54,13 +55,13 @@ def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> Da
     """Adds the text with a share of its characters (one at least) replaced,
     preceded by an extra one, or dropped."""
     size = F.length(text)
-    staged = df.withColumn("__seed", _seed(F.col(text), method))
+    staged = fenced(df.withColumn("__seed", _seed(F.col(text), method)), "__seed")
     staged = staged.withColumn(
         "__rolls", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.xxhash64("__seed", i))
     )
     changes = F.greatest(F.floor(size * share).cast("int"), F.lit(1))
     # Places with the smallest rolls change: as many as asked, all different.
-    staged = staged.withColumn("__limit", F.get(F.array_sort("__rolls"), changes - 1))
+    staged = fenced(fenced(staged, "__rolls").withColumn("__limit", F.get(F.array_sort("__rolls"), changes - 1)), "__limit")
     seed = F.col("__seed")
 
     def change(c, i):
@@ -73,7 +74,7 @@ def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> Da
         return F.when(F.get("__rolls", i) <= F.col("__limit"), put).otherwise(c)
 
     out = F.when(size > 0, F.array_join(F.transform(_chars(F.col(text)), change), "")).otherwise(F.col(text))
-    return staged.withColumn(into, out).drop("__seed", "__rolls", "__limit")
+    return fenced(staged.withColumn(into, out).drop("__seed", "__rolls", "__limit"), into)
 
 
 # The evasions take a column of characters or words and a seed column: inside
@@ -157,6 +158,7 @@ def variants(
     staged = staged.withColumns(
         {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": F.xxhash64(text)}
     )
+    staged = fenced(staged, "__chars", "__words", "__key")
     rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__chars"), F.col("__key"))) for n, f in BY_CHARACTER.items()]
     rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__words"), F.col("__key"))) for n, f in BY_WORD.items()]
     return staged.select(*keys, F.col(text).alias("input"), F.inline(F.array(*rows)))

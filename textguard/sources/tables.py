@@ -37,12 +37,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(talk).unionByName(pages).unionByName(extra)
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as request and response traffic with a host and a time.
+def as_traffic(talk: DataFrame) -> DataFrame:
+    """Conversation turns as request and response traffic with a host and time.
 
-    System turns count as requests. Hosts come from the page of the same number.
+    System turns count as requests. Works on a table and on a stream.
     """
-    talk = table(spark, sf_dir, "conversations")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     at = F.timestamp_micros(F.unix_micros(start) + (F.col("conv_id") * 600 + F.col("turn") * 20) * 1_000_000)
     return talk.select(
@@ -54,3 +53,17 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/chat/"), F.col("conv_id").cast("string")).alias("path"),
         "text",
     )
+
+
+def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_traffic(table(spark, sf_dir, "conversations"))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, in the table's own schema."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_traffic(stream(spark, sf_dir, "conversations"))
