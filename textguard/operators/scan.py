@@ -27,15 +27,16 @@ _ONE_PASS_FROM = 100
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input came as fewer splits than there are cores.
+    """Evens out an input that is small for the cluster.
 
-    A large table has far more splits than cores and passes through unchanged,
-    so the texts are not shuffled there.
+    Scans are CPU-bound, and a file of one row group is one task however many
+    splits it has. An input of fewer than four splits per core is redealt; a
+    large table has far more splits and passes through, its texts unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(2 * cores)
 
 
 def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
