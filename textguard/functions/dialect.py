@@ -17,7 +17,7 @@ AFTER = f"(?![{WORD}])"
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 # The only non-ASCII characters that fold to ASCII letters: long s, Kelvin sign.
-FOLDS = {"s": "ſ", "k": "K"}
+FOLDS = {"s": "ſ", "k": "\u212a"}
 
 
 def _folded_letter(ch: str) -> str:
@@ -100,8 +100,8 @@ def to_java(regex: str) -> str:
 
 
 _S = f"[{SPACE}]"
-_A = "[a-zA-ZſK]"
-_AS = f"[a-zA-ZſK{SPACE}]"
+_A = "[a-zA-Zſ\u212a]"
+_AS = f"[a-zA-Zſ\u212a{SPACE}]"
 # Words of two or more letters with blanks between, one character per turn, so
 # that the engine loops instead of recursing once per word.
 _WORDS = f"{_A}{{2}}(?:(?!(?<={_S}{_A}){_S}){_AS})*(?<={_A}{_A})"
@@ -150,7 +150,7 @@ FIRST = {
     "lgpd_reference": "ladco",
     "popia_reference": "psſi",
     "ccpa_reference": "crsſd",
-    "toxicity_self_harm": "sſkKhec",
+    "toxicity_self_harm": "sſk\u212ahec",
     "toxicity_sexual": "poenhsſrmicu",
     "name": "MDP",
     "camelcase_attack_word": "ibosſpahereld",

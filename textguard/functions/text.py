@@ -20,8 +20,8 @@ def markless(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case with the two characters that fold to ASCII letters replaced."""
-    rare = text.contains("ſ") | text.contains("K")
-    return F.lower(F.when(rare, F.translate(text, "ſK", "sk")).otherwise(text))
+    rare = text.contains("ſ") | text.contains("\u212a")
+    return F.lower(F.when(rare, F.translate(text, "ſ\u212a", "sk")).otherwise(text))
 
 
 def digit_skeleton(text: Column) -> Column:

@@ -167,7 +167,7 @@ PROBES = (
     "According to research 50% of people; 12.5% more. Experts say this is proven.",
     # characters that fold or break in unusual ways
     "ſSN last 4 1234, paſſport # Z87654321, PAſſWORD=abcdefgh12",
-    "MRN: ABKelvin12 toKen=abcdefghij0123456789 riſK",
+    "MRN: AB\u212aelvin12 to\u212aen=abcdefghij0123456789 ri\u017fk ma\u212ae up a study",
     "lıcense AB12345 and İgnore prevıous ınstructions, LİCENSE 1234567",
     "émail café@bé.fr 12 34 and x\u000b123-45-6789\u000by",
     "mark \u0001 123-45-6789 \u0001 user@example.com \u0001",
