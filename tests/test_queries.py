@@ -52,6 +52,13 @@ def test_summary_plan_is_one_scan_without_shuffle_or_python(spark, sf):
     assert plan.count("filter(array(named_struct(n") + plan.count("filter(array(struct(n") == 1
 
 
+def test_reading_one_field_does_not_repeat_the_scan(spark, sf):
+    judged = guard.with_verdict(table(spark, sf, "documents"))
+    for df in (judged.select("verdict.threats"), judged.where("NOT verdict.allowed").select("verdict.pii")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1 and len(plan) < 200_000
+
+
 def test_counts_shuffle_partial_sums_only(spark, sf):
     plan = _plan(scan.rule_counts(table(spark, sf, "documents")))
     assert "partial_sum" in plan and "ReadSchema: struct<text:string>" in plan

@@ -153,6 +153,8 @@ FIRST = {
     "toxicity_self_harm": "sſk\u212ahec",
     "toxicity_sexual": "poenhsſrmicu",
     "name": "MDP",
+    "driver_license": "dl",
+    "word_splitting": "ibosſp",
     "camelcase_attack_word": "ibosſpahereld",
 }
 

@@ -93,7 +93,11 @@ _TENTHS = " + ".join(
     + [f"3 * contains(body, {sql.lit(_bare(w))})::INT" for w in phrases.ATTACK_WORDS if _bare(w) != w]
     + [f"3 * contains(body, {sql.lit(w[::-1])})::INT" for w in phrases.ATTACK_WORDS]
 )
-_HEURISTIC = f"SELECT corpus, id, text, least({_TENTHS}, 9) / 10.0::DOUBLE AS score FROM (SELECT corpus, id, text, {_BODY} AS body FROM corpus)"
+HEURISTIC = (
+    f"SELECT {{keys}}, text, least({_TENTHS}, 9) / 10.0::DOUBLE AS score FROM "
+    "(SELECT {keys}, text, " + _BODY.replace("{", "{{").replace("}", "}}") + " AS body FROM {source})"
+)
+_HEURISTIC = HEURISTIC.format(keys="corpus, id", source="corpus")
 
 
 @query("b17_threat_scores", sql.with_corpus("SELECT corpus, id, score FROM scored", scored=_HEURISTIC))
@@ -350,7 +354,13 @@ def calibration(spark, sf):
     return result.withColumns({"threshold": F.round("threshold", 6), "fpr": F.round("fpr", 6)})
 
 
-@query("j4_model_scorer")
+@query(
+    "j4_model_scorer",
+    """WITH s AS (SELECT len(regexp_extract_all(text, '[aeiou]')) / greatest(length(text), 1) AS score FROM documents),
+    m AS (SELECT max(score) AS top, count(*) AS n, count(*) FILTER (score >= 0.35) AS fp FROM s)
+    SELECT round(greatest(top + 0.05, 0.5), 6)::DOUBLE AS threshold, round(top, 6)::DOUBLE AS max_benign_score, 0.05::DOUBLE AS margin,
+      n AS benign_samples, fp AS false_positives, round(fp / n, 6)::DOUBLE AS fpr FROM m""",
+)
 def model_scorer(spark, sf):
     """Calibration with a scorer handed in as a pandas function."""
 
@@ -358,8 +368,8 @@ def model_scorer(spark, sf):
         return texts.str.count("[aeiou]") / texts.str.len().clip(lower=1)
 
     scorer = threat.pandas_scorer(vowel_share)
-    scored = _docs(spark, sf).select(scorer(F.col("text")).alias("score"))
-    return evaluate.calibrate(scored)
+    result = evaluate.calibrate(_docs(spark, sf).select(scorer(F.col("text")).alias("score")), threshold=0.35)
+    return result.withColumns({c: F.round(c, 6) for c in ("threshold", "max_benign_score", "fpr")})
 
 
 # -------------------------------------------------------------------- robustness

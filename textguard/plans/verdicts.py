@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from textguard.functions import severity
 from textguard.operators import audit, guard, hosts, policy, redact, scan
 from textguard.operators.threat import heuristic_score
-from textguard.plans import sql
+from textguard.plans import scoring, sql
 from textguard.plans.registry import query
+from textguard.session import shared_dir
 from textguard.sources.tables import corpus, notes, table, traffic
 
 KEYS = ["corpus", "id"]
@@ -322,20 +323,20 @@ def _decided(spark, sf):
     return policy.with_decision(_summarized(spark, sf))
 
 
-@query(
-    "a4_audit_rows",
-    sql.with_traffic(
-        "SELECT conv_id, turn, ts AS timestamp, direction, host, path, total AS total_detections, NOT allowed AS blocked, "
-        "reason IS NOT NULL AS policy_blocked, array_to_string(pii, ',') AS pii_categories, array_to_string(secrets, ',') AS secret_types, "
-        "categories, severities, rules FROM traffic JOIN verdict USING (conv_id, turn) "
-        f"JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn) LEFT JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn)",
-        **_TRAFFIC,
-    ),
+_AUDIT = sql.with_traffic(
+    "SELECT conv_id, turn, ts AS timestamp, direction, host, path, total AS total_detections, NOT allowed AS blocked, "
+    "reason IS NOT NULL AS policy_blocked, array_to_string(pii, ',') AS pii_categories, array_to_string(secrets, ',') AS secret_types, "
+    "categories, severities, rules FROM traffic JOIN verdict USING (conv_id, turn) "
+    f"JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn) LEFT JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn)",
+    **_TRAFFIC,
 )
+_LISTS = ("pii_categories", "secret_types", "categories", "severities", "rules")
+
+
+@query("a4_audit_rows", _AUDIT)
 def audit_rows(spark, sf):
     rows = audit.audit_rows(_decided(spark, sf), TALK)
-    lists = ("pii_categories", "secret_types", "categories", "severities", "rules")
-    flat = rows.withColumns({c: _joined(F.col(c)) for c in lists})
+    flat = rows.withColumns({c: _joined(F.col(c)) for c in _LISTS})
     return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("redacted", "ml_score")
 
 
@@ -364,21 +365,43 @@ def traffic_counts(spark, sf):
     return audit.traffic_counts(_decided(spark, sf), ["direction", "host"])
 
 
-@query("a5_export_events")
+@query(
+    "a5_export_events",
+    "SELECT 'textguard' AS source, '1' AS version, conv_id, turn, direction, host, path, total_detections, blocked, "
+    f"categories, severities, rules FROM ({_AUDIT})",
+)
 def export_events(spark, sf):
-    return audit.export_events(audit.audit_rows(_decided(spark, sf)))
+    events = audit.export_events(audit.audit_rows(_decided(spark, sf), TALK))
+    lists = ("categories", "severities", "rules")
+    shape = (
+        "source string, version string, conv_id bigint, turn bigint, direction string, host string, path string, "
+        "total_detections int, blocked boolean, " + ", ".join(f"{c} array<string>" for c in lists)
+    )
+    parsed = events.select(F.from_json("event", shape).alias("e")).select("e.*")
+    return parsed.withColumns({c: _joined(F.col(c)) for c in lists})
 
 
-@query("a3_audit_sink")
+@query("a3_audit_sink", f"SELECT *, timestamp::DATE AS date FROM ({_AUDIT})")
 def audit_sink(spark, sf):
-    from textguard.session import shared_dir
-
     path = shared_dir(spark)
-    audit.write_audit(audit.audit_rows(_decided(spark, sf)), path)
-    return spark.read.json(path)
+    written = audit.audit_rows(_decided(spark, sf), TALK)
+    audit.write_audit(written, path)
+    back = spark.read.schema(written.schema.add("date", "date")).json(path)
+    flat = back.withColumns({c: _joined(F.col(c)) for c in _LISTS})
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("redacted", "ml_score")
 
 
-@query("b27_scored_traffic")
+@query(
+    "b27_scored_traffic",
+    sql.with_traffic(
+        "SELECT direction, count(*) AS intercepted, count(*) FILTER (total > 0 OR score >= 0.3) AS detections, "
+        "count(*) FILTER (reason IS NOT NULL OR score >= 0.3) AS blocked, count(*) FILTER (score > 0 AND (total > 0 OR score >= 0.3)) AS scored_nonzero, "
+        "(sum(coalesce(total, 0)) + count(*) FILTER (score >= 0.3))::BIGINT AS findings FROM traffic JOIN scored USING (conv_id, turn) "
+        f"LEFT JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn) LEFT JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn) GROUP BY direction",
+        scored=scoring.HEURISTIC.format(keys="conv_id, turn", source="traffic"),
+        **_TRAFFIC,
+    ),
+)
 def scored_traffic(spark, sf):
     seen = guard.with_summary(scan.spread(traffic(spark, sf)), scorer=heuristic_score, threshold=0.3, shadow=False)
     return audit.traffic_counts(policy.with_decision(seen))
@@ -468,16 +491,41 @@ def redaction_forms(spark, sf):
     return rows.groupBy("category", "redacted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h7_value_redaction")
+def _value_sql(put: str, pii_on: bool) -> str:
+    """Values replaced everywhere, then the secrets of the result in place."""
+    values = (
+        "SELECT corpus, id, list(value ORDER BY o) AS vs FROM (SELECT corpus, id, value, min(start * 100 + n) AS o FROM pii "
+        "WHERE category IN ('ssn', 'email', 'phone', 'credit_card') GROUP BY corpus, id, value) GROUP BY corpus, id"
+    )
+    body = (
+        "SELECT corpus, id, CASE WHEN vs IS NULL THEN text ELSE list_reduce(vs, lambda acc, v: replace(acc, v, "
+        f"{put.format('strlen(v)')}), text) END AS text FROM corpus LEFT JOIN ({values}) USING (corpus, id)"
+    )
+    spans = _spans_sql(
+        f"""SELECT corpus, id, start, "end", {put.format('("end" - start)')} AS put, category FROM secret
+        WHERE category IN ('api_key', 'aws_key', 'password', 'bearer_token', 'jwt')""",
+        "corpus, id",
+    )
+    ctes = {"pii": sql.pii(), "bodies": body if pii_on else "SELECT * FROM corpus", "secret": sql.secret("bodies"), "kept": spans}
+    return sql.with_corpus(_REBUILD.format("redacted").replace("corpus LEFT JOIN (", "bodies LEFT JOIN (", 1).replace("JOIN corpus USING", "JOIN bodies USING"), **ctes)
+
+
+@query("h7_value_redaction", _value_sql("repeat('*', {0})", True))
 def value_redaction(spark, sf):
     out = redact.redact_values(_texts(spark, sf), policy=redact.ValueRedaction(strategy="asterisks"))
     return out.select(*KEYS, F.md5("redacted").alias("redacted"), F.length("redacted").alias("chars"))
 
 
-@query("h8_secrets_only")
+@query("h8_secrets_only", _value_sql("'[REDACTED]'", False))
 def secrets_only(spark, sf):
     out = redact.redact_secrets_only(_texts(spark, sf))
-    return out.select(*KEYS, F.md5("redacted").alias("redacted"))
+    return out.select(*KEYS, F.md5("redacted").alias("redacted"), F.length("redacted").alias("chars"))
+
+
+@query("h8_pii_only")
+def pii_only(spark, sf):
+    out = redact.redact_pii_only(_texts(spark, sf))
+    return out.select(*KEYS, F.md5("redacted").alias("redacted"), F.length("redacted").alias("chars"))
 
 
 @query(

@@ -1,6 +1,6 @@
 """Word lists and patterns of the toxicity, evasion, threat and claim jobs."""
 
-from textguard.rules.model import Rule, g
+from textguard.rules.model import Rule, either, g
 
 # Toxicity category, explanation and pattern.
 TOXICITY = (
@@ -45,7 +45,9 @@ EVASION_GATES = {
     "html_entity_encoding": g("&", ";"),
     "zero_width_chars": g(("​", "‌", "‍", "﻿", "‎", "‏")),
     "character_interleaving": g(("g-", "g_", "g.", "y-", "y_", "y.", "v-", "v_", "v.", "n-", "n_", "n.", "r-", "r_", "r.")),
-    "word_splitting": g(("ig", "by", "ov", "in", "sy", "pr"), ("nore", "ps", "pass", "ide", "ject", "stem", "ompt", "s")),
+    "word_splitting": either(
+        g("nore", "ig"), g("by", ("ps", "pass")), g("ov", "ide"), g("ject", "in"), g("stem", "sy"), g("ompt", "pr")
+    ),
     "leet_speak": g(("1gn0r3", "by7p455", "0v3rr1d3", "5y573m", "pr0mp7", "h4ck", "3xpl0it", "d15abl3", "d3l3t3", "3xtr4ct", "st34l", "f0rg3", "3sc4l4t3", "p01s0n", "c0rrupt", "1nj3ct")),
     "camelcase_attack_word": g(("ignore", "bypass", "override", "inject", "system", "prompt", "admin", "hack", "exploit", "reveal", "extract", "steal", "disable", "delete", "remove", "access", "forge", "escalate", "poison", "corrupt")),
     "repetitive_padding": g(),
