@@ -97,22 +97,24 @@ def redact_values(
 ) -> DataFrame:
     """Adds the text with every occurrence of each found value replaced, then
     with the found secrets replaced where they stand."""
-    found = with_pii(df, text, "__pii")
-    values = F.array_distinct(
-        F.transform(F.filter("__pii", lambda m: m["category"].isin(*policy.pii)), lambda m: m["value"])
-    )
-    body = F.aggregate(
-        values,
-        F.coalesce(F.col(text), F.lit("")),
-        lambda acc, v: F.replace(acc, v, _replacement(policy, F.octet_length(v).cast("int"))),
-    )
-    staged = with_secrets(fenced(found.withColumn("__body", body), "__body"), "__body", "__secrets")
+    start = F.coalesce(F.col(text), F.lit(""))
+    if policy.pii:
+        found = with_pii(df, text, "__pii")
+        chosen = F.filter("__pii", lambda m: m["category"].isin(*policy.pii))
+        values = F.array_distinct(F.transform(chosen, lambda m: m["value"]))
+        put = lambda acc, v: F.replace(acc, v, _replacement(policy, F.octet_length(v).cast("int")))
+        staged = fenced(found.withColumn("__body", F.aggregate(values, start, put)).drop("__pii"), "__body")
+    else:
+        staged = df.withColumn("__body", start)
+    if not policy.secrets:
+        return staged.withColumn(into, F.col("__body")).drop("__body")
+    staged = with_secrets(staged, "__body", "__secrets")
     picked = F.filter("__secrets", lambda m: m["category"].isin(*policy.secrets))
     kept = spans.disjoint(F.transform(picked, _span(lambda m: _replacement(policy, m["end"] - m["start"]))))
     return (
         fenced(staged.withColumn("__kept", kept), "__kept")
         .withColumn(into, spans.rebuilt(F.col("__body"), F.col("__kept")))
-        .drop("__pii", "__body", "__secrets", "__kept")
+        .drop("__body", "__secrets", "__kept")
     )
 
 

@@ -493,14 +493,7 @@ def redaction_forms(spark, sf):
 
 def _value_sql(put: str, pii_on: bool) -> str:
     """Values replaced everywhere, then the secrets of the result in place."""
-    values = (
-        "SELECT corpus, id, list(value ORDER BY o) AS vs FROM (SELECT corpus, id, value, min(start * 100 + n) AS o FROM pii "
-        "WHERE category IN ('ssn', 'email', 'phone', 'credit_card') GROUP BY corpus, id, value) GROUP BY corpus, id"
-    )
-    body = (
-        "SELECT corpus, id, CASE WHEN vs IS NULL THEN text ELSE list_reduce(vs, lambda acc, v: replace(acc, v, "
-        f"{put.format('strlen(v)')}), text) END AS text FROM corpus LEFT JOIN ({values}) USING (corpus, id)"
-    )
+    body = _body_sql(put)
     spans = _spans_sql(
         f"""SELECT corpus, id, start, "end", {put.format('("end" - start)')} AS put, category FROM secret
         WHERE category IN ('api_key', 'aws_key', 'password', 'bearer_token', 'jwt')""",
@@ -510,6 +503,18 @@ def _value_sql(put: str, pii_on: bool) -> str:
     return sql.with_corpus(_REBUILD.format("redacted").replace("corpus LEFT JOIN (", "bodies LEFT JOIN (", 1).replace("JOIN corpus USING", "JOIN bodies USING"), **ctes)
 
 
+def _body_sql(put: str) -> str:
+    """Texts with each found value replaced, in order of first occurrence."""
+    values = (
+        "SELECT corpus, id, list(value ORDER BY o) AS vs FROM (SELECT corpus, id, value, min(start * 100 + n) AS o FROM pii "
+        "WHERE category IN ('ssn', 'email', 'phone', 'credit_card') GROUP BY corpus, id, value) GROUP BY corpus, id"
+    )
+    return (
+        "SELECT corpus, id, CASE WHEN vs IS NULL THEN text ELSE list_reduce(vs, lambda acc, v: replace(acc, v, "
+        f"{put.format('strlen(v)')}), text) END AS text FROM corpus LEFT JOIN ({values}) USING (corpus, id)"
+    )
+
+
 @query("h7_value_redaction", _value_sql("repeat('*', {0})", True))
 def value_redaction(spark, sf):
     out = redact.redact_values(_texts(spark, sf), policy=redact.ValueRedaction(strategy="asterisks"))
@@ -522,7 +527,13 @@ def secrets_only(spark, sf):
     return out.select(*KEYS, F.md5("redacted").alias("redacted"), F.length("redacted").alias("chars"))
 
 
-@query("h8_pii_only")
+@query(
+    "h8_pii_only",
+    sql.with_corpus(
+        "SELECT corpus, id, md5(text) AS redacted, length(text)::INT AS chars FROM bodies",
+        pii=sql.pii(), bodies=_body_sql("'[REDACTED]'"),
+    ),
+)
 def pii_only(spark, sf):
     out = redact.redact_pii_only(_texts(spark, sf))
     return out.select(*KEYS, F.md5("redacted").alias("redacted"), F.length("redacted").alias("chars"))
