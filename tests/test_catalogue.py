@@ -57,6 +57,8 @@ def test_gates_lose_nothing(spark, found):
         (r"a\sb", "a[\\t\\n\\f\\r ]b"),
         (r"(?i)ask", "(?i)a[sſ][k\u212a]"),
         (r"(?i)[a-z]", "(?i)[a-z\u212aſ]"),
+        (r"[A-C0-2_]+", "[ABC012_]+"),
+        (r"[\p{L}0-2]", r"[\p{L}012]"),
         (r"[\s\S]", "[\\t\\n\\f\\r \\S\\x0B]"),
         (r"x.y$", r"x[^\n]y\z"),
         (r"\x{200b}", r"\x{200b}"),

@@ -10,11 +10,11 @@ no deep stack on long inputs.
 
 from __future__ import annotations
 
-WORD = "0-9A-Za-z_"
 SPACE = r"\t\n\f\r "
-BEFORE = f"(?<![{WORD}])"
-AFTER = f"(?![{WORD}])"
-BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+# There, ``\w`` is ASCII; only ``\b`` is not.
+BEFORE = r"(?<!\w)"
+AFTER = r"(?!\w)"
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 # The only non-ASCII characters that fold to ASCII letters: long s, Kelvin sign.
 FOLDS = {"s": "ſ", "k": "\u212a"}
@@ -28,26 +28,32 @@ def _folded_letter(ch: str) -> str:
     return ch
 
 
-def _class(body: str, fold: bool) -> str:
-    """Body of a bracket class, JVM form."""
+def _class(body: str, fold: bool = False) -> str:
+    """Body of a bracket class, JVM form.
+
+    Ranges are spelled out: the JVM looks single characters up in one table, but
+    tests ranges one after the other.
+    """
     out, i, letters = [], 0, set()
     while i < len(body):
         ch = body[i]
         if ch == "\\":
             pair = body[i : i + 2]
+            if pair in (r"\p", r"\P") and body[i + 2 : i + 3] == "{":
+                pair = body[i : body.index("}", i) + 1]
             out.append({r"\s": SPACE, r"\S": r"\S\x0B"}.get(pair, pair))
-            i += 2
+            i += len(pair)
             continue
-        if ch in "[&":
-            out.append("\\" + ch)
+        high = body[i + 2] if body[i + 1 : i + 2] == "-" and i + 2 < len(body) and body[i + 2] != "\\" else ch
+        if high != ch and (ch + high).isascii() and ch.isalnum() and high.isalnum() and len(body) > 3:
+            out.extend(map(chr, range(ord(ch), ord(high) + 1)))
+            i += 2
+        elif high != ch:
+            out.append(body[i : i + 3])
+            i += 2
         else:
-            out.append(ch)
-            low, high = ch, ch
-            if body[i + 1 : i + 2] == "-" and i + 2 < len(body) and body[i + 2] != "\\":
-                high = body[i + 2]
-            for letter in FOLDS:
-                if low.lower() <= letter <= high.lower() and low.isalpha() and high.isalpha():
-                    letters.add(letter)
+            out.append("\\" + ch if ch in "[&" else ch)
+        letters.update(f for f in FOLDS if ch.isalpha() and high.isalpha() and ch.lower() <= f <= high.lower())
         i += 1
     if fold:
         out.extend(FOLDS[letter] for letter in sorted(letters))
@@ -100,18 +106,22 @@ def to_java(regex: str) -> str:
 
 
 _S = f"[{SPACE}]"
-_A = "[a-zA-Zſ\u212a]"
-_AS = f"[a-zA-Zſ\u212a{SPACE}]"
+_LETTERS = _class("a-zA-Z", fold=True)
+_A = f"[{_LETTERS}]"
+_AS = f"[{_LETTERS}{SPACE}]"
 # Words of two or more letters with blanks between, one character per turn, so
 # that the engine loops instead of recursing once per word.
 _WORDS = f"{_A}{{2}}(?:(?!(?<={_S}{_A}){_S}){_AS})*(?<={_A}{_A})"
-_LOCAL = r"A-Za-z0-9._%+\-"
+_LOCAL = _class(r"A-Za-z0-9._%+\-")
 _LOCAL_ANY = r"\p{L}\p{N}._%+\-"
+_DOMAIN = _class(r"A-Za-z0-9.\-")
+_UPPER = _class("A-Z0-9")
+_BASE64 = _class("A-Za-z0-9+/")
 
 JVM = {
-    "pii_email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,24}}",
+    "pii_email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_DOMAIN}]+\.[A-Za-z]{{2,24}}",
     "pii_email_intl": rf"(?:(?<![{_LOCAL_ANY}])|\G)[{_LOCAL_ANY}]++@[\p{{L}}\p{{N}}.\-]+\.[\p{{L}}]{{2,24}}",
-    "email": rf"{BOUNDARY}[{_LOCAL}]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{AFTER}",
+    "email": rf"{BOUNDARY}[{_LOCAL}]++@[{_DOMAIN}]+\.[a-zA-Z]{{2,}}{AFTER}",
     "pii_address": (
         rf"(?i){BEFORE}[0-9]{{1,6}}+{_S}++{_WORDS}{_S}+"
         rf"(?:[sſ]treet|[sſ]t|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way|Court|Ct|Place|Pl){AFTER}"
@@ -123,17 +133,17 @@ JVM = {
     ),
     "pii_bip39_seed": f"{BEFORE}(?:[a-z]{{3,8}}+{_S}++){{11}}[a-z]{{3,8}}+{AFTER}",
     "pii_letter_only_id": f"{BEFORE}[A-Z]{{8,12}}+{AFTER}",
-    "pii_id_multisegment": f"{BEFORE}[A-Z][A-Z0-9]{{1,7}}[-.][A-Z0-9]{{1,8}}(?:[-.][A-Z0-9]{{1,8}}){{1,3}}{AFTER}",
-    "pii_iban": f"{BEFORE}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+{AFTER}",
+    "pii_id_multisegment": f"{BEFORE}[A-Z][{_UPPER}]{{1,7}}[-.][{_UPPER}]{{1,8}}(?:[-.][{_UPPER}]{{1,8}}){{1,3}}{AFTER}",
+    "pii_iban": f"{BEFORE}[A-Z]{{2}}[0-9]{{2}}[{_UPPER}]{{11,30}}+{AFTER}",
     "pii_icd10_code": rf"{BEFORE}[A-TV-Z][0-9][0-9AB]\.[0-9A-TV-Z]{{1,4}}+{AFTER}",
     "lgpd_reference": (
         rf"(?i){BOUNDARY}(?:LGPD|Lei{_S}+Geral{_S}+de{_S}+Protec[çÇa]ção{_S}+de{_S}+Dado[sſ]"
         rf"|Art\.{_S}*[0-9]+(?:[{SPACE},º°]++(?:VIII|VII|VI|V|IV|IX|III|II|I|X){AFTER})*+"
         rf"|dado[sſ]{_S}+pe[sſ][sſ]oai[sſ]|controlador|operador|ANPD){BOUNDARY}"
     ).replace("ção", "[çÇ][ãÃ]o"),
-    "passport": f"{BEFORE}[A-Z0-9]{{9}}{AFTER}",
+    "passport": f"{BEFORE}[{_UPPER}]{{9}}{AFTER}",
     "health_info": rf"(?i){BOUNDARY}(?:mrn|patient|health|medical|hipaa){BOUNDARY}[^0-9]*+[0-9]{{5,12}}",
-    "base64_encoding": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+={0,2}",
+    "base64_encoding": f"(?<![{_BASE64}])[{_BASE64}]{{20,}}+={{0,2}}",
     "repetitive_padding": r"(?i)([a-z])\1{4,}|[0-9]{5,}",
 }
 
