@@ -32,6 +32,8 @@ def spread(df: DataFrame) -> DataFrame:
     Scans are CPU-bound, and a file of one row group is one task however many
     splits it has. An input of fewer than four splits per core is redealt; a
     large table has far more splits and passes through, its texts unshuffled.
+    Meant for a source: on a plan with a shuffle, asking for the number of
+    partitions would already run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
