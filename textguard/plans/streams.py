@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.operators import drift, evaluate, policy, threat
-from textguard.plans import monitoring, scoring, sql, verdicts  # noqa: F401
+from textguard.plans import monitoring, sql, verdicts
 from textguard.plans.registry import ORACLES, query
 from textguard.session import shared_dir
 from textguard.sources.tables import stream, table, traffic_stream
