@@ -86,11 +86,11 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int = ROWS * BAND
     limit = (size * math.log(size) + 2 * size) / float(weights.sum())
     while True:
         ranks, values = [], []
-        rank, alive, step = np.zeros(total), seed, np.uint64(0)
+        rank, alive, step = np.zeros(total), seed, 0
         space = room
         while len(alive):
-            step += np.uint64(1)
-            dart = _mixed(alive + step * _MIX)
+            step += 1
+            dart = _mixed(alive + np.uint64(step * int(_MIX) % 2**64))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             on = rank < limit
             rank, alive, space, dart = rank[on], alive[on], space[on], dart[on]

@@ -36,7 +36,9 @@ _BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Rules of each policy version.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
-    "v1": tuple(_BIT),
+    # Repeated lines alone also befall clean pages with menus; line dedup sees to them.
+    "v1": tuple(rule for rule in _BIT if rule != "repeated_lines"),
+    "strict": tuple(_BIT),
 }
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_exclaims", "n_capitals",

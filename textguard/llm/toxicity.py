@@ -1,13 +1,13 @@
-"""Toxicity as an ordered severity: cumulative-link regression on sparse word features.
+"""Toxicity as an ordered severity: cumulative-link regression on sparse text features.
 
-A document is the set of its words. All thresholds share one weight per word: the
-logit of ``severity > k`` is ``bias_k`` lower for each higher grade, and the expected severity
+A document is the set of its words and of their first letters, which stand for a stem
+with its endings. All thresholds share one weight per feature: the logit of ``severity > k`` is ``bias_k`` lower for each higher grade, and the expected severity
 is the sum of those probabilities. The model is fitted on a bounded sample of labelled
 documents; scoring looks at every word of every document.
 
 Grades of the sample come from its labels: 0 is a document that is not labelled toxic;
-toxic ones have grade 1 to 3 by how many words of theirs mark toxic documents (one, two,
-or more), where a word marks them if it occurs in several, and hardly in others.
+toxic ones have grade 1 to 3 by how many stems of theirs mark toxic documents (one, two,
+or more), where a stem marks them if it occurs in several, and hardly in others.
 
 Defined cases: a null or empty text has no words and the severity of the thresholds
 alone. Without labelled documents of both kinds the model is empty and every document
@@ -33,27 +33,32 @@ from textguard.llm.store import in_arrow
 #: Labelled documents the model is fitted on, of each kind about.
 SAMPLE = 2000
 GRADES = 3
-#: Words of fewer sampled documents are no features.
+#: Words and stems of fewer sampled documents are no features.
 LEAST = 4
-ROUNDS = 400
-SPARSE = 2e-4
+ROUNDS = 300
+SPARSE = 3e-3
+#: Letters of a stem.
+STEM = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def features(text: str | None) -> set[str]:
+    """Words in lower case, and their stems with a star."""
+    words = set(_WORD.findall((text or "").lower()))
+    words.update([w[:STEM] + "*" for w in words])
+    return words
 
 
 @dataclass
 class Model:
-    """Weights by word, and one threshold per grade from 1 on."""
+    """Weights by feature, and one threshold per grade from 1 on."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [50.0] * GRADES)
 
     def score(self, text: str | None) -> float:
         get = self.weights.get
-        return sum([get(w, 0.0) for w in words_of(text)])
+        return sum([get(w, 0.0) for w in features(text)])
 
     def severity(self, scores: np.ndarray) -> np.ndarray:
         """Probability of each grade or more, one column per grade."""
@@ -78,7 +83,7 @@ def fit(rows: list[tuple[str, bool]]) -> Model:
     toxic = np.array([t for _, t in rows], bool)
     if not toxic.any() or toxic.all():
         return Model()
-    sets = [words_of(t) for t, _ in rows]
+    sets = [features(t) for t, _ in rows]
     seen: dict[str, list[int]] = {}
     for i, words in enumerate(sets):
         for w in words:
@@ -87,7 +92,7 @@ def fit(rows: list[tuple[str, bool]]) -> Model:
     n, rate = len(rows), toxic.mean()
     share = np.array([toxic[seen[w]].mean() for w in vocabulary])
     often = np.array([len(seen[w]) for w in vocabulary])
-    marks = {w for w, s, k in zip(vocabulary, share, often) if s >= 0.95 and k * (1 - rate) >= 10}
+    marks = {w for w, s, k in zip(vocabulary, share, often) if w[-1] == "*" and s >= 0.95 and k * (1 - rate) >= 10}
     grade = np.array([min(GRADES, max(1, len(s & marks))) if t else 0 for s, t in zip(sets, toxic)])
     row = np.concatenate([np.array(seen[w]) for w in vocabulary]) if vocabulary else np.zeros(0, int)
     col = np.repeat(np.arange(len(vocabulary)), often)
