@@ -62,10 +62,13 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_k
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "_id", "pos", "_row"
     )
     order = ["h1", "h2", "_id", "pos"]
-    ordered = stored(stored(hashed, "lines").repartitionByRange(*order).sortWithinPartitions(*order), "ordered")
-    first = ordered.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-    shared = first.where("first < last").select("h1", "h2", "first")
-    later = ordered.join(shared, ["h1", "h2"]).where(F.col("_id") > F.col("first"))
+    ranges = stored(hashed, "lines").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = stored(ranges.withColumn("range", F.spark_partition_id()), "ordered")
+    # A hash that fills several ranges is joined range by range.
+    inside = stored(ordered.groupBy("h1", "h2", "range").agg(F.min("_id").alias("first"), F.max("_id").alias("last")), "inside")
+    first = inside.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
+    shared = inside.select("h1", "h2", "range").join(first.select("h1", "h2", "first"), ["h1", "h2"])
+    later = ordered.join(shared, ["h1", "h2", "range"]).where(F.col("_id") > F.col("first"))
     bits = later.groupBy("_id", "_row", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
