@@ -108,6 +108,6 @@ measures AS (
 ), judged AS (SELECT *, CAST({_failed} AS BIGINT) AS failed FROM measures)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed = 0 AS kept, failed
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed & {quality.mask('v1')} = 0 AS kept, failed
 FROM judged
 """

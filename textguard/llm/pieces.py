@@ -38,7 +38,7 @@ from textguard.llm.store import in_arrow
 
 SPACE = "▁"
 #: Entries of each table of kept results in a worker; a full table starts anew.
-KEPT = 400_000
+KEPT = 250_000
 
 
 class Kept(dict):
@@ -56,29 +56,15 @@ class Kept(dict):
 
 
 class Pieces:
-    """Encoder and decoder of one model file."""
+    """Encoder and decoder of one model file. What only encoding needs is made then."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
-        self.ids = {model.id_to_piece(i): i for i in range(n) if not special[i]}
-        self.rank = {piece: -model.get_score(i) for piece, i in self.ids.items()}
+        self.piece = [None if special[i] else model.id_to_piece(i) for i in range(n)]
+        self.score = [model.get_score(i) for i in range(n)]
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.found = ahocorasick.Automaton()
-        self.size = [0] * n
-        for piece, i in self.ids.items():
-            self.found.add_word(piece, i)
-            self.size[i] = len(piece)
-        self.found.make_automaton()
-        # The next shorter piece that a piece starts with, or 0.
-        self.shorter = [0] * n
-        for piece, i in self.ids.items():
-            self.shorter[i] = next((self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), 0)
-        self.piece = [None] * n
-        for piece, i in self.ids.items():
-            self.piece[i] = piece
         # Bytes each id decodes to; control ids stand for nothing.
         self.out = [p.replace(SPACE, " ").encode() if p else b"" for p in self.piece]
         self.out[model.unk_id()] = " ⁇ ".encode()
@@ -86,9 +72,49 @@ class Pieces:
         for b, i in enumerate(self.byte):
             self.out[i] = bytes([b])
             self.is_byte[i] = True
-        self.fits = Kept(self._fits)
-        self.part = Kept(self._part, KEPT * 3 // 2)
-        self.unit = Kept(self._unit)
+
+    @functools.cached_property
+    def ids(self) -> dict[str, int]:
+        return {p: i for i, p in enumerate(self.piece) if p}
+
+    @functools.cached_property
+    def rank(self) -> dict[str, float]:
+        return {p: -self.score[i] for p, i in self.ids.items()}
+
+    @functools.cached_property
+    def pairs(self) -> set[str]:
+        """All two characters that stand side by side in a piece."""
+        return {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    @functools.cached_property
+    def size(self) -> list[int]:
+        return [len(p or "") for p in self.piece]
+
+    @functools.cached_property
+    def shorter(self) -> list[int]:
+        """The next shorter piece that a piece starts with, or 0."""
+        heads = lambda p: (self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids)
+        return [next(heads(p), 0) if p else 0 for p in self.piece]
+
+    @functools.cached_property
+    def found(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            found.add_word(piece, i)
+        found.make_automaton()
+        return found
+
+    @functools.cached_property
+    def fits(self) -> Kept:
+        return Kept(self._fits)
+
+    @functools.cached_property
+    def part(self) -> Kept:
+        return Kept(self._part)
+
+    @functools.cached_property
+    def unit(self) -> Kept:
+        return Kept(self._unit)
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself, for short strings: best score first, leftmost of
@@ -210,7 +236,7 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 
 #: Bytes of text after which the rows of a batch are handed on.
-SLICE = 8_000_000
+SLICE = 3_000_000
 
 
 def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
