@@ -9,10 +9,11 @@ up to a rank that fills the coordinates of a text of that weight; it doubles unt
 are filled, so texts of any length cost about the same beyond one look at each shingle.
 
 Bands of coordinates are joined through buckets. Exact copies count once. A bucket
-links each member to its least one; classes that are already one are dropped, members of
-different classes in small buckets are compared pair by pair, and large buckets are
-split by every other band and go round again. Every link is verified on the exact
-weighted similarity. Classes are the connected components of the links.
+links each member to its least one, which leaves most buckets with a single class. In the
+others, the members outside the largest class are compared with a few members of other
+classes, and those that then still stand apart with all of them; copies inside a class
+are never paired with each other. Every link is verified on the exact weighted
+similarity. Classes are the connected components of the links.
 
 Defined cases: words are those between white space, in lower case. Texts with fewer than
 five words are near-duplicates only of texts with the same words; null and empty texts
@@ -42,10 +43,8 @@ SIMILAR = 0.8
 #: A pair at 0.8 is missed with a probability of (1 - 0.8 ** 6) ** 32, 6e-5.
 ROWS = 6
 BANDS = 32
-#: Buckets up to this size are compared pair by pair.
-SMALL = 24
-#: Rounds of splitting; what is left then is compared whatever its size.
-DEPTH = 3
+#: Members of a bucket that its strays are compared with before they are compared with all.
+PICKS = (16,)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = Kept(xxhash.xxh64_intdigest)
 
@@ -75,78 +74,104 @@ def weighted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams, return_counts=True)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, size: int = ROWS * BANDS) -> np.ndarray:
-    """The value of the earliest dart at each coordinate."""
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = ROWS * BANDS) -> np.ndarray:
+    """The value of the earliest dart at each coordinate, one row per weighted set."""
     # A region of weight w is cut in slabs of height one; the last may be lower.
+    elements, weights = (np.concatenate([x[i] for x in sets]) for i in (0, 1))
+    owner = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])
     slabs = np.ceil(weights).astype(np.int64)
-    total = int(slabs.sum())
-    level = np.arange(total) - np.repeat(np.cumsum(slabs) - slabs, slabs)
+    level = np.arange(int(slabs.sum())) - np.repeat(np.cumsum(slabs) - slabs, slabs)
     seed = _mixed(np.repeat(elements, slabs) + _MIX * (level.astype(np.uint64) + np.uint64(1)))
     room = np.minimum(1.0, np.repeat(weights, slabs) - level)
-    limit = (size * math.log(size) + 2 * size) / float(weights.sum())
-    while True:
-        ranks, values = [], []
-        rank, alive, step = np.zeros(total), seed, 0
-        space = room
+    owner = np.repeat(owner, slabs)
+    out = np.zeros((len(sets), size), np.uint64)
+    limit = (size * math.log(size) + 2 * size) / np.bincount(owner, room, len(sets))
+    open_ = np.ones(len(sets), bool)
+    while open_.any():
+        on = open_[owner]
+        alive, space, of, rank, step = seed[on], room[on], owner[on], np.zeros(int(on.sum())), 0
+        best = np.full(len(sets) * size, np.inf)
+        thrown = []
         while len(alive):
             step += 1
             dart = _mixed(alive + np.uint64(step * int(_MIX) % 2**64))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            on = rank < limit
-            rank, alive, space, dart = rank[on], alive[on], space[on], dart[on]
-            height = (_mixed(dart ^ _MIX) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            hit = height < space
-            ranks.append(rank[hit])
-            values.append(dart[hit])
-        rank, value = np.concatenate(ranks), np.concatenate(values)
-        place = (_mixed(value + np.uint64(1)) % np.uint64(size)).astype(np.int64)
-        order = np.lexsort((rank, place))
-        first, at = np.unique(place[order], return_index=True)
-        if len(first) == size:
-            return value[order][at]
-        limit *= 2
-
-
-def bands(sign: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One hash for each band of a signature."""
-    parts = sign.reshape(-1, rows)
-    out = np.arange(len(parts), dtype=np.uint64)
+            on = rank < limit[of]
+            rank, alive, space, of, dart = rank[on], alive[on], space[on], of[on], dart[on]
+            hit = (_mixed(dart ^ _MIX) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < space
+            value = dart[hit]
+            place = of[hit] * size + (_mixed(value + np.uint64(1)) % np.uint64(size)).astype(np.int64)
+            np.minimum.at(best, place, rank[hit])
+            thrown.append((place, rank[hit], value))
+        best = best.reshape(len(sets), size)
+        done = open_ & np.isfinite(best).all(axis=1)
+        flat = out.reshape(-1)
+        for place, at, value in thrown:
+            first = (at == best.reshape(-1)[place]) & done[place // size]
+            flat[place[first]] = value[first]
+        open_ &= ~done
+        limit = limit * 2
+    return out
+
+
+def bands(signs: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One hash for each band of each signature."""
+    parts = signs.reshape(len(signs), -1, rows)
+    out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2])
     for k in range(rows):
-        out = _mixed(out * _MIX + parts[:, k])
+        out = _mixed(out * _MIX + parts[:, :, k])
     return out.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two weighted sets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
-    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
+def marked(grams: np.ndarray) -> np.ndarray:
+    """A set that stands for the weighted set: each further occurrence of a shingle is an
+    element of its own. Sorted hashes of 32 bits."""
+    grams = np.sort(grams)
+    first = np.concatenate([[True], grams[1:] != grams[:-1]])
+    place = np.arange(len(grams))
+    again = place - np.maximum.accumulate(np.where(first, place, 0))
+    return np.unique((_mixed(grams + again.astype(np.uint64) * _MIX) >> np.uint64(32)).astype("<u4"))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two ``marked`` sets."""
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return shared / (len(a) + len(b) - shared)
+
+
+#: Texts that are signed together.
+_TOGETHER = 64
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h1, h2, text) to (id, h1, h2, bands)."""
-    for batch in batches:
-        made = [bands(signature(*weighted(shingles(t)))) for t in batch.column(3).to_pylist()]
-        values = pa.array(np.concatenate(made)) if made else pa.array([], pa.int64())
-        ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * BANDS)
-        arrays = [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(ends, values)]
+    for whole in batches:
+        made = []
+        for k in range(0, whole.num_rows, _TOGETHER):
+            texts = whole.column(3).slice(k, _TOGETHER).to_pylist()
+            made.append(bands(signatures([weighted(shingles(t)) for t in texts])))
+        values = pa.array(np.concatenate(made).reshape(-1)) if made else pa.array([], pa.int64())
+        ends = pa.array(np.arange(whole.num_rows + 1, dtype=np.int32) * BANDS)
+        arrays = [whole.column(0), whole.column(1), whole.column(2), pa.ListArray.from_arrays(ends, values)]
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "bands"])
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, grams): the sorted shingle hashes as bytes, 32 bits each."""
+    """(id, text) to (id, grams): the text's ``marked`` set as bytes."""
     for batch in batches:
-        grams = [np.sort((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+        grams = [marked(shingles(t)).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, grams of a, grams of b) to the pairs that are similar enough."""
-    read = lambda x: weighted(np.frombuffer(x, "<u4"))
     for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        kept = pa.array([similarity(read(x), read(y)) >= SIMILAR for x, y in zip(left, right)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(kept)
+        kept = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+            near = min(len(x), len(y)) >= SIMILAR * max(len(x), len(y))
+            kept.append(near and similarity(x, y) >= SIMILAR)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -163,34 +188,31 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return in_arrow(both.select("a", "b", "x", "y"), _verified, "a long, b long")
 
 
-def _compared(buckets: DataFrame, bands_of: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links among the members of buckets (``key``, ``id``), as ``(a, b)``."""
-    links = None
-    for depth in range(DEPTH + 1):
-        stats = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-        shared = stored(buckets.join(stats.where("n > 1"), "key"), "buckets")
-        star = shared.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-        found = stored(_links(star, texts), "star")
-        links = found if links is None else stored(links.union(found), "links")
+def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join all similar members of buckets (``key``, ``id``), as ``(a, b)``."""
+    stats = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    shared = stored(buckets.join(stats.where("n > 1"), "key"), "buckets")
+    star = shared.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    links = stored(_links(star, texts), "links")
+    rest = shared.select("key", "id", "n")
+    for most in (*PICKS, None):
         roots = components(links)
-        # Members whose class is not the one of their bucket's least member.
-        placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        placed = rest.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
         placed = placed.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-        left = stored(placed.join(mixed, "key", "left_semi"), "left")
-        last = depth == DEPTH
-        few = left if last else left.where(F.col("n") <= SMALL)
-        other = few.select("key", F.col("id").alias("b"), F.col("root").alias("s"))
-        pairs = few.join(other, "key").where("root != s AND id > b").select(F.col("id").alias("a"), "b")
+        # The class that most members of a bucket are in; the others are its strays.
+        each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
+        rest = stored(placed.join(main.select("key", F.col("m.root").alias("main")), "key"), "rest")
+        strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"))
+        # Members are picked by a hash of bucket and id, all of them in small buckets and in
+        # the last round: every pair of different classes has been compared by then.
+        picked = rest if most is None else rest.where(
+            F.pmod(F.xxhash64("key", "id"), F.greatest(F.lit(1), F.floor(F.col("n") / most)).cast("long")) == 0
+        )
+        pairs = strays.join(picked.select("key", F.col("id").alias("y"), "root"), "key").where("s != root")
+        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         links = stored(links.union(_links(pairs, texts)), "links")
-        if last:
-            break
-        large = left.where(F.col("n") > SMALL).select("key", "id")
-        if large.isEmpty():
-            break
-        # Two similar members share some other band as well.
-        split = large.join(bands_of, "id").select("key", "id", F.posexplode("bands").alias("band", "value"))
-        buckets = stored(split.select(F.xxhash64("key", "band", "value").alias("key"), "id").distinct(), "split")
+        rest = rest.select("key", "id", "n")
     return links
 
 
@@ -207,7 +229,7 @@ def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     bands_of = stored(signed.select("id", "bands").join(reps, "id", "left_semi"), "bands")
     each = bands_of.select("id", F.posexplode("bands").alias("band", "value"))
     buckets = each.select(F.xxhash64("band", "value").alias("key"), "id").distinct()
-    links = _compared(buckets, bands_of, rows).distinct()
+    links = stored(_compared(buckets, rows).distinct(), "links")
     # A document with several texts ties their classes.
     tied = members.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"))
