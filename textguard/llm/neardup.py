@@ -10,9 +10,9 @@ are filled, so texts of any length cost about the same beyond one look at each s
 
 Bands of coordinates are joined through buckets. Exact copies count once. A bucket
 links each member to its least one, which leaves most buckets with a single class. In the
-others, the members outside the largest class are compared with a few members of other
-classes, and those that then still stand apart with all of them; copies inside a class
-are never paired with each other. Every link is verified on the exact weighted
+others, the members outside the largest class are compared with all members of small
+classes and a few of large ones. Those that then still stand apart from a large class
+meet all of it, block by block; copies inside a class are never paired. Every link is verified on the exact weighted
 similarity. Classes are the connected components of the links.
 
 Defined cases: words are those between white space, in lower case. Texts with fewer than
@@ -43,8 +43,10 @@ SIMILAR = 0.8
 #: A pair at 0.8 is missed with a probability of (1 - 0.8 ** 6) ** 32, 6e-5.
 ROWS = 6
 BANDS = 32
-#: Members of a bucket that its strays are compared with before they are compared with all.
-PICKS = (16,)
+#: About so many members of a bucket its strays meet first.
+PICKS = 16
+#: Classes up to this size are compared member by member, larger ones in blocks of it.
+BLOCK = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = Kept(xxhash.xxh64_intdigest)
 
@@ -174,46 +176,96 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ids, sets of strays; ids, sets of members of a class) to the similar pairs."""
+    for batch in batches:
+        left, right = [], []
+        for xs, gx, ys, gy in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            sets = [np.frombuffer(g, "<u4") for g in gy]
+            size = np.array([len(g) for g in sets])
+            ends = np.cumsum(size) - size
+            all_ = np.concatenate(sets)
+            for x, g in zip(xs, gx):
+                own = np.frombuffer(g, "<u4")
+                at = np.minimum(np.searchsorted(own, all_), len(own) - 1)
+                shared = np.add.reduceat((own[at] == all_).astype(np.int64), ends)
+                for k in np.flatnonzero(shared >= SIMILAR * (size + len(own) - shared)):
+                    left.append(max(x, ys[k]))
+                    right.append(min(x, ys[k]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, grams)``: the ``marked`` sets of the texts in ``ids``."""
+    ids = stored(ids.select("id").distinct().withColumn("key", F.xxhash64("id")), "ids")
+    # Only texts that are asked for are shuffled: the filter has a fixed size, the join is exact.
+    some = bloom.maybe_in(texts.withColumn("key", F.xxhash64("id")), "key", bloom.bloom_table(ids, "key", 15), 15)
+    grams = in_arrow(some.select("id", "text"), _featured, "id long, grams binary")
+    return stored(grams.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id", "grams"]), "grams")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose exact similarity is high enough."""
     pairs = stored(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = stored(ids.withColumn("key", F.xxhash64("id")), "ids")
-    # Only texts of the pairs are shuffled: the filter has a fixed size, the join is exact.
-    some = bloom.maybe_in(texts.withColumn("key", F.xxhash64("id")), "key", bloom.bloom_table(ids, "key", 15), 15)
-    grams = in_arrow(some.select("id", "text"), _featured, "id long, grams binary")
-    grams = stored(grams.join(ids.select("id"), "id", "left_semi"), "grams")
+    grams = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), texts)
     both = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = both.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     return in_arrow(both.select("a", "b", "x", "y"), _verified, "a long, b long")
 
 
+def _mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``(key, id, n, root, main, size)`` of the buckets with several classes: a member's
+    class, the class that most members of the bucket are in, and the class's size."""
+    roots = components(links)
+    placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    placed = placed.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    rows = placed.join(main.select("key", F.col("m.root").alias("main")), "key").join(sizes, "root", "left")
+    return stored(rows.select("key", "id", "n", "root", "main", F.coalesce("size", F.lit(1)).alias("size")), "mixed")
+
+
+def _block_links(strays: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between strays (``id``, ``class``) and all members (``id``, ``class``, ``size``) of those
+    classes, compared block by block: a row is one block of strays and one of members."""
+    grams = _sets(strays.select("id").union(members.select("id")), texts)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long"))
+    asked = strays.groupBy("class").agg(F.count("*").alias("asked"))
+    some = strays.join(grams, "id").join(asked, "class").withColumn("block", block(F.col("asked")))
+    some = some.groupBy("class", "block").agg(F.collect_list("id").alias("xs"), F.collect_list("grams").alias("gx"))
+    own = members.join(grams, "id").withColumn("at", block(F.col("size")))
+    own = own.groupBy("class", "at").agg(F.collect_list("id").alias("ys"), F.collect_list("grams").alias("gy"))
+    return in_arrow(some.join(own, "class").select("xs", "gx", "ys", "gy"), _in_blocks, "a long, b long")
+
+
 def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join all similar members of buckets (``key``, ``id``), as ``(a, b)``."""
     stats = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     shared = stored(buckets.join(stats.where("n > 1"), "key"), "buckets")
     star = shared.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     links = stored(_links(star, texts), "links")
-    rest = shared.select("key", "id", "n")
-    for most in (*PICKS, None):
-        roots = components(links)
-        placed = rest.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        placed = placed.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        # The class that most members of a bucket are in; the others are its strays.
-        each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-        main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
-        rest = stored(placed.join(main.select("key", F.col("m.root").alias("main")), "key"), "rest")
-        strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"))
-        # Members are picked by a hash of bucket and id, all of them in small buckets and in
-        # the last round: every pair of different classes has been compared by then.
-        picked = rest if most is None else rest.where(
-            F.pmod(F.xxhash64("key", "id"), F.greatest(F.lit(1), F.floor(F.col("n") / most)).cast("long")) == 0
-        )
-        pairs = strays.join(picked.select("key", F.col("id").alias("y"), "root"), "key").where("s != root")
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        links = stored(links.union(_links(pairs, texts)), "links")
-        rest = rest.select("key", "id", "n")
-    return links
+    # Members outside their bucket's largest class, its strays, meet all members of small
+    # classes and some of large ones, picked by a hash of bucket and id.
+    rest = _mixed_buckets(shared.select("key", "id", "n"), links)
+    strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"))
+    picked = rest.where(
+        (F.col("size") <= BLOCK)
+        | (F.pmod(F.xxhash64("key", "id"), F.greatest(F.lit(1), F.floor(F.col("n") / PICKS)).cast("long")) == 0)
+    )
+    pairs = strays.join(picked.select("key", F.col("id").alias("y"), "root"), "key").where("s != root")
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    links = stored(links.union(_links(pairs, texts)), "links")
+    # Those that still stand apart from a large class meet all of it.
+    rest = _mixed_buckets(rest.select("key", "id", "n"), links)
+    large = rest.where(F.col("size") > BLOCK).select("key", F.col("root").alias("class")).distinct()
+    apart = rest.where("root != main").select("key", "id", "root").join(large, "key").where("root != class")
+    apart = stored(apart.select("id", "class").distinct(), "apart")
+    whole = components(links).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    whole = whole.join(apart.select("class").distinct(), "class", "left_semi")
+    sizes = rest.select(F.col("root").alias("class"), "size").distinct()
+    members = stored(whole.join(sizes, "class").select("id", "class", "size"), "members")
+    return links.union(_block_links(apart, members, texts))
 
 
 def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
