@@ -11,8 +11,9 @@ are filled, so texts of any length cost about the same beyond one look at each s
 Bands of coordinates are joined through buckets. Exact copies count once. A bucket
 links each member to its least one, which leaves most buckets with a single class. In the
 others, the members outside the largest class are compared with all members of small
-classes and a few of large ones. Those that then still stand apart from a large class
-meet all of it, block by block; copies inside a class are never paired. Every link is verified on the exact weighted
+classes and a few of large ones, and those that then still stand apart with all; copies
+inside a class are never paired, nor are texts which have too little in common with any
+other class to be similar to one of its members. Every link is verified on the exact weighted
 similarity. Classes are the connected components of the links.
 
 Defined cases: words are those between white space, in lower case. Texts with fewer than
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm import bloom
@@ -45,8 +46,6 @@ ROWS = 6
 BANDS = 32
 #: About so many members of a bucket its strays meet first.
 PICKS = 16
-#: Classes up to this size are compared member by member, larger ones in blocks of it.
-BLOCK = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = Kept(xxhash.xxh64_intdigest)
 
@@ -176,23 +175,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ids, sets of strays; ids, sets of members of a class) to the similar pairs."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, grams) to (id, token), one row per element of the set."""
     for batch in batches:
-        left, right = [], []
-        for xs, gx, ys, gy in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            sets = [np.frombuffer(g, "<u4") for g in gy]
-            size = np.array([len(g) for g in sets])
-            ends = np.cumsum(size) - size
-            all_ = np.concatenate(sets)
-            for x, g in zip(xs, gx):
-                own = np.frombuffer(g, "<u4")
-                at = np.minimum(np.searchsorted(own, all_), len(own) - 1)
-                shared = np.add.reduceat((own[at] == all_).astype(np.int64), ends)
-                for k in np.flatnonzero(shared >= SIMILAR * (size + len(own) - shared)):
-                    left.append(max(x, ys[k]))
-                    right.append(min(x, ys[k]))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        for i, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(g, "<u4").view("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own)], names=["id", "token"])
 
 
 def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,17 +214,31 @@ def _mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return stored(rows.select("key", "id", "n", "root", "main", F.coalesce("size", F.lit(1)).alias("size")), "mixed")
 
 
-def _block_links(strays: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between strays (``id``, ``class``) and all members (``id``, ``class``, ``size``) of those
-    classes, compared block by block: a row is one block of strays and one of members."""
-    grams = _sets(strays.select("id").union(members.select("id")), texts)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long"))
-    asked = strays.groupBy("class").agg(F.count("*").alias("asked"))
-    some = strays.join(grams, "id").join(asked, "class").withColumn("block", block(F.col("asked")))
-    some = some.groupBy("class", "block").agg(F.collect_list("id").alias("xs"), F.collect_list("grams").alias("gx"))
-    own = members.join(grams, "id").withColumn("at", block(F.col("size")))
-    own = own.groupBy("class", "at").agg(F.collect_list("id").alias("ys"), F.collect_list("grams").alias("gy"))
-    return in_arrow(some.join(own, "class").select("xs", "gx", "ys", "gy"), _in_blocks, "a long, b long")
+def _bounded(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rest`` with ``all``, the elements of a member's set, ``common``, those that occur in
+    some other class as well (no link to another class can share more), and ``keys``, its
+    buckets, of which there are no more than bands."""
+    ids = stored(rest.select("id", "root").distinct(), "ids")
+    each = in_arrow(_sets(ids.select("id"), texts), _tokens, "id long, token int").join(ids, "id")
+    each = stored(each.select("token", "id", "root"), "tokens")
+    spread = each.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+    common = each.join(spread, "token").groupBy("id").agg(F.count("*").alias("common"))
+    counts = each.groupBy("id").agg(F.count("*").alias("all")).join(common, "id", "left")
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    counts = counts.select("id", "all", F.coalesce("common", F.lit(0)).alias("common")).join(keys, "id")
+    return stored(rest.join(counts, "id"), "bounded")
+
+
+def _across(rest: DataFrame, picked: Column) -> DataFrame:
+    """Pairs of a bucket's strays with its ``picked`` members of other classes, but for those
+    that cannot be similar by what they have in common with any other class."""
+    strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"), F.col("all").alias("nx"), F.col("common").alias("cx"), F.col("keys").alias("kx"))
+    others = rest.where(picked).select("key", F.col("id").alias("y"), "root", F.col("all").alias("ny"), F.col("common").alias("cy"), F.col("keys").alias("ky"))
+    # A pair meets in one bucket only, the first that it shares;
+    # shared / (nx + ny - shared) >= SIMILAR for the most that they can share
+    possible = F.expr(f"s != root AND {1 + SIMILAR} * least(cx, cy) >= {SIMILAR} * (nx + ny) - 1e-6 AND key = array_min(array_intersect(kx, ky))")
+    pairs = strays.join(others, "key").where(possible)
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -245,27 +247,12 @@ def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     shared = stored(buckets.join(stats.where("n > 1"), "key"), "buckets")
     star = shared.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     links = stored(_links(star, texts), "links")
-    # Members outside their bucket's largest class, its strays, meet all members of small
-    # classes and some of large ones, picked by a hash of bucket and id.
-    rest = _mixed_buckets(shared.select("key", "id", "n"), links)
-    strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"))
-    picked = rest.where(
-        (F.col("size") <= BLOCK)
-        | (F.pmod(F.xxhash64("key", "id"), F.greatest(F.lit(1), F.floor(F.col("n") / PICKS)).cast("long")) == 0)
-    )
-    pairs = strays.join(picked.select("key", F.col("id").alias("y"), "root"), "key").where("s != root")
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    links = stored(links.union(_links(pairs, texts)), "links")
-    # Those that still stand apart from a large class meet all of it.
-    rest = _mixed_buckets(rest.select("key", "id", "n"), links)
-    large = rest.where(F.col("size") > BLOCK).select("key", F.col("root").alias("class")).distinct()
-    apart = rest.where("root != main").select("key", "id", "root").join(large, "key").where("root != class")
-    apart = stored(apart.select("id", "class").distinct(), "apart")
-    whole = components(links).select(F.col("node").alias("id"), F.col("root").alias("class"))
-    whole = whole.join(apart.select("class").distinct(), "class", "left_semi")
-    sizes = rest.select(F.col("root").alias("class"), "size").distinct()
-    members = stored(whole.join(sizes, "class").select("id", "class", "size"), "members")
-    return links.union(_block_links(apart, members, texts))
+    rest = shared.select("key", "id", "n")
+    few = F.pmod(F.xxhash64("key", "id"), F.greatest(F.lit(1), F.floor(F.col("n") / PICKS)).cast("long")) == 0
+    for picked in ((F.col("size") <= PICKS) | few, F.lit(True)):
+        rest = _bounded(_mixed_buckets(rest.select("key", "id", "n"), links), texts)
+        links = stored(links.union(_links(_across(rest, picked), texts)), "links")
+    return links
 
 
 def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
