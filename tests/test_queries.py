@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from textguard import plans
-from textguard.operators import guard, policy, scan
+from textguard.operators import guard, policy, scan, usage
 from textguard.sources.tables import table
 from tools.check import TABLES, rows_of
 
@@ -64,6 +64,12 @@ def test_counts_shuffle_partial_sums_only(spark, sf):
     assert "partial_sum" in plan and "ReadSchema: struct<text:string>" in plan
 
 
-def test_large_inputs_are_not_redealt(spark):
-    many = spark.range(1000).repartition(64).select(F.col("id"), F.lit("x").alias("text"))
-    assert scan.spread(many).rdd.getNumPartitions() == 64
+def test_usage_windows_are_linear_for_one_hot_client(spark):
+    """All rows of one client in one window: sums run, they are not taken anew per row."""
+    rows = spark.range(200_000).select(
+        F.lit(1).alias("c"), F.timestamp_micros(F.col("id") * 100).alias("ts"), (F.col("id") % 7).alias("n")
+    )
+    got = usage.trailing_usage(rows, "c", "ts", "n", 60).agg(F.max("used_requests").alias("r"), F.max("used_tokens").alias("t")).first()
+    assert got["r"] == 200_000 and got["t"] == sum(i % 7 for i in range(200_000))
+    plan = _plan(usage.trailing_usage(rows, "c", "ts", "n", 60))
+    assert "unboundedpreceding" in plan.lower()

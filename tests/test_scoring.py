@@ -41,9 +41,9 @@ def test_set_scores(texts):
 
 def test_normal_forms(texts):
     df = texts("  Hello \t\n World ", "É ü", "", "x" * 300)
-    n = [r.n for r in df.select("id", tx.normalized(F.col("text")).alias("n")).orderBy("id").collect()]
+    n = [r.n for r in df.select("id", tx.normalized(F.col("text"), 128).alias("n")).orderBy("id").collect()]
     assert n == ["hello world", "é ü", "", "x" * 128]
-    ids = [r.e for r in df.select("id", tx.encoded(tx.normalized(F.col("text"))).alias("e")).orderBy("id").collect()]
+    ids = [r.e for r in df.select("id", tx.encoded(tx.normalized(F.col("text"), 128), 128).alias("e")).orderBy("id").collect()]
     assert all(len(i) == 128 for i in ids) and ids[0][:5] == [104, 101, 108, 108, 111] and ids[1][:3] == [1, 32, 1]
     tokens = [r.t for r in df.select("id", tx.token_estimate(F.col("text")).alias("t")).orderBy("id").collect()]
     assert tokens == [2, 2, 0, 1]

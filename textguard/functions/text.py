@@ -102,20 +102,22 @@ def lowered(text: Column) -> Column:
     return F.lower(F.when(text.contains("İ"), F.translate(text, "İ", "i")).otherwise(text))
 
 
-def normalized(text: Column, limit: int = 128) -> Column:
-    """Lower case, blanks trimmed and collapsed, cut to ``limit`` characters."""
+def normalized(text: Column, limit: int | None = None) -> Column:
+    """Lower case, blanks trimmed and collapsed; cut to ``limit`` characters if given."""
     blanks = r"[\t\n\x0B\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-    return F.left(F.trim(F.regexp_replace(lowered(text), blanks, " ")), F.lit(limit))
+    whole = F.trim(F.regexp_replace(lowered(text), blanks, " "))
+    return whole if limit is None else F.left(whole, F.lit(limit))
 
 
-def encoded(text: Column, limit: int = 128) -> Column:
-    """Character ids of the normalized text: ASCII code, 1 unknown, 0 padding."""
+def encoded(text: Column, limit: int | None = None) -> Column:
+    """Character ids of the normalized text: ASCII code, 1 unknown; padded with 0 up to
+    ``limit`` if given."""
     chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
     ids = F.transform(
         chars,
         lambda c: F.when((F.octet_length(c) == 1) & F.ascii(c).between(32, 126), F.ascii(c)).otherwise(F.lit(1)),
     )
-    return F.concat(ids, F.array_repeat(F.lit(0), F.lit(limit) - F.size(ids)))
+    return ids if limit is None else F.concat(ids, F.array_repeat(F.lit(0), F.lit(limit) - F.size(ids)))
 
 
 def decoded(ids: Column) -> Column:

@@ -26,21 +26,6 @@ _FOLD, _WORDS, _SKELETON, _SAFE, _HITS = "__fold", "__words", "__skeleton", "__s
 _ONE_PASS_FROM = 100
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Evens out an input that is small for the cluster.
-
-    Scans are CPU-bound, and a file of one row group is one task however many
-    splits it has. An input of fewer than four splits per core is redealt; a
-    large table has far more splits and passes through, its texts unshuffled.
-    Meant for a source: on a plan with a shuffle, asking for the number of
-    partitions would already run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
-        return df
-    return df.repartition(2 * cores)
-
-
 def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
     """Adds the safe text and what the gates look at: the folded text, the gate
     literals present in it, and its digit skeleton."""

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.text import decoded, encoded, fingerprint, normalized, quoted
+from textguard.functions.text import fingerprint, normalized, quoted
 from textguard.operators.fence import fenced
 from textguard.rules.phrases import ATTACK_WORDS
 
@@ -44,9 +44,9 @@ def _total(parts: Sequence[tuple[Column, float]]) -> Column:
 
 
 def scored_body(text: Column) -> Column:
-    """What the heuristic looks at: 128 normalized characters, the unknown ones
+    """What the heuristic looks at: the whole normalized text, unknown characters
     replaced."""
-    return decoded(encoded(normalized(text)))
+    return F.regexp_replace(normalized(text), "[^ -~]", "\uFFFD")
 
 
 def body_score(body: Column) -> Column:

@@ -34,25 +34,35 @@ class Limits:
 
 
 def _ranged(df: DataFrame, client: str, at: str, low: int, high: int, values: dict[str, Column]) -> DataFrame:
-    """Adds window aggregates over rows of the client at ``at + low..high``.
+    """Adds sums of ``values`` over the rows of the client at ``at + low..high``.
 
-    Each row goes to its own stretch and, when a row of a neighbouring stretch
-    can see it, as a copy to that one too.
+    Each row goes to its own stretch and, when a row of a neighbouring stretch can see
+    it, to that one too. It enters there when the first row can see it, and leaves
+    after the last; sums run from the start of the stretch, so that a window of many
+    rows costs no more than a small one.
     """
     reach = max(-low, high)
     width = reach * WINDOWS_PER_STRETCH
-    own = F.floor(F.col(at) / width).cast("long")
-    edge = F.pmod(F.col(at), F.lit(width))
-    places = [F.struct(own.alias("s"), F.lit(True).alias("own"))]
+    here = F.col(at)
+    own = F.floor(here / width).cast("long")
+    edge = F.pmod(here, F.lit(width))
+
+    def change(stretch: Column, time: Column, sign: int) -> Column:
+        return F.struct(stretch.alias("s"), time.alias("time"), F.lit(sign).alias("sign"))
+
+    def seen_in(stretch: Column) -> list[Column]:
+        return [change(stretch, here - high, 1), change(stretch, here - low + 1, -1)]
+
+    # The row itself, with sign 0, is where the sums are read.
+    places = [change(own, here, 0), *seen_in(own)]
     if low < 0:
-        places.append(F.when(edge >= width + low, F.struct((own + 1).alias("s"), F.lit(False).alias("own"))))
+        places += [F.when(edge >= width + low, x) for x in seen_in(own + 1)]
     if high > 0:
-        places.append(F.when(edge < high, F.struct((own - 1).alias("s"), F.lit(False).alias("own"))))
-    spread = df.withColumn("__p", F.explode(F.array_compact(F.array(*places)))).select("*", "__p.*").drop("__p")
-    window = Window.partitionBy(client, "s").orderBy(at).rangeBetween(low, high)
-    return (
-        spread.select("*", *[v.over(window).alias(k) for k, v in values.items()]).where("own").drop("s", "own")
-    )
+        places += [F.when(edge < high, x) for x in seen_in(own - 1)]
+    changes = df.withColumn("__p", F.explode(F.array_compact(F.array(*places)))).select("*", "__p.*").drop("__p")
+    window = Window.partitionBy(client, "s").orderBy("time").rangeBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(v * F.col("sign")).over(window).alias(k) for k, v in values.items()]
+    return changes.select("*", *sums).where("sign = 0").drop("s", "time", "sign")
 
 
 def trailing_usage(
@@ -62,8 +72,8 @@ def trailing_usage(
     span = window_seconds * MICROS
     timed = df.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
     values = {
-        "used_tokens": F.sum(F.col(tokens).cast("long")),
-        "used_requests": F.count(F.lit(1)),
+        "used_tokens": F.col(tokens).cast("long"),
+        "used_requests": F.lit(1),
     }
     return _ranged(timed, client, "__at", -(span - 1), 0, values).drop("__at")
 
@@ -124,8 +134,8 @@ def limit(
         }
     )
     at_most = {
-        "__all_tokens": F.sum(F.when(fits, t).otherwise(F.lit(0))),
-        "__all_requests": F.count(F.when(fits, 1)),
+        "__all_tokens": F.when(fits, t).otherwise(F.lit(0)),
+        "__all_requests": F.when(fits, 1).otherwise(0),
     }
     bounded = _ranged(timed, "__client", "__at", -(span - 1), 0, at_most)
     alone = F.when(fits, 0).otherwise(1)
@@ -133,16 +143,15 @@ def limit(
         F.col("__all_requests") + alone <= limits.requests_per_window
     )
     marked = bounded.withColumn("__safe", safe)
-    seen_by = {"__needed": F.max(~F.col("__safe"))}
-    marked = _ranged(marked, "__client", "__at", 0, span - 1, seen_by)
+    seen_by = {"__needed": F.when(F.col("__safe"), 0).otherwise(1)}
+    marked = _ranged(marked, "__client", "__at", 0, span - 1, seen_by).withColumn("__needed", F.col("__needed") > 0)
 
     own = [F.col(c) for c in df.columns]
     settled = marked.where(~F.col("__needed")).select(*own, F.when(fits, "").otherwise(SIZE_REASON).alias("__reason"))
 
     active = marked.where("__needed")
-    quiet = {"__before": F.max(F.when(F.lit(True), at))}
-    active = _ranged(active, "__client", "__at", -span, -1, quiet)
-    opens = F.when(F.col("__before").isNull(), at)
+    active = _ranged(active, "__client", "__at", -span, -1, {"__before": F.lit(1)})
+    opens = F.when(F.col("__before") == 0, at)
     width = span * WINDOWS_PER_STRETCH
     active = active.withColumns({"__opens": opens, "__stretch": F.floor(at / width)})
     # A run is named by its first instant: the last opening so far, looked up

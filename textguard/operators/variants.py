@@ -171,6 +171,13 @@ def custom_variants(
     return df.select(*keys, F.col(text).alias("input"), F.explode(generator(F.col(text))).alias("perturbed"))
 
 
+def judged(rows: DataFrame, scanner: Callable[[DataFrame], DataFrame], into: str = "set_score") -> DataFrame:
+    """Adds ``score`` and ``detected`` from a scanner, a job that adds a struct
+    ``into`` with ``score`` and ``is_threat`` of the column ``perturbed``."""
+    seen = scanner(rows)
+    return seen.withColumns({"score": F.col(into)["score"], "detected": F.col(into)["is_threat"]}).drop(into)
+
+
 def scored(
     rows: DataFrame, scorer: Callable[[Column], Column], threshold: float, score: str = "score"
 ) -> DataFrame:

@@ -37,20 +37,26 @@ _CTES = f"""WITH old AS (SELECT event_type AS feature, value FROM events WHERE t
     FROM bins JOIN sums USING (feature) LEFT JOIN now USING (feature, bin))"""
 
 
+# The histograms of a whole table: every event counts as baseline.
+_WHOLE = f"WITH old AS (SELECT event_type AS feature, value FROM events), stats AS ({_STATS}), bins AS ({_BINS})"
+
+
+def _all_events(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_type").alias("feature"), "value")
+
+
 @query(
     "d10_histogram",
-    _CTES + " SELECT feature, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, k AS n, round(k / total, 6) AS weight FROM bins",
+    _WHOLE + " SELECT feature, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, k AS n, round(k / total, 6) AS weight FROM bins",
 )
 def histogram(spark, sf):
-    old, _ = _halves(spark, sf)
-    rows = drift.histogram(drift.baseline(old))
+    rows = drift.histogram(drift.baseline(_all_events(spark, sf)))
     return rows.withColumns({c: F.round(c, 6) for c in ("lower", "upper", "weight")})
 
 
-@query("d10_feature_stats", _CTES + " SELECT feature, n AS count, round(mean, 6) AS mean, round(sd, 6) AS std_dev FROM stats")
+@query("d10_feature_stats", _WHOLE + " SELECT feature, n AS count, round(mean, 6) AS mean, round(sd, 6) AS std_dev FROM stats")
 def feature_stats(spark, sf):
-    old, _ = _halves(spark, sf)
-    return drift.baseline(old).select("feature", "count", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"))
+    return drift.baseline(_all_events(spark, sf)).select("feature", "count", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"))
 
 
 @query(

@@ -17,7 +17,7 @@ KEYS = ["corpus", "id"]
 
 
 def _texts(spark, sf):
-    return scan.spread(corpus(spark, sf))
+    return corpus(spark, sf)
 
 
 def _pack_sql(pack):
@@ -310,7 +310,7 @@ def scan_cap(spark, sf):
     ),
 )
 def scan_each_text_once(spark, sf):
-    docs = scan.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     found = distinct.once_per_text(docs, "doc_id", lambda texts: scan.findings(texts, ["text_id"]))
     return found.select("doc_id", "rule", "start", "end")
 
@@ -326,7 +326,7 @@ def scan_each_text_once(spark, sf):
     ),
 )
 def custom_patterns(spark, sf):
-    seen = guard.with_pii(scan.spread(notes(spark, sf)), custom=(r"Customer#0*\d+", r"\b[A-Z]{9}$"))
+    seen = guard.with_pii(notes(spark, sf), custom=(r"Customer#0*\d+", r"\b[A-Z]{9}$"))
     return scan.exploded(seen, ["note_id"], "pii").select("note_id", "category", "start", "value", "severity", "redacted")
 
 

@@ -15,11 +15,11 @@ KEYS = ["corpus", "id"]
 
 
 def _texts(spark, sf):
-    return scan.spread(corpus(spark, sf))
+    return corpus(spark, sf)
 
 
 def _docs(spark, sf):
-    return scan.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 # ---------------------------------------------------------------------- evasion
@@ -72,7 +72,8 @@ def evasion_counts(spark, sf):
 
 # ----------------------------------------------------------------- threat scores
 _BLANK = r"[\t\n\x0B\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-_NORMAL = f"left(trim(regexp_replace(lower(replace(text, 'İ', 'i')), {sql.lit(_BLANK)}, ' ', 'g'), ' '), 128)"
+_NORMAL = f"trim(regexp_replace(lower(replace(text, 'İ', 'i')), {sql.lit(_BLANK)}, ' ', 'g'), ' ')"
+_CUT = f"left({_NORMAL}, 128)"
 _BODY = f"regexp_replace({_NORMAL}, '[^ -~]', '�', 'g')"
 
 
@@ -251,9 +252,9 @@ def token_estimate(spark, sf):
     return _texts(spark, sf).select(*KEYS, tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("h12_normalized", sql.with_corpus(f"SELECT corpus, id, {_NORMAL} AS normalized FROM corpus"))
+@query("h12_normalized", sql.with_corpus(f"SELECT corpus, id, {_CUT} AS normalized FROM corpus"))
 def normalized(spark, sf):
-    return _texts(spark, sf).select(*KEYS, tx.normalized(F.col("text")).alias("normalized"))
+    return _texts(spark, sf).select(*KEYS, tx.normalized(F.col("text"), 128).alias("normalized"))
 
 
 @query(
@@ -262,11 +263,11 @@ def normalized(spark, sf):
         "SELECT corpus, id, array_to_string(list_transform(CASE WHEN length(x) > 0 THEN string_split(x, '') ELSE [] END, "
         "lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN unicode(c) ELSE 1 END) || list_transform(range(128 - length(x)), lambda i: 0), ' ') AS ids, "
         "regexp_replace(x, '[^ -~]', '�', 'g') AS decoded "
-        f"FROM (SELECT corpus, id, {_NORMAL} AS x FROM corpus)"
+        f"FROM (SELECT corpus, id, {_CUT} AS x FROM corpus)"
     ),
 )
 def encoded(spark, sf):
-    ids = _texts(spark, sf).select(*KEYS, tx.encoded(tx.normalized(F.col("text"))).alias("i"))
+    ids = _texts(spark, sf).select(*KEYS, tx.encoded(tx.normalized(F.col("text"), 128), 128).alias("i"))
     return ids.select(*KEYS, F.array_join(F.col("i").cast("array<string>"), " ").alias("ids"), tx.decoded(F.col("i")).alias("decoded"))
 
 
@@ -378,26 +379,12 @@ def text_variants(spark, sf):
     return variants.variants(_docs(spark, sf), ["doc_id"]).select("doc_id", "method", "step", F.md5("perturbed").alias("perturbed"))
 
 
-def _set_score(text):
-    """The set score as a plain expression, for jobs that take a scorer."""
-    tenths = F.lit(0)
-    for kind, weight in (("direct_match", 4), ("transposition", 4), ("vowel_deleted", 3), ("reversed", 3)):
-        joined = "|".join(threat.variant_sets()[kind])
-        tenths = tenths + F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=({joined}))"), F.lit(1)))) * weight
-    return F.least(tenths, F.lit(9)) / F.lit(10.0)
-
-
 @query("d17_robustness")
 def robustness(spark, sf):
-    """Share of disguised attack inputs, one per customer note, still detected."""
-    from textguard.sources.tables import notes
-
-    inputs = F.element_at(
-        F.array(*[F.lit(a) for a in phrases.ATTACK_INPUTS]), F.pmod("note_id", F.lit(len(phrases.ATTACK_INPUTS))).cast("int") + 1
-    )
-    rows = notes(spark, sf).select("note_id", F.concat(inputs, F.lit(" "), F.col("text")).alias("text"))
-    made = variants.variants(scan.spread(rows), ["note_id"])
-    return variants.robustness(variants.scored(made, _set_score, threat.THRESHOLD))
+    """Per method, how many disguised forms of the users' requests are detected."""
+    asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    made = variants.variants(asked, ["conv_id", "turn"])
+    return variants.robustness(variants.judged(made, lambda df: threat.with_set_score(df, "perturbed")))
 
 
 @query(

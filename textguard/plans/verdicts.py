@@ -17,7 +17,7 @@ TALK = ["conv_id", "turn"]
 
 
 def _texts(spark, sf):
-    return scan.spread(corpus(spark, sf))
+    return corpus(spark, sf)
 
 
 def _joined(column):
@@ -46,7 +46,7 @@ _DOC_RESULTS = {
     ),
 )
 def document_summary(spark, sf):
-    docs = scan.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     s = F.col("summary")
     return guard.with_summary(docs).select(
         "doc_id",
@@ -316,7 +316,7 @@ _TRAFFIC_LISTS = (
 
 
 def _summarized(spark, sf):
-    return guard.with_summary(scan.spread(traffic(spark, sf)))
+    return guard.with_summary(traffic(spark, sf))
 
 
 def _decided(spark, sf):
@@ -403,7 +403,7 @@ def audit_sink(spark, sf):
     ),
 )
 def scored_traffic(spark, sf):
-    seen = guard.with_summary(scan.spread(traffic(spark, sf)), scorer=heuristic_score, threshold=0.3, shadow=False)
+    seen = guard.with_summary(traffic(spark, sf), scorer=heuristic_score, threshold=0.3, shadow=False)
     return audit.traffic_counts(policy.with_decision(seen))
 
 
