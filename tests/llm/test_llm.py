@@ -148,6 +148,42 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert neardup.near_classes(none).count() == 0
 
 
+def test_parity_never_exceeds_the_difference():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 150, 5000):
+        for cut in (0.05, 0.3, 1.0):
+            a = neardup.marked(draw.integers(0, 2**63, n).astype(np.uint64))
+            b = neardup.marked(np.concatenate([a[: int(n * (1 - cut))], draw.integers(0, 2**32, n // 4 + 1)]).astype(np.uint64))
+            bits = [np.unpackbits(np.frombuffer(neardup.parity(x), np.uint8)) for x in (a, b)]
+            assert len(bits[0]) == neardup.PARITY
+            assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_links_across_classes_of_a_bucket(spark):
+    """Strays that share a passage meet all other members of their bucket, in one class or many,
+    also by an id that has two texts."""
+    draw = random.Random(5)
+    passage = [f"p{k}" for k in range(70)]
+    own = [[f"o{i}x{k}" for k in range(30)] for i in range(12)]
+    rows = [(i * 100 + c, " ".join(passage + w[: 30 - c] + [f"e{c}"] * (c > 0))) for i, w in enumerate(own) for c in range(6)]
+    rows += [(7, " ".join(f"z{k}" for k in range(80))), (7, " ".join(passage + own[3][:28] + ["e9"]))]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs).collect()}
+    sets = [(i, neardup.marked(neardup.shingles(t))) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if neardup.similarity(x, y) >= neardup.SIMILAR:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i, _ in rows}
+    assert len(set(got.values())) > 1
+
+
 def test_darts_estimate_weighted_similarity():
     draw = np.random.default_rng(2)
     own = np.arange(1, 401, dtype=np.uint64)

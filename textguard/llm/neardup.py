@@ -13,7 +13,8 @@ links each member to its least one, which leaves most buckets with a single clas
 others, the members outside the largest class are compared with all members of small
 classes and a few of large ones, and those that then still stand apart with all; copies
 inside a class are never paired, nor are texts which have too little in common with any
-other class to be similar to one of its members. Every link is verified on the exact weighted
+other class to be similar to one of its members, or whose parity bits show that they
+differ in too many elements. Every link is verified on the exact weighted
 similarity. Classes are the connected components of the links.
 
 Defined cases: words are those between white space, in lower case. Texts with fewer than
@@ -46,6 +47,8 @@ ROWS = 6
 BANDS = 32
 #: About so many members of a bucket its strays meet first.
 PICKS = 16
+#: Bits that sum up a set; the bound they give is sharp for sets of up to about as many elements.
+PARITY = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = Kept(xxhash.xxh64_intdigest)
 
@@ -134,6 +137,13 @@ def marked(grams: np.ndarray) -> np.ndarray:
     return np.unique((_mixed(grams + again.astype(np.uint64) * _MIX) >> np.uint64(32)).astype("<u4"))
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Whether an even or odd number of a set's elements falls on each of ``PARITY`` bits.
+
+    Two sets differ in at least as many elements as these bits differ."""
+    return np.packbits(np.bincount(own % PARITY, minlength=PARITY) & 1).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two ``marked`` sets."""
     shared = len(a) + len(b) - len(np.union1d(a, b))
@@ -158,10 +168,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, grams): the text's ``marked`` set as bytes."""
+    """(id, text) to (id, grams, parity): the text's ``marked`` set as bytes, and its ``parity``."""
     for batch in batches:
-        grams = [marked(shingles(t)).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
+        sets = [marked(shingles(t)) for t in batch.column(1).to_pylist()]
+        sums = np.frombuffer(b"".join(map(parity, sets)), np.int64)
+        ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64))
+        arrays = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(sums))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "grams", "parity"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +197,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(id, grams)``: the ``marked`` sets of the texts in ``ids``."""
+    """``(id, grams, parity)``: the ``marked`` sets of the texts in ``ids``."""
     ids = stored(ids.select("id").distinct().withColumn("key", F.xxhash64("id")), "ids")
     # Only texts that are asked for are shuffled: the filter has a fixed size, the join is exact.
     some = bloom.maybe_in(texts.withColumn("key", F.xxhash64("id")), "key", bloom.bloom_table(ids, "key", 15), 15)
-    grams = in_arrow(some.select("id", "text"), _featured, "id long, grams binary")
+    grams = in_arrow(some.select("id", "text"), _featured, "id long, grams binary, parity array<bigint>")
     return stored(grams.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id", "grams"]), "grams")
 
 
@@ -216,29 +229,37 @@ def _mixed_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 def _bounded(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """``rest`` with ``all``, the elements of a member's set, ``common``, those that occur in
-    some other class as well (no link to another class can share more), and ``keys``, its
-    buckets, of which there are no more than bands."""
+    some other class as well (no link to another class can share more), the set's ``parity``,
+    and ``keys``, its buckets, of which there are no more than bands. An id with several
+    texts has several sets, so that nothing bounds it: its first three are null."""
     ids = stored(rest.select("id", "root").distinct(), "ids")
-    each = in_arrow(_sets(ids.select("id"), texts), _tokens, "id long, token int").join(ids, "id")
+    sets = _sets(ids.select("id"), texts)
+    one = sets.groupBy("id").agg(F.count("*").alias("sets"), F.min("parity").alias("parity")).where("sets = 1").drop("sets")
+    each = in_arrow(sets.select("id", "grams"), _tokens, "id long, token int").join(ids, "id")
     each = stored(each.select("token", "id", "root"), "tokens")
     spread = each.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
     common = each.join(spread, "token").groupBy("id").agg(F.count("*").alias("common"))
     counts = each.groupBy("id").agg(F.count("*").alias("all")).join(common, "id", "left")
     keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    counts = counts.select("id", "all", F.coalesce("common", F.lit(0)).alias("common")).join(keys, "id")
-    return stored(rest.join(counts, "id"), "bounded")
+    counts = counts.select("id", "all", F.coalesce("common", F.lit(0)).alias("common")).join(one, "id")
+    return stored(rest.join(keys.join(counts, "id", "left"), "id"), "bounded")
 
 
 def _across(rest: DataFrame, picked: Column) -> DataFrame:
     """Pairs of a bucket's strays with its ``picked`` members of other classes, but for those
-    that cannot be similar by what they have in common with any other class."""
-    strays = rest.where("root != main").select("key", F.col("id").alias("x"), F.col("root").alias("s"), F.col("all").alias("nx"), F.col("common").alias("cx"), F.col("keys").alias("kx"))
-    others = rest.where(picked).select("key", F.col("id").alias("y"), "root", F.col("all").alias("ny"), F.col("common").alias("cy"), F.col("keys").alias("ky"))
-    # A pair meets in one bucket only, the first that it shares;
-    # shared / (nx + ny - shared) >= SIMILAR for the most that they can share
-    possible = F.expr(f"s != root AND {1 + SIMILAR} * least(cx, cy) >= {SIMILAR} * (nx + ny) - 1e-6 AND key = array_min(array_intersect(kx, ky))")
-    pairs = strays.join(others, "key").where(possible)
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    that cannot be similar by what they have in common with any other class, or by the
+    least number of elements in which they differ."""
+    side = lambda k: [F.col(c).alias(c[0] + k) for c in ("id", "root", "all", "common", "parity", "keys")]
+    strays = rest.where("root != main").select("key", *side("x"))
+    others = rest.where(picked).select("key", *side("y"))
+    # shared / (ax + ay - shared) >= SIMILAR, for the most that they can share
+    share = f"{1 + SIMILAR} * least(cx, cy) >= {SIMILAR} * (ax + ay) - 1e-6"
+    differ = " + ".join(f"bit_count(px[{i}] ^ py[{i}])" for i in range(PARITY // 64))
+    apart = f"{1 + SIMILAR} * ({differ}) <= {1 - SIMILAR} * (ax + ay) + 1e-6"
+    # A pair meets in one bucket only, the first that it shares.
+    once = "key = array_min(array_intersect(kx, ky))"
+    pairs = strays.join(others, "key").where(f"rx != ry AND coalesce({share}, true) AND coalesce({apart}, true) AND {once}")
+    return pairs.select(F.greatest("ix", "iy").alias("a"), F.least("ix", "iy").alias("b"))
 
 
 def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
