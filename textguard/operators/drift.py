@@ -30,14 +30,15 @@ def baseline(df: DataFrame, feature: str = "feature", value: str = "value", bins
             "width": F.when(F.col("width") == 0, 1.0 / bins).otherwise(F.col("width")),
         }
     )
-    values = df.where(v.isNotNull()).select(F.col(feature).alias("feature"), v.alias("v"))
+    # One row per value, so that a value which a feature repeats is no hot row of the join.
+    values = df.where(v.isNotNull()).groupBy(F.col(feature).alias("feature"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     placed = (
         salted_join(values, ruled.select("feature", "low", "width"), "feature", "v")
         .withColumn("bin", ((F.col("v") - F.col("low")) / F.col("width")).cast("long"))
         .withColumn("bin", F.greatest(F.least(F.col("bin"), F.lit(bins - 1)), F.lit(0)).cast("int"))
     )
     counts = placed.groupBy("feature").agg(
-        *[F.count(F.when(F.col("bin") == i, 1)).alias(f"b{i}") for i in range(bins)]
+        *[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"b{i}") for i in range(bins)]
     )
     index = F.sequence(F.lit(0), F.lit(bins - 1))
     return ruled.join(counts, "feature").select(
@@ -77,7 +78,7 @@ def binned(current: DataFrame, base: DataFrame, feature: str = "feature", value:
     rows = current.where(F.col(value).isNotNull()).withColumnRenamed(feature, "feature")
     ruled = base.select("feature", "lowers")
     # A stream joins the fixed baseline as it is; a table spreads hot features.
-    joined = rows.join(ruled, "feature") if current.isStreaming else salted_join(rows, ruled, "feature", value)
+    joined = rows.join(ruled, "feature") if current.isStreaming else salted_join(rows, ruled, "feature", *rows.columns)
     return joined.withColumn("bin", bin_of(F.col(value), F.col("lowers")))
 
 

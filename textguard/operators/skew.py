@@ -10,8 +10,8 @@ HOT = 1000
 SALTS = 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Inner join on ``key`` with hot left keys spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, *spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join on ``key`` with hot left keys spread over ``salts`` tasks, by ``spread_by``.
 
     Hot keys are counted first (partial counts only are shuffled). The list of
     hot keys has fewer than ``HOT`` entries, whatever the data, and is broadcast.
@@ -23,7 +23,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, sal
         key, F.lit(True).alias("__hot")
     )
     hot = F.broadcast(hot)
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(
         F.array(F.lit(0).cast("long"))
     )
