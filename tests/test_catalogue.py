@@ -4,12 +4,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from probes import PROBES
 from textguard.functions.dialect import to_java
 from textguard.operators import scan
 from textguard.operators.guard import ALL_GATES
 from textguard.plans import sql
 from textguard.rules import GATES, PACKS, phrases, rules_of, secrets, validated
-from textguard.sources.probes import PROBES
 
 RULES = [r for _, r in rules_of()] + [*validated.RULES, *phrases.TOXICITY_RULES, *phrases.EVASION_RULES]
 EVERY_GATE = {**ALL_GATES, **phrases.EVASION_GATES}

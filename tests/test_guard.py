@@ -219,7 +219,7 @@ def test_overlapping_spans_keep_the_first(texts):
 
 
 def test_no_valid_match_survives_redaction(spark):
-    from textguard.sources.probes import PROBES
+    from probes import PROBES
 
     df = spark.createDataFrame(list(enumerate(PROBES)), "id int, text string")
     once = redact.redact_spans(df, into="text2").select("id", F.col("text2").alias("text"))

@@ -1,10 +1,13 @@
 """Registered queries: their plans, their SQL on the smallest data, streams."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from probes import PROBES
 from textguard import plans
 from textguard.operators import guard, policy, scan, usage
 from textguard.sources.tables import table
@@ -34,6 +37,44 @@ def test_query_equals_sql(spark, sf, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 
+# Rules that the given tables never hit: the same comparison with the probes as documents.
+PROBED = [
+    "b2_secret_rules", "b2_secret_findings", "b9_validated_pii", "c7_framework_exposure", "d2_severity_summary",
+    "d3_secrets_by_provider", "g1_all_packs", "b15_toxicity", "b16_evasion_scores", "b18_set_scores", "b24_verdict",
+    "d4_compliance_reports", "h6_redacted_texts", "h7_value_redaction", "h8_pii_only", "h8_secrets_only",
+    "h9_masked_secrets", "j1_custom_patterns", "j7_replacement_rules",
+]
+
+
+@pytest.fixture(scope="module")
+def probed(sf, tmp_path_factory):
+    """The given tables, but for documents, which hold the probe texts."""
+    folder = tmp_path_factory.mktemp("probed")
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "documents":
+            os.symlink(f"{sf}/{t}.parquet", folder / f"{t}.parquet")
+    con.execute("CREATE TABLE probes (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO probes VALUES (?, ?)", list(enumerate(PROBES)))
+    con.execute(
+        "COPY (SELECT doc_id, text, 'en' AS lang, 'web' AS source, length(text) AS n_chars FROM probes) "
+        f"TO '{folder}/documents.parquet' (FORMAT parquet)"
+    )
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", PROBED)
+def test_query_equals_sql_on_probes(spark, probed, name):
+    folder, con = probed
+    df = plans.QUERIES[name](spark, folder)
+    result = con.execute(plans.ORACLES[name])
+    columns = [d[0] for d in result.description]
+    rows = rows_of(df.columns, df.collect())
+    assert rows and rows == rows_of(columns, result.fetchall())
+
+
 def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 200

@@ -151,8 +151,8 @@ def test_variants(spark, texts):
     by = {(r.id, r.method): r for r in rows}
     order = by[(0, "evasion-word-reordering")]
     assert sorted(order.perturbed.split()) == sorted(order.input.split())
-    assert by[(2, "single")].perturbed == "" and by[(1, "evasion-word-reordering")].perturbed == "ab"
-    assert by[(0, "single")].perturbed != by[(0, "single")].input
+    assert by[(2, "fgsm")].perturbed == "" and by[(1, "evasion-word-reordering")].perturbed == "ab"
+    assert by[(0, "fgsm")].perturbed != by[(0, "fgsm")].input
     shares = variants.robustness(variants.scored(variants.variants(df, ["id"]), lambda t: F.lit(1.0), 0.5)).first()
     assert shares.overall_robustness == 100.0 and shares.multi_tests == 25
     none = variants.robustness(variants.scored(variants.variants(df, ["id"]), lambda t: F.lit(0.0), 0.5)).first()

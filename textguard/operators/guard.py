@@ -147,6 +147,22 @@ def toxicity_of(categories: Column) -> Column:
     )
 
 
+def secret_counts(df: DataFrame, secrets: str = "secrets") -> DataFrame:
+    """Per provider, category and severity, the findings ``n`` and the ``texts`` with one.
+
+    A text's findings are in one array: they are counted there, so that only one
+    partial row per group and task is shuffled.
+    """
+    group = ("provider", "category", "severity")
+    names = F.transform(secrets, lambda s: F.struct(*[s[c].alias(c) for c in group]))
+    seen = fenced(df.select(names.alias("names")), "names")
+    counted = F.transform(
+        F.array_distinct("names"),
+        lambda n: F.struct(*[n[c].alias(c) for c in group], F.size(F.filter("names", lambda m: m == n)).alias("k")),
+    )
+    return seen.select(F.inline(counted)).groupBy(*group).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("texts"))
+
+
 def with_toxicity(df: DataFrame, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Adds the toxicity verdict. Only presence counts, so rules are tested."""
     columns = [F.col(c) for c in df.columns]

@@ -29,8 +29,11 @@ def is_target(host: Column, domains: Sequence[str] = DOMAINS) -> Column:
     return F.coalesce(F.exists(parents(host), lambda p: p.isin(*domains)), F.lit(False))
 
 
-def watched(df: DataFrame, host: str, targets: DataFrame, key: str) -> DataFrame:
-    """Rows whose host is watched, for a table of target domains of any size."""
-    hosts = df.select(key, F.explode(parents(F.col(host))).alias("domain"))
-    hit = hosts.join(targets.select("domain"), "domain", "left_semi").select(key).distinct()
-    return df.join(hit, key, "left_semi")
+def watched(df: DataFrame, host: str, targets: DataFrame) -> DataFrame:
+    """Rows whose host is watched, for a table of target domains of any size.
+
+    Each host is judged once, however many rows it has.
+    """
+    domains = df.select(host).distinct().withColumn("domain", F.explode(parents(F.col(host))))
+    hit = domains.join(targets.select("domain"), "domain", "left_semi").select(host).distinct()
+    return df.join(hit, host, "left_semi")

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from textguard.operators.fence import fenced
 
-BUCKETS = 64
 
-
-def running_totals(df: DataFrame, order: str, values: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Adds ``cum_<value>``: totals from the highest ``order`` down to each row.
 
     Rows are split into ranges of about equal size at approximate quantiles of
-    ``order``. Windows run inside a range; the totals of the ranges above come
-    from a table of one row per range. ``order`` must be unique.
+    ``order``, by default as many as there are shuffle partitions. Windows run
+    inside a range; the totals of the ranges above come from a table of one row per
+    range. ``order`` must be unique.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range filters must not travel below the table that is being totalled.
     df = fenced(df, order)
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order, points, 10_000))
+    points = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = df.agg(F.array_distinct(F.percentile_approx(order, points, max(10_000, 10 * buckets))))
     ranged = df.withColumn("__cuts", cuts.scalar()).withColumn(
-        "__range", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(order)))
+        "__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     ).drop("__cuts")
     above = Window.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__{v}") for v in values])

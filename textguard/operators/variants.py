@@ -153,8 +153,9 @@ def variants(
         # One or two words have no other order; they stay as they are.
         F.coalesce(value, F.col(text)).alias("perturbed"),
     )
-    rows = [row("single", "single", 0, F.col("__single"))]
-    rows += [row(f"multi-step-{s}", "multi", s, F.col(f"__multi{s}")) for s in range(1, steps + 1)]
+    # The names of the methods.
+    rows = [row("fgsm", "single", 0, F.col("__single"))]
+    rows += [row(f"pgd-step-{s}", "multi", s, F.col(f"__multi{s}")) for s in range(1, steps + 1)]
     staged = staged.withColumns(
         {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": F.xxhash64(text)}
     )

@@ -11,7 +11,7 @@ from textguard.operators import distinct, guard, scan
 from textguard.plans import sql
 from textguard.plans.registry import query
 from textguard.rules import rules_of, validated
-from textguard.sources.tables import corpus, notes, table
+from textguard.sources.tables import corpus, table
 
 KEYS = ["corpus", "id"]
 
@@ -209,11 +209,7 @@ def secret_findings(spark, sf):
     ),
 )
 def secrets_by_provider(spark, sf):
-    found = scan.exploded(guard.with_secrets(_texts(spark, sf)), KEYS, "secrets")
-    per_text = found.groupBy(*KEYS, "provider", "category", "severity").agg(F.count(F.lit(1)).alias("k"))
-    return per_text.groupBy("provider", "category", "severity").agg(
-        F.sum("k").alias("n"), F.count(F.lit(1)).alias("texts")
-    )
+    return guard.secret_counts(guard.with_secrets(_texts(spark, sf)))
 
 
 # ---------------------------------------------------------- thresholds and texts
@@ -315,18 +311,20 @@ def scan_each_text_once(spark, sf):
     return found.select("doc_id", "rule", "start", "end")
 
 
+_OWN_PATTERNS = (r"\b[0-9a-f]{40}\b", r"[a-z0-9]+\.example\.com")
+
+
 @query(
     "j1_custom_patterns",
     sql.with_corpus(
-        "SELECT note_id, category, start, value, severity, redacted FROM (SELECT note_id, category, start, value, severity, redacted "
-        f"FROM ({sql.pii('noted', 'note_id')})) UNION ALL SELECT note_id, 'email', start, value, 3, '****' FROM ("
-        + sql.matches([sql.Rule("a", "", r"Customer#0*\d+"), sql.Rule("b", "", r"\b[A-Z]{9}$")], "noted", "note_id")
+        f"SELECT corpus, id, category, start, value, severity, redacted FROM ({sql.pii()}) "
+        "UNION ALL SELECT corpus, id, 'email', start, value, 3, '****' FROM ("
+        + sql.matches([sql.Rule(f"own_{i}", "", p) for i, p in enumerate(_OWN_PATTERNS)])
         + ")",
-        noted=sql.NOTES,
     ),
 )
 def custom_patterns(spark, sf):
-    seen = guard.with_pii(notes(spark, sf), custom=(r"Customer#0*\d+", r"\b[A-Z]{9}$"))
-    return scan.exploded(seen, ["note_id"], "pii").select("note_id", "category", "start", "value", "severity", "redacted")
+    seen = guard.with_pii(_texts(spark, sf), custom=_OWN_PATTERNS)
+    return scan.exploded(seen, KEYS, "pii").select(*KEYS, "category", "start", "value", "severity", "redacted")
 
 

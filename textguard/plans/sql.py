@@ -9,7 +9,6 @@ from collections.abc import Sequence
 
 from textguard.rules import phrases, rules_of, secrets, validated
 from textguard.rules.model import Rule
-from textguard.sources.probes import PROBES
 
 
 def lit(value: str) -> str:
@@ -22,16 +21,11 @@ def case(column: str, table: dict, default: str = "NULL") -> str:
     return f"CASE {column} {arms} ELSE {default} END"
 
 
-NOTES = (
-    "SELECT c_custkey AS note_id, c_name || ': ' || list_extract(["
-    + ", ".join(map(lit, PROBES))
-    + f"], (c_custkey % {len(PROBES)})::INT + 1) || ' / ' || c_mktsegment AS text, c_nationkey FROM customer"
-)
-CORPUS = f"""
-  SELECT 'documents' AS corpus, doc_id AS id, text FROM documents
-  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations
-  UNION ALL SELECT 'pages', page_id, html FROM pages
-  UNION ALL SELECT 'notes', note_id, text FROM ({NOTES})"""
+CORPUS = """
+  SELECT 'documents' AS corpus, doc_id::VARCHAR AS id, text FROM documents
+  UNION ALL SELECT 'conversations', conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT 'pages', page_id::VARCHAR, html FROM pages
+  UNION ALL SELECT 'benchmark', item_id::VARCHAR, text FROM benchmark"""
 TRAFFIC = """
   SELECT conv_id, turn, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 600 + turn * 20) AS ts,
     CASE WHEN role = 'assistant' THEN 'response' ELSE 'request' END AS direction,

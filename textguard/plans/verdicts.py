@@ -10,7 +10,7 @@ from textguard.operators.threat import heuristic_score
 from textguard.plans import scoring, sql
 from textguard.plans.registry import query
 from textguard.session import shared_dir
-from textguard.sources.tables import corpus, notes, table, traffic
+from textguard.sources.tables import corpus, table, traffic
 
 KEYS = ["corpus", "id"]
 TALK = ["conv_id", "turn"]
@@ -432,7 +432,7 @@ def watched_pages(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     hosted = pages.withColumn("host", hosts.host_of(F.col("url")))
     targets = hosted.where(F.col("page_id") % 3 == 0).select(F.col("host").alias("domain")).distinct()
-    return hosts.watched(hosted, "host", targets, "page_id").select("page_id", "url")
+    return hosts.watched(hosted, "host", targets).select("page_id", "url")
 
 
 # ------------------------------------------------------------------- redaction
@@ -541,8 +541,11 @@ def pii_only(spark, sf):
 
 @query(
     "j7_replacement_rules",
-    "WITH noted AS (" + sql.NOTES + ") SELECT note_id, regexp_replace(regexp_replace(text, 'Customer#0*', 'C-', 'g'), '(?i)passport', '[doc]', 'g') AS redacted FROM noted",
+    sql.with_corpus(
+        "SELECT corpus, id, md5(regexp_replace(regexp_replace(text, '\\b[0-9a-f]{40}\\b', '[hex]', 'g'), '(?i)passport', '[doc]', 'g')) AS redacted "
+        "FROM corpus"
+    ),
 )
 def replacement_rules(spark, sf):
-    rules = redact.Redaction(categories=(), replacements={r"Customer#0*": "C-", r"(?i)passport": "[doc]"})
-    return redact.redact_spans(notes(spark, sf), policy=rules).select("note_id", "redacted")
+    rules = redact.Redaction(categories=(), replacements={r"\b[0-9a-f]{40}\b": "[hex]", r"(?i)passport": "[doc]"})
+    return redact.redact_spans(_texts(spark, sf), policy=rules).select(*KEYS, F.md5("redacted").alias("redacted"))

@@ -5,36 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.sources.probes import PROBES
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A note per customer: name, a probe text by key, market segment."""
-    probe = F.element_at(
-        F.array(*[F.lit(p) for p in PROBES]), F.pmod(F.col("c_custkey"), F.lit(len(PROBES))).cast("int") + 1
-    )
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("note_id"),
-        F.concat(F.col("c_name"), F.lit(": "), probe, F.lit(" / "), F.col("c_mktsegment")).alias("text"),
-        "c_nationkey",
-    )
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts at hand as (corpus, id, text); the id of a turn is ``conv_id-turn``."""
 
+    def texts(name, key, text="text"):
+        return table(spark, sf_dir, name).select(
+            F.lit(name).alias("corpus"), key.cast("string").alias("id"), F.col(text).alias("text")
+        )
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts at hand as (corpus, id, text)."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"), "text")
-    talk = table(spark, sf_dir, "conversations").select(
-        F.lit("conversations").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
-    )
-    pages = table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("corpus"), F.col("page_id").alias("id"), F.col("html").alias("text")
-    )
-    extra = notes(spark, sf_dir).select(F.lit("notes").alias("corpus"), F.col("note_id").alias("id"), "text")
-    return docs.unionByName(talk).unionByName(pages).unionByName(extra)
+    docs = texts("documents", F.col("doc_id"))
+    talk = texts("conversations", F.concat_ws("-", "conv_id", "turn"))
+    pages = texts("pages", F.col("page_id"), "html")
+    return docs.unionByName(talk).unionByName(pages).unionByName(texts("benchmark", F.col("item_id")))
 
 
 def as_traffic(talk: DataFrame) -> DataFrame:
