@@ -1,7 +1,8 @@
 """Disguised variants of texts and how well a scorer still finds them.
 
-The choice at each place is a hash of text, method, step and place, so a rerun
-gives the same variants. Every edit is linear in the text.
+The choice at each place comes from the digest of text and method, and from the
+place, by integer arithmetic that any engine can repeat; a rerun gives the same
+variants. Every edit is linear in the text.
 """
 
 from __future__ import annotations
@@ -30,9 +31,19 @@ WEIGHTS = {"single": 0.3, "multi": 0.4, "evasion": 0.3}
 SHOWN = 80
 
 
+#: Two primes, the larger last, and multipliers whose products stay within a long.
+PRIMES, FACTORS, PLACE, SALT = (2147483629, 2147483647), (1223106847, 1664525957), 7919, 104729
+
+
+def _roll(seed: Column, place: Column, salt: int = 0) -> Column:
+    """A number below the larger prime for a place; different places differ."""
+    x = seed + place.cast("long") * PLACE + salt * SALT
+    return x * FACTORS[0] % PRIMES[0] * FACTORS[1] % PRIMES[1]
+
+
 def _draw(seed: Column, place: Column, n: int, salt: int = 0) -> Column:
     """A number in 0..n-1 for a place."""
-    return F.pmod(F.xxhash64(seed, place, F.lit(salt)), F.lit(n))
+    return _roll(seed, place, salt) % n
 
 
 def _pick(options: Sequence[str], index: Column) -> Column:
@@ -48,7 +59,7 @@ def _words(text: Column) -> Column:
 
 
 def _seed(text: Column, method: str) -> Column:
-    return F.xxhash64(text, F.lit(method))
+    return F.conv(F.left(F.md5(F.concat(text, F.lit(method))), F.lit(7)), 16, 10).cast("long")
 
 
 def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> DataFrame:
@@ -57,7 +68,7 @@ def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> Da
     size = F.length(text)
     staged = fenced(df.withColumn("__seed", _seed(F.col(text), method)), "__seed")
     staged = staged.withColumn(
-        "__rolls", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.xxhash64("__seed", i))
+        "__rolls", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: _roll(F.col("__seed"), i))
     )
     changes = F.greatest(F.floor(size * share).cast("int"), F.lit(1))
     # Places with the smallest rolls change: as many as asked, all different.
@@ -119,7 +130,7 @@ def reordered(words: Column, seed: Column) -> Column:
     words on them change seats."""
     rolled = F.array_sort(
         F.transform(
-            words, lambda w, i: F.struct(F.xxhash64(seed, i, F.lit(50)).alias("r"), i.alias("i"), w.alias("w"))
+            words, lambda w, i: F.struct(_roll(seed, i, 50).alias("r"), i.alias("i"), w.alias("w"))
         )
     )
     taken = F.least(F.size(words), F.floor(F.size(words) * 0.4).cast("int") * 2)
@@ -157,7 +168,7 @@ def variants(
     rows = [row("fgsm", "single", 0, F.col("__single"))]
     rows += [row(f"pgd-step-{s}", "multi", s, F.col(f"__multi{s}")) for s in range(1, steps + 1)]
     staged = staged.withColumns(
-        {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": F.xxhash64(text)}
+        {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": _seed(F.col(text), "evasion")}
     )
     staged = fenced(staged, "__chars", "__words", "__key")
     rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__chars"), F.col("__key"))) for n, f in BY_CHARACTER.items()]

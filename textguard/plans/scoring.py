@@ -374,17 +374,102 @@ def model_scorer(spark, sf):
 
 
 # -------------------------------------------------------------------- robustness
-@query("h15_text_variants")
+def _roll_sql(seed: str, place: str, salt: int = 0) -> str:
+    return f"(({seed} + {place} * 7919 + {salt * 104729})::BIGINT * 1223106847 % 2147483629 * 1664525957 % 2147483647)"
+
+
+def _pick_sql(options, seed: str, place: str, salt: int) -> str:
+    return f"([{', '.join(map(sql.lit, options))}])[{_roll_sql(seed, place, salt)} % {len(options)} + 1]"
+
+
+def _seed_sql(text: str, method: str) -> str:
+    return f"('0x' || left(md5({text} || '{method}'), 7))::BIGINT"
+
+
+def _edit_sql(source: str, text: str, share: float, method: str, into: str) -> str:
+    """``source`` with the edited form of ``text``."""
+    action = f"{_roll_sql('seed', 'i', 1)} % 3"
+    put = (
+        f"CASE {action} WHEN 0 THEN {_pick_sql(variants.SUBSTITUTES, 'seed', 'i', 2)} "
+        f"WHEN 1 THEN {_pick_sql(variants.INSERTS, 'seed', 'i', 3)} || cs[i + 1] "
+        "ELSE CASE WHEN len(cs) > 1 THEN '' ELSE cs[i + 1] END END"
+    )
+    return f"""SELECT * EXCLUDE (cs, seed, rolls, top), CASE WHEN length({text}) > 0 THEN array_to_string(list_transform(range(len(cs)),
+        lambda i: CASE WHEN rolls[i + 1] <= top THEN {put} ELSE cs[i + 1] END), '') ELSE {text} END AS {into}
+      FROM (SELECT *, list_sort(rolls)[greatest(floor(len(cs) * {share}::DOUBLE)::INT, 1)] AS top
+        FROM (SELECT *, list_transform(range(len(cs)), lambda i: {_roll_sql('seed', 'i')}) AS rolls
+          FROM (SELECT *, string_split({text}, '') AS cs, {_seed_sql(text, method)} AS seed FROM ({source}))))"""
+
+
+_ENTITY = " ".join(f"WHEN {sql.lit(k)} THEN {sql.lit(v)}" for k, v in variants.ENTITIES.items())
+_BY_CHARACTER = {
+    "unicode-homoglyph": f"CASE WHEN {_roll_sql('key', 'i', 10)} % 10 < 3 THEN translate(cs[i + 1], "
+    f"{sql.lit(''.join(variants.HOMOGLYPHS))}, {sql.lit(''.join(variants.HOMOGLYPHS.values()))}) ELSE cs[i + 1] END",
+    "whitespace-injection": f"CASE WHEN {_roll_sql('key', 'i', 20)} % 10 < 2 AND cs[i + 1] <> ' ' "
+    f"THEN cs[i + 1] || {_pick_sql(variants.BLANKS, 'key', 'i', 21)} ELSE cs[i + 1] END",
+    "encoding-mix": f"CASE WHEN {_roll_sql('key', 'i', 30)} % 10 < 3 THEN CASE cs[i + 1] {_ENTITY} ELSE cs[i + 1] END ELSE cs[i + 1] END",
+}
+_SPLIT_WORD = (
+    f"CASE WHEN strlen(ws[i + 1]) <= 2 OR {_roll_sql('key', 'i', 40)} % 10 >= 3 THEN ws[i + 1] ELSE left(ws[i + 1], length(ws[i + 1]) // 2) "
+    f"|| {_pick_sql(variants.SPLITTERS, 'key', 'i', 41)} || substring(ws[i + 1], length(ws[i + 1]) // 2 + 1) END"
+)
+_GAPS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _variants_sql(source: str, keys: str) -> str:
+    """Rows (keys, method, method_group, step, text) of all methods over ``source``."""
+    staged, last = _edit_sql(source, "text", 0.15, "single", "e0"), "text"
+    for step in range(1, 6):
+        staged, last = _edit_sql(staged, last, 0.1, f"multi{step}", f"e{step}"), f"e{step}"
+    words = f"list_filter(regexp_split_to_array(text, {sql.lit(_GAPS)}), lambda w: w <> '')"
+    seated = """array_to_string(list_transform(list_sort(list_concat(
+        list_transform(range(taken), lambda k: {'i': seats[k + 1], 'w': rolled[k + 1].w}),
+        list_transform(rolled[taken + 1:], lambda x: {'i': x.i, 'w': x.w}))), lambda x: x.w), ' ')"""
+    rows = ["('fgsm', 'single', 0, e0)"] + [f"('pgd-step-{s}', 'multi', {s}, e{s})" for s in range(1, 6)]
+    rows += [
+        f"('evasion-{n}', 'evasion', 0, array_to_string(list_transform(range(len(cs)), lambda i: {e}), ''))"
+        for n, e in _BY_CHARACTER.items()
+    ]
+    rows.append(f"('evasion-character-splitting', 'evasion', 0, array_to_string(list_transform(range(len(ws)), lambda i: {_SPLIT_WORD}), ' '))")
+    rows.append(f"('evasion-word-reordering', 'evasion', 0, CASE WHEN len(ws) > 2 THEN {seated} ELSE text END)")
+    each = " UNION ALL ".join(
+        f"SELECT {keys}, {m} AS method, {g} AS method_group, {s} AS step, {v} AS text FROM staged"
+        for m, g, s, v in (r[1:-1].split(", ", 3) for r in rows)
+    )
+    return f"""WITH staged AS MATERIALIZED (SELECT *, list_sort(list_transform(rolled[1:taken], lambda x: x.i)) AS seats
+      FROM (SELECT *, least(len(ws), floor(len(ws) * 0.4::DOUBLE)::INT * 2) AS taken,
+        list_sort(list_transform(range(len(ws)), lambda i: {{'r': {_roll_sql('key', 'i', 50)}, 'i': i, 'w': ws[i + 1]}})) AS rolled
+      FROM (SELECT *, string_split(text, '') AS cs, {words} AS ws, {_seed_sql('text', 'evasion')} AS key FROM ({staged})))) {each}"""
+
+
+@query("h15_text_variants", f"SELECT doc_id, method, step, md5(text) AS perturbed FROM ({_variants_sql('SELECT doc_id, text FROM documents', 'doc_id')})")
 def text_variants(spark, sf):
     return variants.variants(_docs(spark, sf), ["doc_id"]).select("doc_id", "method", "step", F.md5("perturbed").alias("perturbed"))
 
 
-@query("d17_robustness")
+_SHARES = ("single", 0.3), ("multi", 0.4), ("evasion", 0.3)
+_ASKED = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
+_TESTED = ", ".join(
+    f"count(*) FILTER (method_group = '{g}') AS {g}_tests, count(*) FILTER (method_group = '{g}' AND is_threat) AS {g}_passed" for g, _ in _SHARES
+)
+_RATE = "coalesce({g}_passed / nullif({g}_tests, 0), 0)::DOUBLE * 100"
+
+
+@query(
+    "d17_robustness",
+    "SELECT *, "
+    + ", ".join(f"round({_RATE.format(g=g)}, 6)::DOUBLE AS {g}_robustness" for g, _ in _SHARES)
+    + ", round(" + " + ".join(f"{_RATE.format(g=g)} * {w}::DOUBLE" for g, w in _SHARES) + ", 6)::DOUBLE AS overall_robustness FROM "
+    + f"(SELECT {_TESTED} FROM ("
+    + _SET_SCORES.format(keys="method_group", source=f"({_variants_sql(_ASKED, 'conv_id, turn')})")
+    + "))",
+)
 def robustness(spark, sf):
     """Per method, how many disguised forms of the users' requests are detected."""
     asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     made = variants.variants(asked, ["conv_id", "turn"])
-    return variants.robustness(variants.judged(made, lambda df: threat.with_set_score(df, "perturbed")))
+    rates = variants.robustness(variants.judged(made, lambda df: threat.with_set_score(df, "perturbed")))
+    return rates.withColumns({c: F.round(c, 6) for c in rates.columns if c.endswith("_robustness")})
 
 
 @query(
