@@ -35,10 +35,13 @@ SHOWN = 80
 PRIMES, FACTORS, PLACE, SALT = (2147483629, 2147483647), (1223106847, 1664525957), 7919, 104729
 
 
+def _mixed(x: Column) -> Column:
+    return x * FACTORS[0] % PRIMES[0] * FACTORS[1] % PRIMES[1]
+
+
 def _roll(seed: Column, place: Column, salt: int = 0) -> Column:
     """A number below the larger prime for a place; different places differ."""
-    x = seed + place.cast("long") * PLACE + salt * SALT
-    return x * FACTORS[0] % PRIMES[0] * FACTORS[1] % PRIMES[1]
+    return _mixed(seed + place.cast("long") * PLACE + salt * SALT)
 
 
 def _draw(seed: Column, place: Column, n: int, salt: int = 0) -> Column:
@@ -67,9 +70,9 @@ def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> Da
     preceded by an extra one, or dropped."""
     size = F.length(text)
     staged = fenced(df.withColumn("__seed", _seed(F.col(text), method)), "__seed")
-    staged = staged.withColumn(
-        "__rolls", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: _roll(F.col("__seed"), i))
-    )
+    # ``_roll`` of every place, its first sum counted up instead of multiplied.
+    last = F.col("__seed") + F.greatest(size - 1, F.lit(0)).cast("long") * PLACE
+    staged = staged.withColumn("__rolls", F.transform(F.sequence(F.col("__seed"), last, F.lit(PLACE).cast("long")), _mixed))
     changes = F.greatest(F.floor(size * share).cast("int"), F.lit(1))
     # Places with the smallest rolls change: as many as asked, all different.
     staged = fenced(fenced(staged, "__rolls").withColumn("__limit", F.get(F.array_sort("__rolls"), changes - 1)), "__limit")
