@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from textguard.functions import masking
 
@@ -43,10 +44,20 @@ def audit_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def export_events(audit: DataFrame, source: str = SOURCE, version: str = VERSION) -> DataFrame:
-    """Audit entries as stamped JSON events for another system to pick up."""
-    fields = [c for c in audit.columns if c not in ("redacted", "policy_blocked")]
+    """Audit entries as stamped JSON events for another system to pick up.
+
+    Empty lists and a score of zero are left out.
+    """
+    fields = [f for f in audit.schema if f.name not in ("redacted", "policy_blocked")]
+
+    def shown(field):
+        value = F.col(field.name)
+        if isinstance(field.dataType, ArrayType):
+            value = F.when(F.size(value) > 0, value)
+        return (F.nullif(value, F.lit(0.0)) if field.name == "ml_score" else value).alias(field.name)
+
     stamped = F.struct(
-        F.lit(source).alias("source"), F.lit(version).alias("version"), *[F.col(c) for c in fields]
+        F.lit(source).alias("source"), F.lit(version).alias("version"), *[shown(f) for f in fields]
     )
     return audit.select(F.to_json(stamped, {"ignoreNullFields": "true"}).alias("event"))
 

@@ -128,6 +128,6 @@ def allowed_traffic(spark, sf):
 
 @query("i7_first_deliveries", "SELECT DISTINCT left(sha256(text), 32) AS input_hash FROM conversations")
 def first_deliveries(spark, sf):
-    return sinks.appended(spark, live.first_deliveries(traffic_stream(spark, sf))).select("input_hash")
+    return sinks.appended(spark, live.first_deliveries(traffic_stream(spark, sf), "365 days")).select("input_hash")
 
 

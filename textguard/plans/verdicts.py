@@ -323,10 +323,15 @@ def _decided(spark, sf):
     return policy.with_decision(_summarized(spark, sf))
 
 
+# Whether the audit row shows less of a finding than its text.
+_MASKED = (
+    "bool_or(text <> '' AND (lower(category) = 'secrets' OR starts_with(lower(category), 'secret_') OR starts_with(lower(category), 'pii')))"
+)
 _AUDIT = sql.with_traffic(
     "SELECT conv_id, turn, ts AS timestamp, direction, host, path, total AS total_detections, NOT allowed AS blocked, "
     "reason IS NOT NULL AS policy_blocked, array_to_string(pii, ',') AS pii_categories, array_to_string(secrets, ',') AS secret_types, "
-    "categories, severities, rules FROM traffic JOIN verdict USING (conv_id, turn) "
+    "categories, severities, rules, redacted, 0.0::DOUBLE AS ml_score FROM traffic JOIN verdict USING (conv_id, turn) "
+    f"JOIN (SELECT conv_id, turn, {_MASKED} AS redacted FROM results GROUP BY conv_id, turn) USING (conv_id, turn) "
     f"JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn) LEFT JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn)",
     **_TRAFFIC,
 )
@@ -337,19 +342,22 @@ _LISTS = ("pii_categories", "secret_types", "categories", "severities", "rules")
 def audit_rows(spark, sf):
     rows = audit.audit_rows(_decided(spark, sf), TALK)
     flat = rows.withColumns({c: _joined(F.col(c)) for c in _LISTS})
-    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("redacted", "ml_score")
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query(
     "b27_block_reports",
     sql.with_traffic(
         "SELECT conv_id, turn, direction, host, path, true AS blocked, reason, peak AS severity, 'Request blocked by policy' AS message, "
-        f"403 AS status FROM traffic JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn) JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn)",
+        "403 AS status, to_json({'direction': direction, 'host': host, 'path': path, 'blocked': true, 'reason': reason, 'severity': peak, "
+        "'message': 'Request blocked by policy', 'results': listed})::VARCHAR AS body FROM traffic JOIN (SELECT conv_id, turn, "
+        "list({'category': category, 'severity': severity, 'rule': rule, 'text': text, 'confidence': 1.0::DOUBLE} ORDER BY block, o1, o2) AS listed "
+        f"FROM results GROUP BY conv_id, turn) USING (conv_id, turn) JOIN ({_TRAFFIC_BLOCK}) USING (conv_id, turn) JOIN ({_TRAFFIC_LISTS}) USING (conv_id, turn)",
         **_TRAFFIC,
     ),
 )
 def block_reports(spark, sf):
-    return policy.block_reports(_decided(spark, sf), TALK).drop("body")
+    return policy.block_reports(_decided(spark, sf), TALK)
 
 
 @query(
@@ -367,18 +375,19 @@ def traffic_counts(spark, sf):
 
 @query(
     "a5_export_events",
-    "SELECT 'textguard' AS source, '1' AS version, conv_id, turn, direction, host, path, total_detections, blocked, "
-    f"categories, severities, rules FROM ({_AUDIT})",
+    "SELECT 'textguard' AS source, '1' AS version, conv_id, turn, timestamp, direction, host, path, total_detections, blocked, "
+    "nullif(pii_categories, '') AS pii_categories, nullif(secret_types, '') AS secret_types, categories, severities, rules, "
+    f"nullif(ml_score, 0) AS ml_score FROM ({_AUDIT})",
 )
 def export_events(spark, sf):
     events = audit.export_events(audit.audit_rows(_decided(spark, sf), TALK))
-    lists = ("categories", "severities", "rules")
     shape = (
-        "source string, version string, conv_id bigint, turn bigint, direction string, host string, path string, "
-        "total_detections int, blocked boolean, " + ", ".join(f"{c} array<string>" for c in lists)
+        "source string, version string, conv_id bigint, turn bigint, timestamp timestamp, direction string, host string, path string, "
+        "total_detections int, blocked boolean, " + ", ".join(f"{c} array<string>" for c in _LISTS) + ", ml_score double"
     )
     parsed = events.select(F.from_json("event", shape).alias("e")).select("e.*")
-    return parsed.withColumns({c: _joined(F.col(c)) for c in lists})
+    flat = parsed.withColumns({c: _joined(F.col(c)) for c in _LISTS})
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query("a3_audit_sink", f"SELECT *, timestamp::DATE AS date FROM ({_AUDIT})")
@@ -388,7 +397,7 @@ def audit_sink(spark, sf):
     audit.write_audit(written, path)
     back = spark.read.schema(written.schema.add("date", "date")).json(path)
     flat = back.withColumns({c: _joined(F.col(c)) for c in _LISTS})
-    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("redacted", "ml_score")
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query(

@@ -46,10 +46,11 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_traffic(table(spark, sf_dir, "conversations"))
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The files of a table as a stream, in the table's own schema."""
+def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
+    """The files of a table as a stream, in the table's own schema; ``files`` of them a micro-batch."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files)
+    return reader.parquet(sf_dir)
 
 
 def traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,10 @@ def running_confusion(predictions: DataFrame) -> DataFrame:
     return evaluate.confusion_counts(predictions, ["model_version"])
 
 
-def first_deliveries(traffic: DataFrame, delay: str = "365 days") -> DataFrame:
-    """Traffic without repeats of the same text within the delay."""
+def first_deliveries(traffic: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Traffic without repeats of the same text within the delay.
+
+    The state holds a 32-character hash and a time for each different text of the delay.
+    """
     marked = traffic.withColumn("input_hash", fingerprint(F.col("text")))
     return marked.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["input_hash"])
