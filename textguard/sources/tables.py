@@ -49,8 +49,8 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
     """The files of a table as a stream, in the table's own schema; ``files`` of them a micro-batch."""
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files)
-    return reader.parquet(sf_dir)
+    # A pattern, as a stream's plain path must be a folder, and a table may be one file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
