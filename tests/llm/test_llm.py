@@ -82,6 +82,36 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd).where(F.size("licences") > 0).count() == 0
 
 
+def test_every_licence_sentence_passes_the_gate(spark):
+    """An example of each pattern, with the fewest licence words that it can do with."""
+    examples = {
+        "spdx_apache2": "SPDX-License-Identifier: Apache-2.0", "spdx_mit": "SPDX-License-Identifier: MIT",
+        "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0-only", "spdx_gpl2": "SPDX-License-Identifier: GPL-2.0-or-later",
+        "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause", "apache2_use": "Released under Apache License 2.0.",
+        "apache2_comply": "You may not use this file except in compliance with the License.",
+        "mit_use": "Available under the Expat licence.", "isc_grant": "Permission to use, copy,  modify, and/or distribute this software for any purpose",
+        "mit_grant": "Permission  is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "mit_warranty": "The software is provided \"as is\", without warranty of any kind", "bsd3_use": "Released under the New BSD License.",
+        "bsd2_use": "Released under the 2-Clause BSD License.",
+        "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "lgpl_use": "Released under the GNU Lesser General Public License 2.1.",
+        "agpl3_use": "Released under the GNU Affero General Public License 3.", "gpl3_use": "Released under the GNU General Public License 3.",
+        "gpl2_use": "Released under the GNU General Public License 2.",
+        "gpl_later": "either version 2 of the License, or (at your option) any later version.",
+        "mpl2_use": "Released under the Mozilla Public License 2.0.", "ccbync4_use": "Available under CC BY-NC 4.0.",
+        "ccbysa4_use": "This work is available under CC BY-SA 4.0.", "ccby4_use": "Released under CC BY 4.0.",
+        "cc0_use": "Released under CC0 1.0.", "all_rights": "Copyright Example, all rights reserved", "notice": "Copyright 2020 Example",
+    }
+    assert set(examples) == {n for n, _ in licences.SENTENCES}
+    more = [("ccby4_use", "Distributed under Creative Commons Attribution 4.0."), ("ccbysa4_use", "Released under CC-BY-SA-4.0."),
+            ("cc0_use", "Dedicated to the  public domain."), ("unknown", "Released under CC BY 3.0.")]
+    rows = [*examples.items(), *more]
+    df = licences.scan_licences(spark.createDataFrame(rows, "name string, text string"))
+    assert [(r["name"], r["sentences"]) for r in df.collect()] == [(n, [n]) for n, _ in rows]
+    df = licences.scan_licences(spark.createDataFrame([(1, "Write acc0unt 9cc0f1 and cc by mail. Permission to use it.")], "id int, text string"))
+    assert df.first()["sentences"] == []
+
+
 def test_urls(spark):
     rows = ["http://A.example.NET/en/x", "http://example.net/de", "https://example.com/de/1", "http://x.org/fr/2", "net/", None,
             "http://bad.org/a?utm_x=1&k=2#z", "http://bad.org/b", "http://xnet/", "http://net"]

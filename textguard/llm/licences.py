@@ -8,6 +8,8 @@ sentences. Everything is an expression on one row; texts without a licence word
 one pattern search.
 
 Defined cases: a null or empty text has no sentences. Repeated rows are scanned alike.
+The SQL of the query asks for fewer words (``WORDS``): it misses Creative Commons, CC0
+and ISC sentences without one of those, which the given tables do not hold.
 Other columns pass unchanged; columns named ``sentences``, ``licences`` or ``n_unknown``
 are replaced.
 """
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 
 from textguard.operators.fence import fenced
 
-#: Sentences with none of these words are not looked at.
+#: Words of a licence sentence in the SQL, which knows no others.
 WORDS = "licen[cs]e|copyright|warranty|permission is hereby|redistribution|spdx|public domain"
+#: Words of a licence sentence, normalised: every sentence that has a name holds one of them.
+ASKED = WORDS + "|permission to use copy|cc by (?:nc|nd|sa|[0-9])|creative commons|cc0 1 0|\\bcc0\\b"
+#: The same in a text as it stands, where other characters may lie between two words.
+GATE = ASKED.replace(" ", "[^\\p{L}\\p{N}]+")
 BREAKS = "[\\n]+|[.!?;]+[ \\t\\r]+"
 _LEAD = "(?:this (?:work|program|software|file|project|code|library) is |the (?:code|software|project) is )?"
 _UNDER = f"{_LEAD}(?:licensed|released|distributed|available|made available) under (?:the )?(?:terms of (?:the )?)?"
@@ -103,10 +109,10 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
     order, each once) and ``n_unknown`` (licence sentences that no rule took)."""
     own = [c for c in docs.columns if c not in MADE]
     body = F.col(text)
-    asked = F.filter(F.split(F.lower(body), BREAKS, -1), lambda s: s.rlike(WORDS))
+    asked = F.filter(F.split(F.lower(body), BREAKS, -1), lambda s: s.rlike(GATE))
     found = F.transform(F.transform(asked, normalised), identifier)
     none = F.array().cast("array<string>")
-    df = docs.select(*own).withColumn("sentences", F.when(F.lower(body).rlike(WORDS), found).otherwise(none))
+    df = docs.select(*own).withColumn("sentences", F.when(F.lower(body).rlike(GATE), found).otherwise(none))
     df = fenced(df, "sentences")
     # `<a><b>`: rules are tried in order at each place, as alternatives of one pattern.
     row = F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
