@@ -112,6 +112,120 @@ def test_every_licence_sentence_passes_the_gate(spark):
     assert df.first()["sentences"] == []
 
 
+APACHE = """Copyright 2020 Example
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_wrapped_notices(spark):
+    inc = BSD3.replace("the copyright holder", "Example Inc.")
+    ad = "3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n"
+    cases = [
+        (APACHE, ["Apache-2.0"], 1), (ASF, ["Apache-2.0"], 0), (MIT, ["MIT"], 0), (GPL2, ["GPL-2.0-or-later"], 0),
+        (GPL3, ["GPL-3.0-or-later"], 0), (GPL3.replace("General", "Lesser General"), ["LGPL"], 0),
+        (GPL3.replace("General", "Affero General"), ["AGPL-3.0-or-later"], 0), (BSD2 + BSD_END, ["BSD-2-Clause"], 0),
+        (BSD2 + BSD3 + BSD_END, ["BSD-3-Clause"], 0), (BSD2 + inc + BSD_END, ["BSD-3-Clause"], 0),
+        (BSD2 + ad + BSD3 + BSD_END, ["BSD-4-Clause"], 0), ("Copyright 2020 Example\n" + MIT, ["MIT"], 1),
+        # Sentences on lines of their own stay apart, with and without a stop.
+        ("A heading\nReleased under the MIT License\nLicensed under the Apache\nLicense, Version 2.0\nmore", ["MIT", "Apache-2.0"], 0),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nReleased under CC BY 4.0\n"
+         "A licence of its own kind", ["MIT", "CC-BY-4.0"], 1),
+    ]
+    for lead, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("", " ")):
+        rows = [(i, "".join(lead + line + end for line in t.splitlines())) for i, (t, *_) in enumerate(cases[: len(cases) if end != " " else -2])]
+        df = licences.scan_licences(spark.createDataFrame(rows, "id int, text string")).orderBy("id")
+        got = [(r["licences"], r["n_unknown"]) for r in df.collect()]
+        if end != " ":
+            assert got == [tuple(c[1:]) for c in cases]
+        else:  # on one line the notice of the first and of the last runs into what follows, as do addresses
+            assert [g for g, _ in got[1:10]] == [c[1] for c in cases[1:10]]
+
+
 def test_urls(spark):
     rows = ["http://A.example.NET/en/x", "http://example.net/de", "https://example.com/de/1", "http://x.org/fr/2", "net/", None,
             "http://bad.org/a?utm_x=1&k=2#z", "http://bad.org/b", "http://xnet/", "http://net"]
