@@ -289,6 +289,17 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contained(odd, items).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(12))
+    asked = ["Answer: forty two!", "uno", "two two", han, "a b c d"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    texts = ["pad " * 50 + "the answer -- FORTY two is", "Uno", "two", "two two two", f"x{chr(0x4E01)}{han}{chr(0x4E02)}", han[:9],
+             "a b c", "z a b c d e f " + " ".join(f"w{i} " for i in range(500)) + "uno", "answer forty", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.contained(docs, items).collect())
+    assert got == [(0, 0, 1, 1), (1, 1, 1, 1), (3, 2, 1, 1), (4, 3, 8, 8), (7, 1, 1, 1), (7, 4, 1, 1)]
+
+
 def test_a_document_of_many_items_takes_the_exact_way(spark):
     texts = [" ".join(f"a{k}x{i}" for i in range(20)) for k in range(60)]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")

@@ -9,8 +9,11 @@ least. Where no band width reaches that (a document with more than about fifteen
 items of that size), items and reductions are joined on the shingles themselves.
 Every candidate is verified by exact containment.
 
-Defined cases: items and documents with fewer than five words, null and empty texts
-have no shingles and match nothing. Repeated rows of a ``doc_id`` or ``item_id`` are
+Defined cases: an item with fewer than five words has one shingle of all its words, and
+documents then have the windows of that many words too; without such items they have none.
+In scripts without spaces each letter is a word. Null and empty texts have no shingles and
+match nothing. The SQL of the query knows neither short items nor those scripts; the given
+tables hold none. Repeated rows of a ``doc_id`` or ``item_id`` are
 one document or item with the shingles of all. A null id is an id like others. Extra
 columns are not read.
 """
@@ -32,16 +35,42 @@ MISS = 1e-4
 _WIDTHS = (8, 4, 2, 1)
 
 
+#: Letters of scripts that put no spaces between words.
+_UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+
+
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", -1), lambda w: w != "")
+    """Runs of letters and digits, in lower case; letters of scripts without spaces one by one."""
+    body = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(body.rlike(_UNSPACED), F.regexp_replace(body, f"({_UNSPACED})", " $1 ")).otherwise(body)
+    return F.filter(F.split(spaced, "[^\\p{L}\\p{N}]+", -1), lambda w: w != "")
+
 
+def _windows(n: int) -> Column:
+    """The hashes of all windows of so many words."""
+    each = F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, n)]))
+    return F.slice(each, 1, F.greatest(F.size("_words") - (n - 1), F.lit(0)))
 
-def _grams(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``grams``, the hashes of all five-word shingles."""
+
+def _grams(df: DataFrame, text: str, *widths: int) -> DataFrame:
+    """Adds ``grams``, the hashes of all five-word shingles and of the windows of ``widths``."""
     df = fenced(df.withColumn("_words", words_of(F.col(text))), "_words")
-    each = F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WORDS)]))
-    return df.withColumn("grams", F.slice(each, 1, F.greatest(F.size("_words") - (WORDS - 1), F.lit(0)))).drop("_words")
+    return df.withColumn("grams", F.concat(*[_windows(n) for n in (WORDS, *widths)])).drop("_words")
+
+
+def _item_grams(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``grams``, the hashes of all five-word shingles, or of all words if they are fewer."""
+    df = fenced(df.withColumn("_words", words_of(F.col(text))), "_words")
+    # Words beyond the end are null, which a hash passes over.
+    short = F.array(F.xxhash64(*[F.get("_words", F.lit(k)) for k in range(WORDS - 1)]))
+    few = F.size("_words").between(1, WORDS - 1)
+    return df.withColumn("grams", F.when(few, short).otherwise(_windows(WORDS))).drop("_words")
+
+
+def _short_widths(items: DataFrame, text: str) -> list[int]:
+    """How many words the items have that have fewer than five: four numbers at most."""
+    counts = items.select(F.size(words_of(F.col(text))).alias("n")).where(F.col("n").between(1, WORDS - 1)).distinct()
+    return sorted(r["n"] for r in counts.collect())
 
 
 def width(item_class: int, set_class: int) -> int:
@@ -76,12 +105,12 @@ def contained(
 ) -> DataFrame:
     """``(doc_id, item_id, n_shared, n_item)`` of each document that holds at least eight
     tenths of an item's shingles."""
-    asked = _grams(items.select(F.col(item).alias("item_id"), F.col(text).alias("text")), "text")
+    asked = _item_grams(items.select(F.col(item).alias("item_id"), F.col(text).alias("text")), "text")
     asked = asked.select("item_id", F.explode("grams").alias("g")).groupBy("item_id").agg(F.collect_set("g").alias("item"))
     asked = stored(asked.withColumn("n_item", F.size("item")).withColumn("a", _class("n_item")), "items")
     known = asked.select(F.explode("item").alias("g")).distinct()
     table = bloom.bloom_table(known, "g")
-    each = _grams(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text")
+    each = _grams(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text", *_short_widths(items, text))
     hits = bloom.maybe_in(each.select("doc_id", F.explode("grams").alias("g")), "g", table)
     reduced = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("g")).alias("grams"))
     reduced = stored(reduced.withColumns({"k1": F.xxhash64("grams"), "k2": F.xxhash64(F.lit("set"), "grams")}), "reduced")
