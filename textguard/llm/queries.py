@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.llm import (
-    decontaminate, licences, lines, neardup, oracles, pieces, quality, secretscan, tokenfiles, toxicity, urls,
+    conversations, decontaminate, licences, lines, neardup, oracles, pieces, quality, resample, secretscan, shards, tokenfiles,
+    toxicity, urls,
 )
 from textguard.session import shared_dir
 
+#: Shards of the sharding query.
+SHARDS = 40
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,11 +112,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_toxicity(docs, model).select("doc_id", "severity", "grade", "toxic")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, and its cheapest repair."""
+    rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.digests(rows, conversations.audits(rows))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of each document towards the benchmark, and its place in the draw."""
+    drawn = resample.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of each document and its place there, in the balanced map and in one with a shard more."""
+    rows = shards.placed(_documents(spark, sf_dir))
+    history = shards.map_history(rows, SHARDS)
+    here = shards.assign(rows, shards.version(history, 2))
+    next_ = shards.version(history, 3).select("virtual_slot", "stripe", F.col("shard").alias("next_shard"))
+    both = here.join(F.broadcast(next_), ["virtual_slot", "stripe"])
+    return both.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_secret_scan, op3_licence_scan, op4_url_filter, op5_decontamination, op6_near_dedup,
-        op7_line_dedup, op8_quality_rules, op9_token_files, op10_toxicity,
+        op7_line_dedup, op8_quality_rules, op9_token_files, op10_toxicity, op11_conversation_repair,
+        op12_importance_resampling, op13_sharding,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
