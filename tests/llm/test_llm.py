@@ -514,3 +514,53 @@ def test_modules_do_not_reach_into_others():
             for name in names:
                 if name.endswith(".py"):
                     assert "textguard.llm" not in open(os.path.join(folder, name)).read()
+
+
+def test_decode_of_any_ids():
+    library, coder, draw = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.pieces(PIECES), random.Random(4)
+    for _ in range(20000):
+        low = draw.choice((3, 260, 32000))
+        ids = [draw.randrange(0, low) for _ in range(draw.randrange(1, 14))] + [draw.randrange(0, 32000)]
+        assert coder.decode(np.array(ids)) == library.decode(ids), ids
+
+
+def test_words_equal_the_library():
+    library, draw = Tokenizer.from_file(WORDS), random.Random(5)
+    marks = list("abcstrelmDßÄéÿ×÷ 0123'’!-.,\n\t\x0b\x1c\x85\xa0") + ["'s", "'ll", "ſ", "İ", "中", "<|endoftext|>", "K", "é", "word " * 9]
+    texts = ["".join(draw.choice(marks) for _ in range(draw.randrange(40))) for _ in range(4000)]
+    texts += [None, "", "x" * 100_000, "ß" * 70 + " ", "zero\u0000one"]
+    coder = tokenfiles.Words(WORDS)
+    for some in (texts[:2000], texts[2000:], texts):
+        got = coder.encode(some)
+        assert [x.tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert max(map(len, coder.word)) <= tokenfiles.LONG
+
+
+def test_urls_keep_the_callers_columns(spark):
+    pages = spark.createDataFrame([(1, "https://a.net/x"), (2, "https://listed.example/x"), (2, "https://listed.example/x"), (3, None)], "page_id long, url string")
+    named = {c: F.lit("mine") for c in ("block", "w0", "_maybe_not", "bloom_block")}
+    listed = spark.createDataFrame([("listed.example/x",)], "url string")
+    rows = urls.filter_urls(pages.withColumns(named).withColumns({c: F.lit("old") for c in ("host", "rule", "listed")}), listed).collect()
+    assert len(rows) == 4 and all(r[c] == "mine" for r in rows for c in named)
+    assert sorted((r["page_id"], r["verdict"], r["rule"]) for r in rows if r["page_id"] < 3) == [
+        (1, "block", "net/"), (2, "block", None), (2, "block", None)
+    ]
+    assert urls.filter_urls(pages.where("page_id > 9"), listed).count() == 0
+
+
+def test_pipeline_stages_judge_rows_without_id_on_their_own(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(3)]
+    rows = [(None, clean[0]), (None, clean[0]), (None, clean[1]), (None, f"before {item} after"), (None, None), (4, clean[2]), (4, clean[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = sorted(((r["doc_id"], r["text"]) for r in stages["near_dedup"](spark, docs, sf).collect()), key=repr)
+    assert left == sorted(set(rows), key=repr)
+    left = sorted(((r["doc_id"], r["text"]) for r in stages["benchmark_free"](spark, docs, sf).collect()), key=repr)
+    assert left == sorted((r for r in rows if r[1] is None or item not in r[1]), key=repr)
+
+
+def test_long_holders_of_a_notice(spark):
+    text = "Licensed to " + "A Very Long Name " * 40 + "\nunder one or more contributor license agreements.\n\nmore text"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licences.scan_licences(df).first()["sentences"] == ["asf_grant"]

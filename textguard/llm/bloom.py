@@ -32,10 +32,11 @@ def bloom_table(keys: DataFrame, key: str, log2_blocks: int = LOG2_BLOCKS) -> Da
 
 def with_maybe(df: DataFrame, key: str, table: DataFrame, log2_blocks: int = LOG2_BLOCKS) -> DataFrame:
     """``df`` with ``_maybe``: whether the key may be among the filter's. A null never is."""
+    own = table.select(*[F.col(c).alias(f"_bloom_{c}") for c in table.columns])
     hit = F.col(key).isNotNull()
     for i in range(_WORDS):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(_bit(key, i)) != 0)
-    probe = df.withColumn("block", _block(key, log2_blocks)).join(F.broadcast(table), "block", "left")
+        hit = hit & (F.col(f"_bloom_w{i}").bitwiseAND(_bit(key, i)) != 0)
+    probe = df.join(F.broadcast(own), _block(key, log2_blocks) == F.col("_bloom_block"), "left")
     return probe.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("_maybe"))
 
 

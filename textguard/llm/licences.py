@@ -76,7 +76,7 @@ def _gnu(name: str, version: str) -> str:
     return _FREE + f"{name} (?:version {version}(?: only)? {_FSF}|{_FSF} version {version}(?: of the license)?(?: only)?)"
 
 
-#: The sentences of the usual notices, which go first. ``~`` is up to 200 characters of one sentence.
+#: The sentences of the usual notices, which go first. ``~`` is any text within one sentence.
 NOTICES = (
     ("apache2_use", _UNDER + "apache license version 2 0 the license"),
     ("apache2_use", "(?:.* )?licenses this file to you under the apache license version 2 0 the license"),
@@ -190,7 +190,7 @@ def identifier(sentence: Column) -> Column:
     """The known sentence that a normalised sentence is, or ``unknown``."""
     known = F.when(F.lit(False), F.lit(""))
     for name, pattern in NOTICES + SENTENCES:
-        known = known.when(sentence.rlike(f"^(?:{pattern.replace('~', '.{1,200}?')})$"), name)
+        known = known.when(sentence.rlike(f"^(?:{pattern.replace('~', '.+?')})$"), name)
     return known.otherwise("unknown")
 
 
@@ -217,7 +217,7 @@ def marked(text: Column) -> Column:
 def _over_lines(pattern: str, gap: str) -> str:
     """A pattern that takes a mark of ``gap`` for a space; what it leaves open stays on one line."""
     rest = pattern.replace("\\W", "[^\\w\0]").replace(" ", f"[ {gap}]").replace(".*", "[^\0]*")
-    return rest.replace("~", f"[^{_END}]{{1,200}}?").replace("\0", _MARKS)
+    return rest.replace("~", f"[^{_END}]+?").replace("\0", _MARKS)
 
 
 def sentences_of(text: Column) -> Column:

@@ -72,6 +72,7 @@ class Pieces:
         for b, i in enumerate(self.byte):
             self.out[i] = bytes([b])
             self.is_byte[i] = True
+        self.silent = np.array([not o for o in self.out])
 
     @functools.cached_property
     def ids(self) -> dict[str, int]:
@@ -193,13 +194,15 @@ class Pieces:
         """Text of ids. Bytes that are not UTF-8 become U+FFFD one by one."""
         if not len(ids):
             return ""
-        out = self.out
-        raw = b"".join(map(out.__getitem__, ids.tolist()))
+        out, each = self.out, ids.tolist()
+        raw = b"".join(map(out.__getitem__, each))
         try:
-            text = raw.decode()
+            # Bytes on both sides of a control id are no character together.
+            text = self._decode_bytes(ids) if self.silent[ids].any() else raw.decode()
         except UnicodeDecodeError:
             text = self._decode_bytes(ids)
-        first = next((p for i in ids[:8].tolist() if (p := self.piece[i]) or self.is_byte[i]), None)
+        # The space before the first word is none of the text's, unless an unknown piece or bytes come before it.
+        first = next((self.piece[i] for i in each if out[i]), None)
         return text[1:] if first and first[0] == SPACE else text
 
     def _decode_bytes(self, ids: np.ndarray) -> str:

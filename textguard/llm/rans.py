@@ -24,6 +24,8 @@ _STEPS = SEGMENT // LANES
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to a sum of ``2 ** SCALE``, at least 1 for each symbol that occurs."""
     total, whole = int(counts.sum()), 1 << SCALE
+    if np.count_nonzero(counts) > whole:
+        raise ValueError(f"more than {whole} different symbols")
     scaled = np.where(counts > 0, np.maximum(1, counts * whole // max(total, 1)), 0).astype(np.int64)
     rest = whole - int(scaled.sum())
     order = np.argsort(-scaled, kind="stable")

@@ -8,11 +8,13 @@ interleaved ANS states over that table, each with check points and a checksum
 (``rans``). Positions in the whole stream follow from one sum per task.
 
 The library's results are kept per word in a bounded table of the worker: white space
-always ends a word, so only words that are not in the table are handed to it. Texts for
-which that is not certain (special tokens, letters beyond Latin) go to it whole.
+always ends a word, so only words that are not in the table are handed to it; very long
+ones are not kept. Texts for which that is not certain (special tokens, letters beyond
+Latin) go to it whole.
 
 Defined cases: a null or empty text has the end id alone. Documents with a null id come
-first; rows that repeat an id follow each other by their text. Extra columns are not
+first; rows that repeat an id follow each other by a hash of their text, and may lie in
+several tasks. Extra columns are not
 read. An empty table gives empty files.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +41,18 @@ from textguard.llm.store import in_arrow
 END = 1
 #: Ids after which a group is closed, at the end of a document.
 GROUP = 2_000_000
-#: Words whose ids a worker keeps; the table starts anew when it is full.
+#: Words whose ids a worker keeps, none longer than ``LONG``; the table starts anew when it is full.
 KEPT = 600_000
+LONG = 64
 _SLICE = 8_000_000
 #: Texts of these characters are the same to Python and to the library in all that
 #: matters here: normal form, lower case, white space, letters and numbers.
 _PLAIN = re.compile("[\t-\r -~ -įı-ž]*")
-_SIMPLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
-_SIMPLE_UNIT = re.compile("[!-~à-öø-ÿ]*")
+_SIMPLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Texts and parts of texts that ``_SIMPLE`` takes apart as the library does.
+_SIMPLE_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+
+_NONE = np.zeros(0, "<u4")
 
 SCHEMA = (
     "part int, seq int, before long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, symbols binary, "
@@ -63,7 +70,6 @@ class Words:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.unit: dict[str, bytes] = {}
         self.word: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -74,28 +80,50 @@ class Words:
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
             got = self.library.encode(" ".join(some), add_special_tokens=False)
-            owner, ids = np.array(got.word_ids), np.array(got.ids, "<u4")
-            ends = np.searchsorted(owner, np.arange(len(some) + 1))
+            owner, ids = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
             if len(owner) == 0 or owner[-1] != len(some) - 1:
                 self.word.update((w, self._whole(w)) for w in some)
                 continue
-            self.word.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, ends, ends[1:]))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as 32-bit little-endian integers."""
-        plain = [t is not None and "<|" not in t and (t.isascii() or _PLAIN.fullmatch(t) is not None) for t in texts]
-        units = [t.lower().split() if ok and _PLAIN.fullmatch(t) else None for t, ok in zip(texts, plain)]
-        if len(self.unit) > KEPT:
-            self.unit.clear()
+            ends = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            self.word.update((w, ids[a:b]) for w, a, b in zip(some, ends, ends[1:]))
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        """Ids of different units, which stand between white space and have no capitals."""
+        if _SIMPLE_TEXT.fullmatch("\n".join(units)):
+            parts = list(map(_SIMPLE.findall, units))
+        else:
+            parts = [_SIMPLE.findall(u) if _SIMPLE_TEXT.fullmatch(u) else [u] for u in units]
         if len(self.word) > KEPT:
             self.word.clear()
-        new = set().union(*(u for u in units if u is not None)) - self.unit.keys()
-        parts = {u: _SIMPLE.findall(u) if _SIMPLE_UNIT.fullmatch(u) else None for u in new}
-        self._learn(list({w for p in parts.values() if p for w in p} - self.word.keys()))
-        word = self.word
-        self.unit.update((u, self._whole(u) if p is None else b"".join([word[w] for w in p])) for u, p in parts.items())
-        of = self.unit.__getitem__
-        return [b"".join(map(of, u)) if u is not None else self._whole(t or "") for t, u in zip(texts, units)]
+        new = set(chain.from_iterable(parts)) - self.word.keys()
+        self._learn([w for w in new if _SIMPLE_TEXT.fullmatch(w)])
+        self.word.update((w, self._whole(w)) for w in new - self.word.keys())
+        of = self.word.__getitem__
+        out = [b"".join(map(of, p)) for p in parts]
+        for w in new:
+            if len(w) > LONG:
+                del self.word[w]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as 32-bit integers."""
+        plain = [i for i, t in enumerate(texts) if t and "<|" not in t and _PLAIN.fullmatch(t)]
+        out = [_NONE if not t else None for t in texts]
+        # The units of all plain texts as numbers, and each different unit once.
+        split = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        ids = self._of_units(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        unit = coded.indices.to_numpy()
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        n = size[unit]
+        after = np.cumsum(n)
+        stream = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[unit] - (after - n), n) + np.arange(n.sum())]
+        at = np.concatenate([[0], after])[ends]
+        for i, a, b in zip(plain, at, at[1:]):
+            out[i] = stream[a:b]
+        return [np.frombuffer(self._whole(t), "<u4") if x is None else x for x, t in zip(out, texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,17 +131,20 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def _group(part: int, seq: int, before: int, ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
-    stream = np.frombuffer(b"".join(coded), "<u4")
-    symbols, index, counts = np.unique(stream, return_inverse=True, return_counts=True)
-    freq = rans.frequencies(counts)
+def _group(part: int, seq: int, before: int, ids: list[int | None], coded: list[np.ndarray], end: int) -> pa.RecordBatch:
+    last = np.array([end], "<u4")
+    stream = np.concatenate([x for c in coded for x in (c, last)])
+    counts = np.bincount(stream)
+    symbols = np.flatnonzero(counts)
+    index = (np.cumsum(counts > 0) - 1)[stream]
+    freq = rans.frequencies(counts[symbols])
     blocks = [
         {"words": w, "states": s.astype("<u8").tobytes(), "ends": e.astype("<i8").tobytes(), "crc32": crc}
         for w, s, e, crc in rans.encode(index, freq)
     ]
     row = {
         "part": part, "seq": seq, "before": before, "n_tokens": len(stream), "doc_ids": ids,
-        "doc_tokens": [len(c) // 4 for c in coded], "symbols": symbols.astype("<u4").tobytes(),
+        "doc_tokens": [len(c) + 1 for c in coded], "symbols": symbols.astype("<u4").tobytes(),
         "freq": freq.astype("<u4").tobytes(), "blocks": blocks,
     }
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
@@ -121,13 +152,11 @@ def _group(part: int, seq: int, before: int, ids: list[int | None], coded: list[
 
 def write_tokens(docs: DataFrame, files: str, tokenizer: str, doc: str = "doc_id", text: str = "text", end: int = END) -> None:
     """Writes the ids of ``docs`` to the folder ``files``."""
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = words(tokenizer), TaskContext.get().partitionId()
         seq = before = size = 0
         ids: list[int | None] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE)) + 1
@@ -137,16 +166,17 @@ def write_tokens(docs: DataFrame, files: str, tokenizer: str, doc: str = "doc_id
                 some = batch.slice(a, b - a)
                 for i, c in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist())):
                     ids.append(i)
-                    coded.append(c + last)
-                    size += len(c) // 4 + 1
+                    coded.append(c)
+                    size += len(c) + 1
                     if size >= GROUP:
-                        yield _group(part, seq, before, ids, coded)
+                        yield _group(part, seq, before, ids, coded, end)
                         seq, before, size, ids, coded = seq + 1, before + size, 0, [], []
         if ids:
-            yield _group(part, seq, before, ids, coded)
+            yield _group(part, seq, before, ids, coded, end)
 
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     in_arrow(ordered, run, SCHEMA).write.parquet(files)
 
 

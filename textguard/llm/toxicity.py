@@ -74,7 +74,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
     every = F.when(F.col("toxic"), step(True)).otherwise(step(False))
     chosen = known.where(F.pmod(F.xxhash64("_id"), every) == F.pmod(F.lit(part), every))
     texts = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("text", "toxic").distinct().limit(8 * about)
+    rows = texts.join(F.broadcast(chosen), "_id").select("text", "toxic").distinct().orderBy(F.xxhash64("text"), "text").limit(8 * about)
     return sorted(((r["text"] or "", r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: (r[1], r[0]))
 
 
