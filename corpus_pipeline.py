@@ -3,8 +3,9 @@
 Every stage takes and returns a table with the columns of ``documents``; the last gives
 the ids. A document leaves when the quality policy rejects it, when a near-duplicate
 with a smaller id stays, or when it holds a benchmark item. Repeated lines leave the
-text of all but the first document that holds them. Null ids: such documents are judged
-by quality and benchmark together as one id, and near-dedup keeps them.
+text of all but the first document that holds them. Null ids: near-dedup and benchmark
+know such a document by a hash of its text, so each is judged on its own, and of equal texts
+without an id one stays. Of rows that repeat an id and its text one stays as well.
 
 SQL can express neither the near-duplicate search nor the encoding, so there is no
 ``ORACLE_SQL``; a test holds the rows against a brute-force version.
@@ -22,10 +23,14 @@ from textguard.llm.store import stored
 POLICY = "v1"
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the id, or a hash of the text where there is none."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text")))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``gone``. Hashed, so that texts are not sorted."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).hint("shuffle_hash")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` but for the keys in ``gone``. Hashed, so that texts are not sorted."""
+    return docs.join(gone.select(F.col("doc_id").alias("_key")).hint("shuffle_hash"), "_key", "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +46,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
-    return _without(docs, neardup.near_classes(docs).where("doc_id != class_id"))
+    keyed = _keyed(docs)
+    kept = _without(keyed, neardup.near_classes(keyed, "_key").where("doc_id != class_id"))
+    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    keyed = _keyed(docs)
+    gone = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
+    return _without(keyed, gone).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
