@@ -11,6 +11,7 @@ import time
 
 from textguard import plans
 from textguard.session import local_session
+from textguard.sources.tables import DEAL
 
 HEADLINE = (
     "a1_document_summary",
@@ -38,6 +39,8 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="textguard-bench")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text))").collect()
+    # Each given table is one row group; dealing it out is part of the time measured.
+    spark.conf.set(DEAL, str(2 * (os.cpu_count() or 8) if not cpus.isdigit() else 2 * int(cpus)))
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Unset, tables are read as they lie. A table in a single row group is read by one task, however many splits it has;
+# set to a number, its rows are dealt out to that many tasks first.
+DEAL = "spark.textguard.read.partitions"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    partitions = partitions or int(spark.conf.get(DEAL, "0"))
+    return rows.repartition(partitions) if partitions else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
