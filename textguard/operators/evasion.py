@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.dialect import java_of
 from textguard.functions.text import quoted
+from textguard.operators import ruleset
 from textguard.operators.fence import fenced
 from textguard.operators.guard import check_patterns
 from textguard.operators.scan import _SAFE, gated, hits_of, with_gates
@@ -45,6 +46,31 @@ def with_evasion(
     return fenced(seen.select(*columns, matched.alias("__matched")).select(*columns, value.alias(into)), into)
 
 
+def with_rules(df: DataFrame, rules: DataFrame, keys: Sequence[str], text: str = "text", into: str = "evasion") -> DataFrame:
+    """``keys`` and the evasion of each text, with own techniques from a table of any number.
+
+    ``rules`` has ``place``, ``name``, ``category``, ``weight`` and ``pattern``; own techniques follow
+    the known ones by ``place``. Only what was found is shuffled, not the texts.
+    """
+    named = rules.select(*[F.col(c).alias(f"_{c}") for c in ("place", "name", "category", "weight")], "pattern")
+    found = ruleset.findings(df, named, keys, text)
+    first = found.groupBy(*keys, "_place", "_name", "_category", "_weight").agg(F.min_by("value", "start").alias("_match"))
+    own = first.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
+        F.sort_array(F.collect_list(F.struct("_place", "_name", "_category", "_weight", "_match"))).alias("_own")
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    base = with_evasion(df, text, into).select(*keys, into)
+    extra = F.transform("_own", lambda t: F.struct(*[t[f"_{c}"].alias(c) for c in ("name", "category", "weight", "match")]))
+    none = F.slice(F.col(into)["matched"], 1, 0)
+    matched = F.concat(F.col(into)["matched"], F.coalesce(extra, none))
+    joined = base.join(own, same, "left").select(*keys, matched.alias("_all"))
+    score = F.least(F.lit(1.0), F.aggregate("_all", F.lit(0.0), lambda a, t: a + t["weight"]))
+    value = F.struct((F.size("_all") > 0).alias("detected"), score.alias("score"), F.col("_all").alias("matched"))
+    return joined.select(*keys, value.alias(into))
+
+
 def evasion_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Texts hit per technique and per category level: one pass, one small
     shuffle of partial counts. A text counts once per matched technique."""

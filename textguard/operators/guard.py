@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import masking, severity
-from textguard.functions.dialect import java_of, to_java
+from textguard.functions.dialect import java_of
 from textguard.functions.text import cut, quoted, token_estimate, truncated_prefix
 from textguard.functions.validators import plausible
 from textguard.operators.fence import fenced
+from textguard.operators.ruleset import analysed
 from textguard.operators.scan import _SAFE, VALUE_LIMIT, gated, hits_of, lookup, with_gates, with_matches
 from textguard.rules import GATES, PACKS, phrases, rules_of, secrets, validated
 from textguard.rules.model import Rule
@@ -45,12 +47,16 @@ class GuardConfig:
 
 
 def check_patterns(df: DataFrame, patterns: Sequence[str]) -> None:
-    """Rejects a bad user pattern on the driver, before any task starts."""
+    """Rejects a bad user pattern before any text is read: it is tried on one empty string."""
     for pattern in patterns:
+        java, _, error = analysed(pattern)
         try:
-            df.sparkSession._jvm.java.util.regex.Pattern.compile(to_java(pattern))
-        except Exception as err:
-            raise ValueError(f"invalid pattern {pattern!r}") from err
+            if error is None:
+                df.sparkSession.range(1).select(F.lit("").rlike(java)).collect()
+        except PySparkException as err:
+            error = str(err)
+        if error is not None:
+            raise ValueError(f"invalid pattern {pattern!r}: {error}")
 
 
 # ----------------------------------------------------------------- categories

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textguard.functions import severity
 from textguard.functions.masking import audit_text
 from textguard.functions.text import truncated_prefix
-from textguard.operators import distinct, guard, scan
+from textguard.operators import distinct, guard, ruleset, scan
 from textguard.plans import sql
 from textguard.plans.registry import query
 from textguard.rules import rules_of, validated
@@ -324,7 +324,36 @@ _OWN_PATTERNS = (r"\b[0-9a-f]{40}\b", r"[a-z0-9]+\.example\.com")
     ),
 )
 def custom_patterns(spark, sf):
-    seen = guard.with_pii(_texts(spark, sf), custom=_OWN_PATTERNS)
-    return scan.exploded(seen, KEYS, "pii").select(*KEYS, "category", "start", "value", "severity", "redacted")
+    texts = _texts(spark, sf)
+    shown = [*KEYS, "category", "start", "value", "severity", "redacted"]
+    known = scan.exploded(guard.with_pii(texts), KEYS, "pii").select(*shown)
+    rules = spark.createDataFrame(
+        [(validated.CUSTOM_CATEGORY, validated.CUSTOM_SEVERITY, validated.CUSTOM_REDACTED, p) for p in _OWN_PATTERNS],
+        "category string, severity int, redacted string, pattern string",
+    )
+    return known.unionByName(ruleset.findings(texts, rules, KEYS).select(*shown))
+
+
+def _item_rules(items):
+    """A rule for each benchmark item: its first four runs of letters, however they are written and parted."""
+    runs = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 4)
+    named = F.concat(F.lit("item-"), F.col("item_id").cast("string"))
+    pattern = F.concat(F.lit(r"(?i)\b"), F.array_join(runs, "[^A-Za-z]+"), F.lit(r"\b"))
+    return items.select(named.alias("rule"), pattern.alias("pattern")).where(F.size(runs) == 4)
+
+
+@query(
+    "a7_rules_table",
+    r"""SELECT doc_id, rule, count(*) AS n, min(length(split_part(t, chr(1), 1))) AS first
+    FROM (SELECT doc_id, rule, unnest(regexp_extract_all(text, pattern)) AS hit, regexp_replace(text, pattern, chr(1)) AS t
+      FROM (SELECT doc_id, text, rule, pattern FROM documents, (
+        SELECT 'item-' || item_id AS rule, '(?i)\b' || array_to_string(runs[1:4], '[^A-Za-z]+') || '\b' AS pattern
+        FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS runs FROM benchmark) WHERE len(runs) >= 4)))
+    GROUP BY doc_id, rule""",
+)
+def rules_table(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = ruleset.findings(docs, _item_rules(table(spark, sf, "benchmark")), ["doc_id"])
+    return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("long").alias("first"))
 
 

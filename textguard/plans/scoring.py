@@ -55,7 +55,10 @@ _OWN = (("tripled_mark", "obfuscation", 0.25, r"[!?*#]{3,}"), ("shouting", "sema
 
 @query("j2_own_technique", _evasion_scores(_OWN))
 def own_technique(spark, sf):
-    return _evasion_rows(evasion.with_evasion(_texts(spark, sf), extra=_OWN))
+    rules = spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(_OWN)], "place int, name string, category string, weight double, pattern string"
+    )
+    return _evasion_rows(evasion.with_rules(_texts(spark, sf), rules, KEYS))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors, once per application, for functions that run there."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/textguard", "zip", os.path.dirname(home), "textguard"))
+        _SHIPPED.add(context.applicationId)
