@@ -35,14 +35,43 @@ def _batches(folder):
     return len([d for d in os.listdir(folder.removeprefix("file:")) if d.startswith("batch=")])
 
 
-def test_limiter_carries_its_window_between_batches(spark, parts):
-    rows = stream(spark, parts, "events", files=1).withColumn("tokens", F.floor("value"))
-    # Files follow each other in time, rows inside a file do not.
-    got = sinks.appended(spark, limiter.limit_stream(rows, "user_id", "ts", "event_id", "tokens", LIMITS))
-    whole = table(spark, parts, "events").withColumns({"tokens": F.floor("value"), "ts": F.col("ts").cast("timestamp")})
-    want = usage.limit(whole, "user_id", "ts", "event_id", "tokens", LIMITS)
-    assert {(r.seq, r.allowed, r.reason) for r in got.collect()} == {(r.event_id, r.allowed, r.reason) for r in want.collect()}
-    assert got.count() == whole.count() and got.where("NOT allowed").count() > 0
+def _files(spark, rows, folder, parts):
+    """Event files that a stream takes one after the other, ``parts`` being the rows of each."""
+    os.makedirs(folder / "events.parquet")
+    for i, part in enumerate(parts):
+        path = folder / "events.parquet" / f"part-{i}.parquet"
+        rows.where(F.col("event_id").isin(part)).toPandas().to_parquet(path, coerce_timestamps="us")
+        os.utime(path, (1_700_000_000 + i * 10,) * 2)
+    return str(folder)
+
+
+def _limited(spark, folder, delay):
+    rows = stream(spark, folder, "events", files=1).withColumn("tokens", F.floor("value"))
+    last = table(spark, folder, "events").agg(F.max("ts").alias("ts"))
+    got = limiter.decisions(rows, last, "user_id", "ts", "event_id", "tokens", LIMITS, delay)
+    return {(r.seq, r.allowed, r.reason) for r in got.collect()}
+
+
+def test_limiter_decides_in_event_order_over_batches(spark, sf, tmp_path):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    ids = [r.event_id for r in events.orderBy(F.hash("event_id")).collect()]
+    # Three batches in no order: with a delay as long as the table nothing is late.
+    folder = _files(spark, events, tmp_path, [ids[k::3] for k in range(3)])
+    whole = events.withColumns({"tokens": F.floor("value"), "ts": F.col("ts").cast("timestamp")})
+    want = {(r.event_id, r.allowed, r.reason) for r in usage.limit(whole, "user_id", "ts", "event_id", "tokens", LIMITS).collect()}
+    assert _limited(spark, folder, "3650 days") == want
+    assert len(want) == len(ids) and any(not w[1] for w in want)
+
+
+def test_late_requests_are_put_out_as_such(spark, sf, tmp_path):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    by_time = [r.event_id for r in events.orderBy("ts", "event_id").collect()]
+    n = len(by_time)
+    late = by_time[: n // 10]
+    folder = _files(spark, events, tmp_path, [by_time[n // 10 : n // 2], by_time[n // 2 :], late])
+    whole = events.where(~F.col("event_id").isin(late)).withColumns({"tokens": F.floor("value"), "ts": F.col("ts").cast("timestamp")})
+    want = {(r.event_id, r.allowed, r.reason) for r in usage.limit(whole, "user_id", "ts", "event_id", "tokens", LIMITS).collect()}
+    assert _limited(spark, folder, "1 minute") == want | {(i, False, limiter.LATE) for i in late}
 
 
 def test_counters_add_up_over_batches(spark, parts):

@@ -50,7 +50,8 @@ _STREAM_LIMITS = monitoring._TIGHT
 )
 def stream_limiter(spark, sf):
     events = stream(spark, sf, "events").withColumn("tokens", F.floor("value"))
-    return sinks.appended(spark, limiter.limit_stream(events, "user_id", "ts", "event_id", "tokens", _STREAM_LIMITS))
+    last = table(spark, sf, "events").agg(F.max("ts").alias("ts"))
+    return limiter.decisions(events, last, "user_id", "ts", "event_id", "tokens", _STREAM_LIMITS)
 
 
 @query(
