@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.session import written
+
 MICROS = 1_000_000
 # Reasons in checking order.
 TOKENS_REASON = "Token rate limit exceeded"
@@ -78,22 +80,33 @@ def trailing_usage(
     return _ranged(timed, client, "__at", -(span - 1), 0, values).drop("__at")
 
 
-def _replay(limits: Limits):
-    """Batch iterator deciding contested rows; rows come sorted by run and time.
+_BLOCK = ["__client", "__run", "__stretch"]
+_STATE = ["__ats", "__used"]
+# Rounds of blocks replayed side by side before what still differs is replayed run by run.
+ROUNDS = 6
+
 
-    State is what the current run has in its window, so memory does not grow
-    with the number of rows.
+def _replay(limits: Limits, rows_out: bool):
+    """Batch iterator over blocks: first a block's entry (kind 0, with what is in its window), then
+    its rows in order. Gives the rows with their reason, or what is in the window at each block's end.
+
+    State is what the current block has in its window, so memory does not grow with the
+    number of rows.
     """
     span = limits.window_seconds * MICROS
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, window, used = None, deque(), 0
+        block, window, used = None, deque(), 0
         for batch in batches:
-            reasons = []
-            rows = zip(batch["__client"], batch["__run"], batch["__at"], batch["__tokens"], batch["__safe"])
-            for client, start, at, tokens, safe in rows:
-                if (client, start) != run:
-                    run, window, used = (client, start), deque(), 0
+            reasons, ends = [], []
+            columns = (batch[c] for c in (*_BLOCK, "__kind", "__at", "__tokens", "__safe", *_STATE))
+            for client, run, stretch, kind, at, tokens, safe, ats, toks in zip(*columns):
+                if kind == 0:
+                    if block is not None:
+                        ends.append((*block, [x for x, _ in window], [x for _, x in window]))
+                    block, window, used = (client, run, stretch), deque(zip(ats, toks)), sum(toks)
+                    reasons.append("")
+                    continue
                 while window and window[0][0] <= at - span:
                     used -= window.popleft()[1]
                 if not safe and used + tokens > limits.tokens_per_window:
@@ -103,15 +116,74 @@ def _replay(limits: Limits):
                 elif tokens > limits.max_tokens:
                     reasons.append(SIZE_REASON)
                 else:
-                    window.append((at, tokens))
+                    window.append((int(at), int(tokens)))
                     used += tokens
                     reasons.append("")
-            batch["__reason"] = reasons
-            yield batch
+            if rows_out:
+                batch["__reason"] = reasons
+                yield batch[batch["__kind"] == 1]
+            elif ends:
+                yield pd.DataFrame(ends, columns=[*_BLOCK, *_STATE])
+        if not rows_out and block is not None:
+            yield pd.DataFrame([(*block, [x for x, _ in window], [x for _, x in window])], columns=[*_BLOCK, *_STATE])
 
     return decide
 
 
+def _by_block(entries: DataFrame, rows: DataFrame, seq: str) -> DataFrame:
+    """Each block's entry and then its rows, in order."""
+    both = entries.select(*_BLOCK, *_STATE, F.lit(0).alias("__kind")).unionByName(
+        rows.withColumn("__kind", F.lit(1)), allowMissingColumns=True
+    )
+    filled = both.fillna({"__at": 0, "__tokens": 0, "__safe": False})
+    return filled.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "__kind", "__at", seq)
+
+
+def _ends(entries: DataFrame, rows: DataFrame, seq: str, limits: Limits) -> DataFrame:
+    narrow = rows.select(*_BLOCK, "__at", "__tokens", "__safe", seq)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in _BLOCK), *(f"`{c}` array<bigint>" for c in _STATE)])
+    return written(_by_block(entries, narrow, seq).mapInPandas(_replay(limits, False), schema), "ends")
+
+
+def _entries(rows: DataFrame, seq: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """What is in the window at the start of each block of ``rows``, and the runs for which that
+    is still open.
+
+    All blocks are replayed side by side, at first from an empty window. Where a block ends
+    otherwise than the next one was started from, the next one is replayed again from there.
+    A window forgets its past, so that after a round or two few blocks differ.
+    """
+    span = limits.window_seconds * MICROS
+    empty = [F.array().cast("array<bigint>").alias(c) for c in _STATE]
+    blocks = written(rows.groupBy(*_BLOCK).agg(F.min("__at").alias("__first")), "blocks")
+    runs = ["__client", "__run"]
+    several = blocks.groupBy(*runs).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*runs)
+    entries, none = blocks.select(*_BLOCK, *empty), blocks.select(*runs).limit(0)
+    if several.isEmpty():
+        return entries, none
+    chained = written(rows.join(several, runs, "left_semi"), "chained")
+    heads = written(blocks.join(several, runs, "left_semi"), "heads")
+    alone = entries.join(several, runs, "left_anti")
+    entries = heads.select(*_BLOCK, *empty)
+    ends = _ends(entries, chained, seq, limits)
+    for _ in range(ROUNDS):
+        # A run has no gap of a window, so its stretches follow each other.
+        passed = ends.withColumn("__stretch", F.col("__stretch") + 1)
+        pairs = F.filter(F.arrays_zip(*_STATE), lambda x: x["__ats"] > F.col("__first") - span)
+        state = [F.coalesce(F.transform(pairs, lambda x: x[c]), empty[0]).alias(c) for c in _STATE]  # noqa: B023
+        found = written(heads.join(passed, _BLOCK, "left").select(*_BLOCK, *state), "entries")
+        old = entries.select(*_BLOCK, *[F.col(c).alias(f"{c}_old") for c in _STATE])
+        same = (F.col("__ats") == F.col("__ats_old")) & (F.col("__used") == F.col("__used_old"))
+        changed = written(found.join(old, _BLOCK).where(~same).select(*_BLOCK, *_STATE), "changed")
+        entries = found
+        if changed.isEmpty():
+            return alone.unionByName(entries), none
+        again = _ends(changed, chained.join(changed.select(*_BLOCK), _BLOCK, "left_semi"), seq, limits)
+        ends = written(ends.join(again.select(*_BLOCK), _BLOCK, "left_anti").unionByName(again), "ends")
+    return alone.unionByName(entries), changed.select(*runs).distinct()
+
+
 def limit(
     df: DataFrame, client: str, ts: str, seq: str, tokens: str, limits: Limits = Limits()
 ) -> DataFrame:
@@ -120,8 +192,9 @@ def limit(
     Most rows need no history: where even all requests of the trailing window
     together stay within the limits, the outcome follows from the row alone.
     Only rows beyond that (and the rows their windows see) are replayed in
-    order, run by run; a gap of one window starts a new run. A replay streams
-    through sorted partitions with a window-sized state.
+    order, run by run; a gap of one window starts a new run. A run is cut into
+    blocks, which are replayed side by side until each starts with what the one
+    before ends with. A replay streams through sorted partitions with a window-sized state.
     """
     span = limits.window_seconds * MICROS
     t, at = F.col("__tokens"), F.col("__at")
@@ -168,10 +241,15 @@ def limit(
         .join(carried, ["__client", "__stretch"])
         .withColumn("__run", F.coalesce("__in", "__carried"))
     )
-    kept = [*df.columns, "__client", "__run", "__at", "__tokens", "__safe"]
-    ordered = (
-        runs.select(*kept).repartition("__client", "__run").sortWithinPartitions("__client", "__run", "__at", seq)
-    )
-    replayed = ordered.mapInPandas(_replay(limits), ordered.withColumn("__reason", F.lit("")).schema)
+    kept = [*df.columns, *_BLOCK, "__at", "__tokens", "__safe"]
+    rows = written(runs.select(*kept), "contested")
+    entries, open_ = _entries(rows, seq, limits)
+    by_run = ["__client", "__run"]
+    # What does not settle is replayed in order, a run being one block.
+    rest = rows.join(open_, by_run, "left_semi").withColumn("__stretch", F.lit(None).cast("long"))
+    rest_entries = rest.select(*_BLOCK).distinct().select(*_BLOCK, *[F.array().cast("array<bigint>").alias(c) for c in _STATE])
+    every = rows.join(open_, by_run, "left_anti").unionByName(rest)
+    ordered = _by_block(entries.join(open_, by_run, "left_anti").unionByName(rest_entries), every, seq)
+    replayed = ordered.mapInPandas(_replay(limits, True), ordered.withColumn("__reason", F.lit("")).schema)
     decided = settled.unionByName(replayed.select(*own, "__reason"))
     return decided.select(*own, (F.col("__reason") == "").alias("allowed"), F.col("__reason").alias("reason"))
