@@ -104,6 +104,25 @@ def test_drift(spark):
     assert [r[0] for r in levels.collect()] == ["none", "minor", "significant", "major"]
 
 
+def test_batches_of_drift_add_up(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("feature"), "value", "event_id")
+    base = drift.baseline(events.where("event_id % 2 = 0"))
+    new = events.where("event_id % 2 = 1").withColumn("value", F.col("value") * 1.7 - 9)
+    for batch in (0, 1, 2, 1):  # one batch twice
+        drift.record(base, new.where(f"event_id % 3 = {batch}"), str(tmp_path), batch)
+    rows = lambda df: {r.feature: (round(r.psi, 9), round(r.kl, 9), r.level, r.current_n, r.dropped_n) for r in df.collect()}
+    assert rows(drift.drift_so_far(base, str(tmp_path))) == rows(drift.drift(base, new))
+    # One scan of the events, the baseline from its files, and no shuffle of values.
+    plan = drift.bin_counts(drift.binned(new, base))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_history_keeps_the_last_thousand(spark):
+    days = spark.range(1500).selectExpr("concat('f', id % 3) AS feature", "CAST(id DIV 3 AS INT) AS ts", "id")
+    kept = [r.ts for r in drift.last_checks(days).collect()]
+    assert len(kept) == drift.HISTORY and min(kept) == 500 - 334 and max(kept) == 499
+
+
 def _replay(rows, limits):
     """The limiter, one request after the other."""
     state, out = {}, {}

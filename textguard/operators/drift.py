@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.operators.skew import salted_join
+from textguard.session import written
 
 # Bins, weight floor, level thresholds and history length.
 BINS = 10
@@ -17,11 +17,18 @@ HISTORY = 1000
 def baseline(df: DataFrame, feature: str = "feature", value: str = "value", bins: int = BINS) -> DataFrame:
     """One row per feature: size, mean, population deviation, the lower bounds of
     its equal-width bins and the count in each. Constant features get bins of
-    width 1/n from 0."""
+    width 1/n from 0.
+
+    The values are read twice, once for the bounds and once for the counts, and the result is a
+    written table that any number of checks start from. Bounds are a written table as well,
+    so that Spark knows its size: values meet it in a broadcast join while it is small, and
+    else in a sorted one that splits hot features.
+    """
     v = F.col(value)
-    stats = df.where(v.isNotNull()).groupBy(F.col(feature).alias("feature")).agg(
-        F.count(F.lit(1)).alias("count"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"),
+    values = df.where(v.isNotNull()).select(F.col(feature).alias("feature"), v.alias("v"))
+    stats = values.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("count"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev"),
     )
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     ruled = stats.withColumn("width", width).withColumns(
@@ -30,22 +37,19 @@ def baseline(df: DataFrame, feature: str = "feature", value: str = "value", bins
             "width": F.when(F.col("width") == 0, 1.0 / bins).otherwise(F.col("width")),
         }
     )
-    # One row per value, so that a value which a feature repeats is no hot row of the join.
-    values = df.where(v.isNotNull()).groupBy(F.col(feature).alias("feature"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = (
-        salted_join(values, ruled.select("feature", "low", "width"), "feature", "v")
-        .withColumn("bin", ((F.col("v") - F.col("low")) / F.col("width")).cast("long"))
-        .withColumn("bin", F.greatest(F.least(F.col("bin"), F.lit(bins - 1)), F.lit(0)).cast("int"))
-    )
-    counts = placed.groupBy("feature").agg(
-        *[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"b{i}") for i in range(bins)]
+    ruled = written(ruled, "bounds")
+    at = ((F.col("v") - F.col("low")) / F.col("width")).cast("long")
+    placed = values.join(ruled.select("feature", "low", "width"), "feature").withColumn(
+        "bin", F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
     )
+    counts = placed.groupBy("feature").agg(*[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(bins)])
     index = F.sequence(F.lit(0), F.lit(bins - 1))
-    return ruled.join(counts, "feature").select(
+    whole = ruled.join(counts, "feature").select(
         "feature", "count", "mean", "std_dev", "low", "width",
         F.transform(index, lambda i: F.col("low") + i * F.col("width")).alias("lowers"),
         F.array(*[F.col(f"b{i}") for i in range(bins)]).alias("counts"),
     )
+    return written(whole, "baseline")
 
 
 def histogram(base: DataFrame) -> DataFrame:
@@ -74,11 +78,9 @@ def bin_of(value: Column, lowers: Column) -> Column:
 
 def binned(current: DataFrame, base: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Current values with their baseline bin (null when dropped); features
-    without a baseline drop out."""
+    without a baseline drop out. The same for a table and for a stream."""
     rows = current.where(F.col(value).isNotNull()).withColumnRenamed(feature, "feature")
-    ruled = base.select("feature", "lowers")
-    # A stream joins the fixed baseline as it is; a table spreads hot features.
-    joined = rows.join(ruled, "feature") if current.isStreaming else salted_join(rows, ruled, "feature", *rows.columns)
+    joined = rows.join(base.select("feature", "lowers"), "feature")
     return joined.withColumn("bin", bin_of(F.col(value), F.col("lowers")))
 
 
@@ -140,6 +142,22 @@ def bin_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy("feature", *by, F.coalesce("bin", F.lit(-1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def record(base: DataFrame, rows: DataFrame, path: str, batch: int, feature: str = "feature", value: str = "value") -> None:
+    """Writes the bin counts of one batch of values beside those of the others.
+
+    Counts of batches add up, so no value is read again. A batch that is run again replaces
+    what it wrote before.
+    """
+    counts = bin_counts(binned(rows, base, feature, value))
+    counts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def drift_so_far(base: DataFrame, path: str) -> DataFrame:
+    """Drift of all recorded batches together, from their counts."""
+    parts = base.sparkSession.read.schema("feature string, bin int, n long").option("recursiveFileLookup", "true").parquet(path)
+    return check(base, parts.groupBy("feature", "bin").agg(F.sum("n").alias("n")))
+
+
 def drift(base: DataFrame, current: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Drift of current values against a baseline, one row per feature."""
     return check(base, bin_counts(binned(current, base, feature, value)))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from textguard.operators import drift, evaluate, policy, threat
 from textguard.plans import monitoring, sql, verdicts
 from textguard.plans.registry import ORACLES, query
-from textguard.session import shared_dir
 from textguard.sources.tables import stream, table, traffic_stream
 from textguard.streaming import drift as stream_drift
 from textguard.streaming import limiter, live, sinks
@@ -85,10 +84,8 @@ def running_confusion(spark, sf):
 @query("i5_daily_drift", monitoring._DAILY.replace("days AS (SELECT feature, ts,", "days AS (SELECT feature, ts::TIMESTAMP AS start,") + " SELECT * FROM days")
 def daily_drift(spark, sf):
     old, _ = monitoring._halves(spark, sf)
-    path = shared_dir(spark)
-    # The baseline is computed once and read as a table by every micro-batch.
-    drift.baseline(old).write.parquet(path)
-    base = spark.read.parquet(path)
+    # A written table, which every micro-batch reads.
+    base = drift.baseline(old)
     rows = stream(spark, sf, "events").select(F.col("event_type").alias("feature"), "value", "ts")
     new = rows.where(F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
     counts = sinks.latest(spark, stream_drift.windowed_bins(new, base, "1 day", "60 days"), stream_drift.KEYS)
