@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from textguard.functions import masking
+from textguard.sources import log
 
 SOURCE, VERSION = "textguard", "1"
 
@@ -62,10 +63,14 @@ def export_events(audit: DataFrame, source: str = SOURCE, version: str = VERSION
     return audit.select(F.to_json(stamped, {"ignoreNullFields": "true"}).alias("event"))
 
 
-def write_audit(audit: DataFrame, path: str, fmt: str = "json", rows_per_file: int = 1_000_000) -> None:
-    """Appends the entries by day; files stop growing at ``rows_per_file``."""
+def write_audit(audit: DataFrame, path: str, batch: str | int | None = None, file_bytes: int = log.BYTES) -> DataFrame:
+    """Appends the entries as one committed batch of the log at ``path``, and gives all of the log.
+
+    The same ``batch`` again replaces its entries; files stop growing at ``file_bytes``.
+    """
     dated = audit.withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("date").format(fmt).save(path)
+    log.append(dated, path, batch, file_bytes)
+    return log.read(audit.sparkSession, path, dated.schema)
 
 
 def traffic_counts(df: DataFrame, by: Sequence[str] = ("direction",)) -> DataFrame:

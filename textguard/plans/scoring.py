@@ -9,6 +9,8 @@ from textguard.operators import claims, distinct, evaluate, evasion, scan, threa
 from textguard.plans import sql
 from textguard.plans.registry import query
 from textguard.rules import phrases
+from textguard.session import shared_dir
+from textguard.sources import log
 from textguard.sources.tables import corpus, table
 
 KEYS = ["corpus", "id"]
@@ -187,7 +189,9 @@ def best_variant(spark, sf):
 )
 def shadow_log(spark, sf):
     scored = _texts(spark, sf).withColumn("s", threat.heuristic_score(F.col("text")))
-    return threat.shadow_log(scored, F.col("s"), keys=KEYS, threshold=0.3)
+    rows, path = threat.shadow_log(scored, F.col("s"), keys=KEYS, threshold=0.3), shared_dir(spark)
+    log.append(rows, path, batch=0)
+    return log.read(spark, path, rows.schema)
 
 
 # ----------------------------------------------------------------------- claims

@@ -10,6 +10,7 @@ from textguard.operators.threat import heuristic_score
 from textguard.plans import scoring, sql
 from textguard.plans.registry import query
 from textguard.session import shared_dir
+from textguard.sources import log
 from textguard.sources.tables import corpus, table, traffic
 
 KEYS = ["corpus", "id"]
@@ -380,7 +381,10 @@ def traffic_counts(spark, sf):
     f"nullif(ml_score, 0) AS ml_score FROM ({_AUDIT})",
 )
 def export_events(spark, sf):
-    events = audit.export_events(audit.audit_rows(_decided(spark, sf), TALK))
+    path = shared_dir(spark)
+    stamped = audit.export_events(audit.audit_rows(_decided(spark, sf), TALK))
+    log.append(stamped, path, batch=0)
+    events = log.read(spark, path, stamped.schema)
     shape = (
         "source string, version string, conv_id bigint, turn bigint, timestamp timestamp, direction string, host string, path string, "
         "total_detections int, blocked boolean, " + ", ".join(f"{c} array<string>" for c in _LISTS) + ", ml_score double"
@@ -392,10 +396,7 @@ def export_events(spark, sf):
 
 @query("a3_audit_sink", f"SELECT *, timestamp::DATE AS date FROM ({_AUDIT})")
 def audit_sink(spark, sf):
-    path = shared_dir(spark)
-    written = audit.audit_rows(_decided(spark, sf), TALK)
-    audit.write_audit(written, path)
-    back = spark.read.schema(written.schema.add("date", "date")).json(path)
+    back = audit.write_audit(audit.audit_rows(_decided(spark, sf), TALK), shared_dir(spark), batch=0)
     flat = back.withColumns({c: _joined(F.col(c)) for c in _LISTS})
     return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
