@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from textguard.operators import cache
 from textguard.sources import log
 
 
@@ -57,3 +58,27 @@ def test_a_replayed_micro_batch_is_there_once(spark, tmp_path):
     log.append_stream(rows, path, checkpoint).awaitTermination()
     assert _rows(spark, path, schema) == [(i,) for i in range(300)]
     assert len(os.listdir(tmp_path / "out" / "data")) == 4
+
+
+def _lengths(texts):
+    """A job with a row for each word."""
+    return texts.select("text_id", F.explode(F.split("text", " ")).alias("word")).where("word != ''")
+
+
+def test_results_are_kept_over_runs(spark, tmp_path):
+    path = str(tmp_path / "known")
+    rows = [(i, t) for i, t in enumerate(["a b", "c", "a b", "", None, "a b"])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    run = lambda df, version, batch: {
+        r.id: (r.repeated, [x.word for x in r.results]) for r in cache.with_results(df, "id", _lengths, path, version, batch).collect()
+    }
+    scanned = lambda: {r.batch: r.n for r in log.batches(spark, path).groupBy("batch").agg(F.sum("rows").alias("n")).collect()}
+    want = {0: (False, ["a", "b"]), 1: (False, ["c"]), 2: (True, ["a", "b"]), 3: (False, []), 4: (True, []), 5: (True, ["a", "b"])}
+    assert run(df, "1", 0) == want and scanned() == {"0": 3}
+    # The same batch again knows nothing of itself.
+    assert run(df, "1", 0) == want and scanned() == {"0": 3}
+    # A second run scans nothing, a new text is scanned alone, another version starts anew.
+    assert all(r[0] for r in run(df, "1", 1).values()) and scanned() == {"0": 3}
+    more = df.union(spark.createDataFrame([(9, "new")], df.schema))
+    assert run(more, "1", 2)[9] == (False, ["new"]) and scanned() == {"0": 3, "2": 1}
+    assert run(df, "2", 3) == want and scanned() == {"0": 3, "2": 1, "3": 3}

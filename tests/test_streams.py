@@ -91,3 +91,17 @@ def test_repeats_are_found_across_batches(spark, parts):
     folder = sinks.drain(spark, twice)
     assert _batches(folder) >= PARTS
     assert spark.read.option("recursiveFileLookup", "true").schema(twice.schema).parquet(folder).count() == turns
+
+
+def test_repeats_carry_the_first_result_across_batches(spark, parts):
+    from textguard.operators import scan
+
+    talk = stream(spark, parts, "conversations", files=1).withColumn("delivery", F.struct("conv_id", "turn"))
+    talk = talk.withColumn("text", F.concat(F.lit("mail joe@example.com turn "), F.col("turn")))
+    handle = lambda path: live.with_earlier_results(path, "delivery", lambda t: scan.findings(t, ["text_id"]), "1")
+    folder = sinks.drain(spark, talk, handle=handle)
+    rows = spark.read.parquet(f"{folder}/results").select("delivery.*", "repeated", F.size("results").alias("n")).collect()
+    turns = {r.turn for r in rows}
+    assert len(rows) == table(spark, parts, "conversations").count()
+    assert sum(not r.repeated for r in rows) == len(turns)
+    assert len({(r.turn, r.n) for r in rows}) == len(turns) and min(r.n for r in rows) > 0

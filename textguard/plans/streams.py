@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textguard.operators import drift, evaluate, policy, threat
+from textguard.operators import drift, evaluate, policy, scan, threat
 from textguard.plans import monitoring, sql, verdicts
 from textguard.plans.registry import ORACLES, query
 from textguard.sources.tables import stream, table, traffic_stream
@@ -129,3 +129,17 @@ def first_deliveries(spark, sf):
     return sinks.appended(spark, live.first_deliveries(traffic_stream(spark, sf), "365 days")).select("input_hash")
 
 
+@query(
+    "i7_earlier_results",
+    sql.with_traffic(
+        "SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) > 1 AS repeated, coalesce(n, 0) AS n_findings "
+        "FROM traffic LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM hits GROUP BY ALL) USING (conv_id, turn)",
+        hits=sql.rule_hits(source="traffic", keys="conv_id, turn, direction"),
+    ),
+)
+def earlier_results(spark, sf):
+    # One micro-batch, so that SQL knows which delivery is the first.
+    talk = stream(spark, sf, "conversations", files=1_000_000).withColumn("delivery", F.struct("conv_id", "turn"))
+    handle = lambda path: live.with_earlier_results(path, "delivery", lambda texts: scan.findings(texts, ["text_id"]), "1")
+    rows = spark.read.parquet(f"{sinks.drain(spark, talk, handle=handle)}/results")
+    return rows.select("delivery.*", "repeated", F.size("results").cast("long").alias("n_findings"))

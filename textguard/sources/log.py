@@ -21,7 +21,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -135,8 +137,25 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, file_bytes: int = B
     return df.writeStream.format(NAME).options(**options).outputMode("append").trigger(availableNow=True).start()
 
 
-def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of all committed batches. The driver sees the files' names, as with any folder of files."""
-    listed = spark.read.schema("batch string, file string, rows long").json(f"{path.rstrip('/')}/manifest")
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """``(batch, file, rows)`` of what is committed. A log that nobody wrote yet has none."""
+    # A pattern may fit nothing, and batches without a file leave a manifest without a line.
+    root = path.rstrip("/").rsplit("/", 1)
+    found = f"{root[0]}/{{{root[1]}}}/manifest/*.json"
+    schema = "batch string, file string, rows long"
+    try:
+        return spark.read.schema(schema).json(found)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read(spark: SparkSession, path: str, schema: StructType, skip: str | int | None = None) -> DataFrame:
+    """The rows of all committed batches but ``skip``. The driver sees the files' names, as with
+    any folder of files."""
+    listed = batches(spark, path)
+    if skip is not None:
+        listed = listed.where(F.col("batch") != str(skip))
     names = [f"{path.rstrip('/')}/{r['file']}" for r in listed.select("file").collect()]
     return spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import fingerprint
-from textguard.operators import audit, evaluate, guard, policy, scan
+from textguard.operators import audit, cache, evaluate, guard, policy, scan
 
 
 def live_findings(traffic: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,6 +54,21 @@ def running_confusion(predictions: DataFrame) -> DataFrame:
     return evaluate.confusion_counts(predictions, ["model_version"])
 
 
+def with_earlier_results(path: str, key: str, job: Callable[[DataFrame], DataFrame], version: str) -> Callable[[DataFrame, int], None]:
+    """Handles each micro-batch: every delivery with the results of its text, which a repeat
+    has from the first one, whatever the batch. Written to ``path/results``, kept in ``path/known``."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            found = cache.with_results(rows, key, job, f"{path}/known", version, batch)
+            found.write.mode("overwrite").parquet(f"{path}/results/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    return write
+
+
 def first_deliveries(traffic: DataFrame, delay: str = "24 hours") -> DataFrame:
     """Traffic without repeats of the same text within the delay.
 
