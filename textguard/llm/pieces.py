@@ -37,8 +37,10 @@ from pyspark.sql import types as T
 from textguard.llm.store import in_arrow
 
 SPACE = "▁"
-#: Entries of each table of kept results in a worker; a full table starts anew.
-KEPT = 250_000
+#: Entries of each table of kept results in a worker; a full table starts anew. Longer
+#: strings than ``LONG`` are not kept, so a table takes some 20 MB at most.
+KEPT = 100_000
+LONG = 64
 
 
 class Kept(dict):
@@ -49,6 +51,8 @@ class Kept(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
+        if type(key) is str and len(key) > LONG:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
