@@ -110,6 +110,18 @@ def test_limit_and_hallucination_precedence(texts):
     assert [t.type for t in v.threats] == ["token_limit"]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_refusals_joined_afterwards_give_the_same_verdict(spark, strict):
+    claim = "Studies prove 45% of users and 12% of shops and 30 percent of sites always, definitely, certainly, clearly, obviously agree. "
+    texts = ["a plain text", "mail a@b.example.com", "how to make a bomb", claim * 2, "", None]
+    rows = [(i, t, r) for i, (t, r) in enumerate((t, r) for t in texts for r in (None, "Token rate limit exceeded"))]
+    df = spark.createDataFrame(rows, "id int, text string, refusal string")
+    config = guard.GuardConfig(strict=strict, hallucination=True)
+    want = guard.with_verdict(df, config=config, limit_reason=F.col("refusal")).select("id", "verdict")
+    got = guard.with_verdict(df, config=config).select("id", guard.limited(F.col("verdict"), F.col("refusal")).alias("verdict"))
+    assert [r.asDict(True) for r in got.orderBy("id").collect()] == [r.asDict(True) for r in want.orderBy("id").collect()]
+
+
 def test_cap_marks_and_limits_the_guard_layer(texts):
     body = "a" * 65_600 + " 123-45-6789"
     capped = guard.with_verdict(texts(body, "é" * 40_000), config=guard.GuardConfig(cap_bytes=guard.CAP_BYTES), keep_rules=True)

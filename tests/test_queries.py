@@ -17,6 +17,7 @@ QUICK = [
     "b1_match_offsets", "b9_validated_pii", "d9_pack_counts", "c6_scan_each_text_once", "b24_verdict", "b26_policy_decision",
     "h6_redacted_texts", "d11_drift", "d16_auroc_events", "e1_trailing_usage", "e2_limiter_audit", "e2_saturated_limiter",
     "i1_live_findings", "i2_stream_limiter", "i3_minute_counts", "i5_daily_drift", "i6_blocked_traffic", "i7_first_deliveries",
+    "d0_findings_rollups", "e3_cumulative_counts", "i4_late_labels", "j4_batch_scorer", "b24_full_precedence",
 ]
 
 
@@ -42,7 +43,7 @@ PROBED = [
     "b2_secret_rules", "b2_secret_findings", "b9_validated_pii", "c7_framework_exposure", "d2_severity_summary",
     "d3_secrets_by_provider", "g1_all_packs", "b15_toxicity", "b16_evasion_scores", "b18_set_scores", "b24_verdict",
     "d4_compliance_reports", "h6_redacted_texts", "h7_value_redaction", "h8_pii_only", "h8_secrets_only",
-    "h9_masked_secrets", "j1_custom_patterns", "j7_replacement_rules",
+    "h9_masked_secrets", "j1_custom_patterns", "j7_replacement_rules", "d0_findings_rollups", "b24_full_precedence",
 ]
 
 

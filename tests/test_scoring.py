@@ -1,5 +1,6 @@
 """Evasion, threat, claims, evaluation, drift, usage and variants."""
 
+import os
 import random
 from collections import deque
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as tx
 from textguard.operators import claims, distinct, drift, evaluate, evasion, skew, threat, usage, variants
+from textguard.operators.running import running_totals
 from textguard.rules import phrases
 
 
@@ -88,6 +90,57 @@ def test_auroc_by_pairs(spark, share):
     assert abs(got - want) < 1e-9
 
 
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_running_totals_over_ranges(spark, partitions):
+    rng = random.Random(3)
+    scores = [None, *rng.sample(range(1000), 300)]
+    rows = [(s, rng.randrange(5) or None, rng.randrange(9) / 4) for s in scores]
+    df = spark.createDataFrame(rows, "score int, n int, w double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.score: (r.cum_n, r.cum_w) for r in running_totals(df, "score", ["n", "w"]).collect()}
+        empty = running_totals(df.limit(0), "score", ["n"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, n, w = {}, 0, 0.0
+    for s, a, b in sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True):
+        n, w = n + (a or 0), w + b
+        want[s] = (n, w)
+    assert got == want and empty == []
+
+
+def test_auroc_scans_once_and_holds_large_counts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("value").alias("score"), (F.col("event_type") == "view").alias("actual"))
+    plan = evaluate.auroc(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange rangepartitioning") == 1
+    # Areas past 64 bits: 3e10 positives above 3e10 negatives, in two scores.
+    many = spark.createDataFrame([(1.0, 30_000_000_000, 0), (0.5, 0, 30_000_000_000)], "score double, pos long, neg long")
+    assert evaluate.area(many).first().auroc == 1.0
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        import numpy as np
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: np.array([len(t or "") for t in texts], "float64")
+
+    texts = spark.range(4000, numPartitions=4).select(F.when(F.col("id") != 5, F.repeat(F.lit("a"), (F.col("id") % 50).cast("int"))).alias("text"), "id")
+    scorer = threat.batch_scorer(load, 100)
+    for _ in range(2):
+        bad = texts.select("id", scorer(F.col("text")).alias("s")).where("s <> if(id = 5, 0, id % 50)").count()
+        assert bad == 0
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    # Forty batches of each job, on at most a load per worker and job.
+    assert max(loads.count(p) for p in loads) <= 2
+
+
 def test_drift(spark):
     make = lambda f, vs: spark.createDataFrame([(f, float(v)) for v in vs], "feature string, value double")
     base = drift.baseline(make("a", range(100)).union(make("flat", [5] * 10)).union(make("gone", [1, 2, 3])))

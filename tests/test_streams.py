@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textguard.operators import usage
+from textguard.plans import streams
 from textguard.sources.tables import as_traffic, stream, table
 from textguard.streaming import limiter, live, sinks
 
@@ -105,3 +106,38 @@ def test_repeats_carry_the_first_result_across_batches(spark, parts):
     assert len(rows) == table(spark, parts, "conversations").count()
     assert sum(not r.repeated for r in rows) == len(turns)
     assert len({(r.turn, r.n) for r in rows}) == len(turns) and min(r.n for r in rows) > 0
+
+
+def test_labels_that_come_later(spark, tmp_path):
+    """Three micro-batches in no order, labels before or after their predictions in the stream."""
+    hours = lambda h: F.timestamp_seconds(F.lit(1_704_067_200) + F.lit(3600) * h)
+    ids = spark.range(90).withColumnRenamed("id", "doc_id")
+    sent = ids.select("doc_id", hours(F.col("doc_id")).alias("ts"), (F.col("doc_id") % 3 == 0).alias("is_threat"), F.lit("m").alias("model_version"))
+    # Every fifth has no label, one comes too early, and those with a lag past 72 hours are too late.
+    lag = F.when(F.col("doc_id") == 7, -1).otherwise(F.col("doc_id") % 80)
+    truth = ids.where("doc_id % 5 <> 0").select("doc_id", hours(F.col("doc_id") + lag).alias("ts"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for name, rows, turn in (("sent", sent, 0), ("truth", truth, 1)):
+        for i in range(3):
+            path = tmp_path / f"{name}.parquet" / f"part-{i}.parquet"
+            os.makedirs(path.parent, exist_ok=True)
+            rows.where(F.abs(F.hash("doc_id")) % 3 == (i + turn) % 3).toPandas().to_parquet(path, coerce_timestamps="us")
+            os.utime(path, (1_700_000_000 + i * 10,) * 2)
+    read = lambda name, like: stream(spark, str(tmp_path), name, files=1).select(
+        *[F.col(c).cast(t).alias(c) for c, t in like.dtypes]
+    )
+    counts = streams.late_label_counts(spark, read("sent", sent), read("truth", truth)).first()
+    want = {"tp": 0, "tn": 0, "fp": 0, "fn": 0, "unlabelled": 0}
+    for i in range(90):
+        threat, toxic = i % 3 == 0, i % 2 == 1
+        known = i % 5 != 0 and i != 7 and i % 80 <= 72
+        want["unlabelled" if not known else ("t" if threat == toxic else "f") + ("p" if threat else "n")] += 1
+    assert {k: counts[k] for k in want} == want and want["unlabelled"] > 18
+
+
+def test_repeated_batch_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([("m", True, True), ("m", False, None)], "model_version string, is_threat boolean, actual boolean")
+    write = live.batch_counts(str(tmp_path), ["model_version"])
+    for batch in (0, 1, 0):
+        write(rows, batch)
+    total = live.total_counts(spark.read.parquet(str(tmp_path)), ["model_version"]).first()
+    assert (total.tp, total.unlabelled) == (2, 2)

@@ -27,6 +27,8 @@ from textguard.rules.model import Rule
 ALL_GATES = {**GATES, **validated.GATES, **phrases.TOXICITY_GATES}
 # Fixed value: bytes the reference-compatible cap lets the guard layer see.
 CAP_BYTES = 64 * 1024
+# How block reasons begin.
+CLAIMS_REASON, TOXIC_REASON = "Hallucination detected: ", "Toxic content detected: "
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,14 @@ def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", custo
     return found.withColumn(into, _secret_structs(F.col(into), 0, len(custom)))
 
 
+def with_personal_and_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``pii`` and ``secrets`` from one scan of each text."""
+    known = _pii_rules(())
+    found = with_matches(df, [*known, *secrets.RULES], text, "__both", ALL_GATES)
+    both = F.col("__both")
+    return found.withColumns({"pii": _pii_structs(both, 0, 0), "secrets": _secret_structs(both, len(known), 0)}).drop("__both")
+
+
 def context_view(pii: Column) -> Column:
     """The same findings with each value replaced by its redacted form."""
     return F.transform(pii, lambda m: m.withField("value", m["redacted"]))
@@ -379,8 +389,8 @@ def with_verdict(
     strict = F.lit(config.strict)
     # The later check overwrites the reason; the strict message only fills a gap.
     reason = (
-        F.when(flagged & strict, F.concat(F.lit("Hallucination detected: "), claim_text))
-        .when(F.col("__toxicity.filtered"), F.concat(F.lit("Toxic content detected: "), F.col("__toxicity.explanation")))
+        F.when(flagged & strict, F.concat(F.lit(CLAIMS_REASON), claim_text))
+        .when(F.col("__toxicity.filtered"), F.concat(F.lit(TOXIC_REASON), F.col("__toxicity.explanation")))
         .when(F.col("__limit").isNotNull(), F.col("__limit"))
         .when(strict & any_threat, F.lit("Strict mode: threats detected in response"))
         .otherwise(F.lit(""))
@@ -413,6 +423,33 @@ def with_verdict(
     return fenced(judged.select(*columns, *[v.alias(k) for k, v in kept.items()]), *kept)
 
 
+def limited(verdict: Column, reason: Column) -> Column:
+    """The verdict with the limiter's refusal of its row, as ``with_verdict`` gives it with ``limit_reason``.
+
+    For refusals that are joined to verdicts afterwards, by key alone, so that texts are not shuffled.
+    A null ``reason`` leaves the verdict as it is.
+    """
+    zero, blank = F.lit(0), F.lit("")
+    refusal = _threat(F.lit("token_limit"), F.lit(4), reason, F.lit("response_size"), blank, zero, zero)
+    later = lambda t: t["type"].isin("toxicity", "hallucination")
+    threats = F.concat(
+        F.filter(verdict["threats"], lambda t: ~later(t)), F.array(refusal), F.filter(verdict["threats"], later)
+    )
+    old = verdict["block_reason"]
+    # Claims and toxicity are checked after the limit and overwrite its reason.
+    kept = old.startswith(CLAIMS_REASON) | old.startswith(TOXIC_REASON)
+    changed = {
+        "allowed": F.lit(False),
+        "block_reason": F.when(kept, old).otherwise(reason),
+        "threats": threats,
+        "reports": reports_of(verdict["pii"], verdict["secrets"], F.lit(False)),
+    }
+    with_reason = verdict
+    for name, value in changed.items():
+        with_reason = with_reason.withField(name, value)
+    return F.when(reason.isNull(), verdict).otherwise(with_reason)
+
+
 def with_summary(
     df: DataFrame,
     text: str = "text",

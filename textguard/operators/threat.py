@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textguard.functions.text import fingerprint, normalized, quoted
 from textguard.operators.fence import fenced
@@ -153,6 +155,12 @@ def shadow_log(
     )
 
 
+def batch_scorer(load: Callable[[], Callable], batch_size: int = 1_000) -> Callable[[Column], Column]:
+    """Adapter for a model that is loaded once per Python worker: ``load`` returns a function
+    from an array of at most ``batch_size`` texts to an array of their scores. A null text is None."""
+    return predict_batch_udf(load, return_type=DoubleType(), batch_size=batch_size)
+
+
 def pandas_scorer(function: Callable) -> Callable[[Column], Column]:
     """Adapter for a user's own model: a function of one pandas Series."""
     return F.pandas_udf(function, "double")

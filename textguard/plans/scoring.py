@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.functions import text as tx
-from textguard.operators import claims, distinct, evaluate, evasion, scan, threat, variants
+from textguard.operators import claims, distinct, evaluate, evasion, findings, scan, threat, variants
 from textguard.plans import sql
 from textguard.plans.registry import query
-from textguard.rules import phrases
-from textguard.session import shared_dir
+from textguard.rules import phrases, validated
+from textguard.session import shared_dir, written
 from textguard.sources import log
 from textguard.sources.tables import corpus, table
 
@@ -380,6 +380,52 @@ def model_scorer(spark, sf):
     return result.withColumns({c: F.round(c, 6) for c in ("threshold", "max_benign_score", "fpr")})
 
 
+@query(
+    "j4_batch_scorer",
+    "SELECT doc_id, round(len(regexp_extract_all(text, '[aeiou]')) / greatest(length(text), 1), 6)::DOUBLE AS score FROM documents",
+)
+def batch_scorer(spark, sf):
+    """Scores of a model that each worker loads once and hands bounded batches of texts."""
+
+    def load():
+        import re
+
+        import numpy as np
+
+        vowel = re.compile("[aeiou]")
+
+        def predict(texts):
+            return np.array([len(vowel.findall(t or "")) / max(len(t or ""), 1) for t in texts], "float64")
+
+        return predict
+
+    scorer = threat.batch_scorer(load, 256)
+    return _docs(spark, sf).select("doc_id", F.round(scorer(F.col("text")), 6).alias("score"))
+
+
+# ------------------------------------------------------------- one findings table
+_FRAMEWORK_ROWS = ", ".join(f"({sql.lit(c)}, {sql.lit(f)})" for c, (_, fs, _) in validated.METADATA.items() for f in fs)
+
+
+@query(
+    "d0_findings_rollups",
+    sql.with_corpus(
+        f"""SELECT rollup, corpus, name, count(*) AS n, count(DISTINCT whole || '/' || id) AS texts FROM (
+        SELECT 'category' AS rollup, NULL::VARCHAR AS corpus, category AS name, corpus AS whole, id FROM pii
+        UNION ALL SELECT 'severity', corpus, CASE WHEN severity >= 5 THEN 'critical' WHEN severity >= 4 THEN 'high' WHEN severity >= 3 THEN 'medium' ELSE 'low' END, corpus, id FROM pii
+        UNION ALL SELECT 'framework', corpus, framework, corpus, id FROM pii JOIN (VALUES {_FRAMEWORK_ROWS}) AS t(category, framework) USING (category)
+        UNION ALL SELECT 'provider', NULL, provider || '/' || category || '/' || severity, corpus, id FROM secret
+        UNION ALL SELECT 'technique', NULL, t.category || '/' || unnest([t.name, '*']), corpus, id FROM (SELECT corpus, id, unnest(m) AS t FROM evaded))
+        GROUP BY ALL""",
+        pii=sql.pii(),
+        secret=sql.secret(),
+        evaded=f"SELECT corpus, id, {_evasion_sql()} AS m FROM corpus",
+    ),
+)
+def findings_rollups(spark, sf):
+    return findings.rollups(written(findings.table_of(_texts(spark, sf), KEYS), "findings"))
+
+
 # -------------------------------------------------------------------- robustness
 def _roll_sql(seed: str, place: str, salt: int = 0) -> str:
     return f"(({seed} + {place} * 7919 + {salt * 104729})::BIGINT * 1223106847 % 2147483629 * 1664525957 % 2147483647)"

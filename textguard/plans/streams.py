@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.operators import drift, evaluate, policy, scan, threat
-from textguard.plans import monitoring, sql, verdicts
+from textguard.plans import monitoring, scoring, sql, verdicts
 from textguard.plans.registry import ORACLES, query
 from textguard.sources.tables import stream, table, traffic_stream
 from textguard.streaming import drift as stream_drift
@@ -81,6 +81,42 @@ def running_confusion(spark, sf):
     return evaluate.with_rates(counts).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+# A label comes this many hours after its prediction; those past the limit count as none.
+_LAG = "(doc_id * 37) % 100"
+
+
+@query(
+    "i4_late_labels",
+    f"""SELECT 'heuristic' AS model_version, count(*) FILTER (is_threat AND actual) AS tp, count(*) FILTER (NOT is_threat AND NOT actual) AS tn,
+      count(*) FILTER (is_threat AND NOT actual) AS fp, count(*) FILTER (NOT is_threat AND actual) AS fn, count(*) FILTER (actual IS NULL) AS unlabelled
+    FROM (SELECT score >= 0.3 AS is_threat, CASE WHEN {_LAG} <= 72 THEN toxic = 1 END AS actual FROM ({scoring._DOC_SCORES}) LEFT JOIN labels USING (doc_id))""",
+)
+def late_labels(spark, sf):
+    sent = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
+    docs = threat.with_set_score(stream(spark, sf, "documents").select("doc_id", "text"))
+    predictions = docs.select(
+        "doc_id", sent.alias("ts"), (F.col("set_score.score") >= 0.3).alias("is_threat"), F.lit("heuristic").alias("model_version")
+    )
+    lag = F.make_interval(hours=F.expr(f"CAST({_LAG} AS INT)"))
+    labels = stream(spark, sf, "labels").select("doc_id", (sent + lag).alias("ts"), "toxic")
+    return late_label_counts(spark, predictions, labels)
+
+
+def late_label_counts(spark, predictions, labels, delay="3650 days"):
+    """Counts of a replay that is run to its end, in whatever order its rows come within ``delay``."""
+    # Rows that move both watermarks far on; they find no partner and wait for ever. They hold no
+    # null: an empty micro-batch takes a column for non-null where the stream's own rows say so.
+    close = lambda rows, day: spark.range(1).select(
+        *[{"doc_id": F.lit(-1), "ts": F.lit(day).cast("timestamp")}.get(c, F.lit("0")).cast(t).alias(c) for c, t in rows.dtypes]
+    )
+    path = sinks.drain_closed(
+        spark, lambda p, t: live.with_late_labels(p, t, "doc_id", delay=delay),
+        (predictions, close(predictions, "2100-01-01")), (labels, close(labels, "2100-02-01")),
+        handle=lambda folder: live.batch_counts(folder, ["model_version"]),
+    )
+    return live.total_counts(spark.read.parquet(path), ["model_version"])
+
+
 @query("i5_daily_drift", monitoring._DAILY.replace("days AS (SELECT feature, ts,", "days AS (SELECT feature, ts::TIMESTAMP AS start,") + " SELECT * FROM days")
 def daily_drift(spark, sf):
     old, _ = monitoring._halves(spark, sf)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.functions import severity
-from textguard.operators import audit, guard, hosts, policy, redact, scan
+from textguard.functions.text import token_estimate
+from textguard.operators import audit, guard, hosts, policy, redact, scan, usage
+from textguard.operators.claims import EXPLANATION
 from textguard.operators.threat import heuristic_score
-from textguard.plans import scoring, sql
+from textguard.plans import monitoring, scoring, sql
 from textguard.plans.registry import query
 from textguard.session import shared_dir
 from textguard.sources import log
@@ -99,6 +101,49 @@ def strict_verdicts(spark, sf):
     )
 
 
+_LIMITS = usage.Limits(max_tokens=3000, tokens_per_window=2000, requests_per_window=4, window_seconds=3600)
+_ALL_CHECKS = {
+    "docs": _DOCS,
+    "events": f"SELECT doc_id AS event_id, doc_id // 5 AS user_id, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60) AS ts, {sql.TOKENS} AS value FROM docs",
+    "refused": f"SELECT event_id AS doc_id, reason FROM ({monitoring._limiter_sql(_LIMITS)}) WHERE NOT allowed",
+    "claimed": f"SELECT doc_id FROM ({scoring._BASE.replace('corpus, id, text', 'doc_id').replace('FROM corpus', 'FROM docs')}) WHERE phrases > 3 AND total_claims > 2",
+    "threats": sql.threats("docs", "doc_id")
+    + " UNION ALL SELECT doc_id, 5, 0, 0, 'token_limit', 4, reason, '', '', 0, 0 FROM refused"
+    + f" UNION ALL SELECT doc_id, 7, 0, 0, 'hallucination', 3, {sql.lit(EXPLANATION)}, '', '', 0, 0 FROM claimed",
+    "verdict": sql.verdict("docs", "doc_id"),
+}
+
+
+@query(
+    "b24_full_precedence",
+    sql.with_corpus(
+        f"""SELECT doc_id, threat_count = 0 AS allowed, CASE WHEN c.doc_id IS NOT NULL THEN 'Hallucination detected: ' || {sql.lit(EXPLANATION)}
+          WHEN block_reason <> '' THEN block_reason WHEN reason IS NOT NULL THEN reason
+          WHEN threat_count > 0 THEN 'Strict mode: threats detected in response' ELSE '' END AS block_reason,
+          threat_count, array_to_string(types, ',') AS types, len(secrets) = 0 AND len(pii) = 0 AND threat_count = 0 AS clean_report
+        FROM verdict LEFT JOIN refused USING (doc_id) LEFT JOIN claimed c USING (doc_id)""",
+        **_ALL_CHECKS,
+    ),
+)
+def full_precedence(spark, sf):
+    """Strict verdicts with every check on: limiter, toxicity and claims, whose reasons overwrite each other in order."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    sent = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 60)
+    requests = docs.select(
+        "doc_id", F.expr("doc_id DIV 5").alias("client"), sent.alias("ts"), token_estimate(F.col("text")).alias("tokens")
+    )
+    decided = usage.limit(requests, "client", "ts", "doc_id", "tokens", _LIMITS)
+    refused = decided.where(~F.col("allowed")).select("doc_id", F.col("reason").alias("refusal"))
+    judged = guard.with_verdict(docs, config=guard.GuardConfig(strict=True, hallucination=True)).select("doc_id", "verdict")
+    all_ = judged.join(refused, "doc_id", "left").withColumn("verdict", guard.limited(F.col("verdict"), F.col("refusal")))
+    v = F.col("verdict")
+    return all_.select(
+        "doc_id", v["allowed"].alias("allowed"), v["block_reason"].alias("block_reason"), F.size(v["threats"]).alias("threat_count"),
+        _joined(v["threats"]["type"]).alias("types"),
+        F.coalesce(F.element_at(v["reports"], "SOC2")["compliant"], F.lit(False)).alias("clean_report"),
+    )
+
+
 @query(
     "b14_severity_mapping",
     sql.with_corpus(

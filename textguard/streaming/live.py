@@ -54,6 +54,37 @@ def running_confusion(predictions: DataFrame) -> DataFrame:
     return evaluate.confusion_counts(predictions, ["model_version"])
 
 
+def with_late_labels(
+    predictions: DataFrame, labels: DataFrame, key: str, within: str = "72 hours", delay: str = "1 hour",
+    ts: str = "ts", label: str = "toxic",
+) -> DataFrame:
+    """Predictions with the label that comes for them ``within`` a time, as ``actual``.
+
+    A join of two streams: a prediction waits in the state until its label comes or both
+    watermarks have passed its time, and is put out without one then. A label that comes
+    before the prediction or too late is none. Several labels in time give a row each.
+    """
+    truth = labels.select(F.col(key).alias("__key"), F.col(ts).alias("__at"), (F.col(label) == 1).alias("actual"))
+    early, late = F.col(ts), F.col(ts) + F.expr(f"INTERVAL {within}")
+    inside = (F.col(key) == F.col("__key")) & (F.col("__at") >= early) & (F.col("__at") <= late)
+    waiting, coming = predictions.withWatermark(ts, delay), truth.withWatermark("__at", delay)
+    return waiting.join(coming, inside, "left_outer").drop("__key", "__at")
+
+
+def batch_counts(path: str, by: list[str]) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch's partial confusion counts under its id; a batch run again replaces its own."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        evaluate.label_counts(rows, by).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def total_counts(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion counts over all micro-batches, from their partial counts."""
+    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn", "unlabelled")])
+
+
 def with_earlier_results(path: str, key: str, job: Callable[[DataFrame], DataFrame], version: str) -> Callable[[DataFrame, int], None]:
     """Handles each micro-batch: every delivery with the results of its text, which a repeat
     has from the first one, whatever the batch. Written to ``path/results``, kept in ``path/known``."""

@@ -43,6 +43,28 @@ def drain(
     return f"{base}/data"
 
 
+def drain_closed(
+    spark: SparkSession, make: Callable[..., DataFrame], *streams: tuple[DataFrame, DataFrame],
+    handle: Callable[[str], Callable[[DataFrame, int], None]] | None = None,
+) -> str:
+    """Runs ``make(*streams)`` over all there is, then once more from its checkpoint with the
+    closing rows that come with each stream and move its watermark on. Returns the folder."""
+    base = shared_dir(spark)
+    whole = []
+    for i, (rows, closing) in enumerate(streams):
+        path = f"{base}/closing-{i}"
+        spark.createDataFrame([], rows.schema).write.parquet(path)
+        whole.append(rows.unionByName(spark.readStream.schema(rows.schema).parquet(path)))
+    made = make(*whole)
+    for last in (False, True):
+        if last:
+            for i, (_, closing) in enumerate(streams):
+                closing.write.mode("append").parquet(f"{base}/closing-{i}")
+        done = handle(f"{base}/data") if handle else None
+        start(made, f"{base}/data", f"{base}/checkpoint", handle=done).awaitTermination()
+    return f"{base}/data"
+
+
 def appended(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """All rows a drained stream put out."""
     rows = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(drain(spark, df, mode))
