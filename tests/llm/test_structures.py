@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textguard.llm import conversations, numbering, queries, resample, shards
+from textguard.llm import conversations, lines, numbering, queries, resample, shards
 
 # Conversations ----------------------------------------------------------------
 
@@ -295,3 +295,31 @@ def test_numbering(spark):
 def test_native_plans_run_no_python(spark, sf, name):
     plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("share", [0.001, 0.9])
+def test_line_dedup_of_very_common_lines(spark, monkeypatch, share):
+    """A line that most documents hold, in stripes or not, and one document that repeats it a thousand times."""
+    monkeypatch.setattr(lines, "SHARE", share)
+    rng = random.Random(5)
+    common, long_ = "The line that all hold", "one more line " * 400
+    texts = ["\n".join([f"own line number {rng.randrange(300)}", common, "short", long_][: rng.randrange(1, 5)]) for _ in range(200)]
+    texts[40] = "\n".join([common.upper()] * 1000 + ["own line number 1"])
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dropped"], r["kept"]) for r in lines.dedup_lines(df).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            k = x.strip().lower()
+            first[k] = min(first.get(k, 10**9), 1000 - i)
+    for i, t in enumerate(texts):
+        kept = [x for x in t.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == 1000 - i]
+        assert got[1000 - i] == (len(t.split("\n")) - len(kept), "\n".join(kept))
+
+
+def test_line_dedup_streams_over_its_sort(spark, sf):
+    bits = lines.keep_bitmaps(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = bits._jdf.queryExecution().executedPlan().toString().split("\n")
+    window = next(i for i, step in enumerate(plan) if "Window [" in step)
+    assert "Sort [" in plan[window + 1] and "Exchange rangepartitioning" in plan[window + 2]
+    assert sum("Sort [" in step for step in plan) == 1

@@ -1,12 +1,13 @@
 """Line dedup: a line that several documents hold stays in the first of them only.
 
 Lines become 128-bit hashes of their keys. The narrow rows (hash, document,
-position) are range-partitioned with document and position as further sort keys,
-so that even the hash of a line which every document holds is spread over many
-ranges. Each sorted range streams to one row per hash, the first document; those
-rows meet in a small second sum. Lines found later are gathered as bits, and a
-document's result is a list of the 64-bit words of its keep bitmap that are not all
-ones. Texts are neither sorted nor grouped.
+position) are range-partitioned by hash and sorted by document and position within
+it. A window streams over each sorted range, with no further shuffle or sort, and
+gives every row the first document of its hash. Hashes with many of all rows, of
+which there are at most ``1 / SHARE``, are cut into stripes, each a run of its own;
+their first documents come from one row per hash. Lines found later are gathered as
+bits, and a document's result is a list of the 64-bit words of its keep bitmap that
+are not all ones. Texts are neither sorted nor grouped.
 
 Defined cases: a null or empty text is one empty line. A null ``doc_id`` is one
 document that comes after all others. Rows that repeat a ``doc_id`` are parts of
@@ -16,7 +17,7 @@ columns named ``n_lines``, ``n_dropped`` or ``kept`` are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.llm.store import stored
@@ -26,6 +27,8 @@ from textguard.operators.fence import fenced
 BLANK = " \t\n\u000b\f\r"
 #: Shorter keys are never repeats.
 MIN_KEY = 10
+#: Hashes with more than this share of all lines are cut into stripes.
+SHARE = 0.001
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LAST = 2**63 - 1
 
@@ -61,14 +64,23 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_k
     hashed = keyed.where(F.length("key") >= min_key).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "_id", "pos", "_row"
     )
-    order = ["h1", "h2", "_id", "pos"]
-    ranges = stored(hashed, "lines").repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = stored(ranges.withColumn("range", F.spark_partition_id()), "ordered")
-    # A hash that fills several ranges is joined range by range.
-    inside = stored(ordered.groupBy("h1", "h2", "range").agg(F.min("_id").alias("first"), F.max("_id").alias("last")), "inside")
-    first = inside.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
-    shared = inside.select("h1", "h2", "range").join(first.select("h1", "h2", "first"), ["h1", "h2"])
-    later = ordered.join(shared, ["h1", "h2", "range"]).where(F.col("_id") > F.col("first"))
+    rows = stored(hashed, "lines")
+    # All hashes with more than a SHARE of the rows are among these, and no more than 1 / SHARE of them.
+    # Written, as which others are among them depends on the order in which tasks' finds meet.
+    often = stored(rows.stat.freqItems(["h1"], SHARE).select(F.explode("h1_freqItems").alias("h1")), "often")
+    often = often.withColumn("_often", F.lit(True))
+    marked = rows.join(F.broadcast(often), "h1", "left")
+    firsts = marked.where("_often").groupBy("h1", "h2").agg(F.min("_id").alias("_first"))
+    stripes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stripe = F.when(F.col("_often"), F.pmod(F.xxhash64("_id", "pos"), F.lit(stripes))).otherwise(0)
+    key = ["h1", "h2", "stripe"]
+    ordered = marked.withColumn("stripe", stripe).repartitionByRange(*key).sortWithinPartitions(*key, "_id", "pos")
+    # The window has the ranges' partitioning and order, so it streams over them as they are.
+    run = Window.partitionBy(*key).orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ordered.withColumn("first", F.first("_id").over(run))
+    # A hash in stripes has its first document in one of them; a row for each such hash.
+    met = seen.join(F.broadcast(firsts), ["h1", "h2"], "left")
+    later = met.where(F.col("_id") > F.coalesce("_first", "first"))
     bits = later.groupBy("_id", "_row", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
