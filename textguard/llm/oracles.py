@@ -89,7 +89,7 @@ FROM judged GROUP BY doc_id
 """
 
 _failed = " | ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(quality.RULES))
-ORACLES["op8_quality_rules"] = f"""
+_ledger = f"""
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
          [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines
@@ -102,15 +102,24 @@ measures AS (
   SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-         len(lines) AS n_word_lines, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims,
-         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals
+         CAST(len(lines) AS BIGINT) AS n_word_lines, CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclaims,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
   FROM parts p LEFT JOIN covered c ON c.doc_id = p.doc_id
 ), judged AS (SELECT *, CAST({_failed} AS BIGINT) AS failed FROM measures)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+ORACLES["op8_quality_rules"] = _ledger + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_word_lines, n_exclaims, n_capitals,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed & {quality.mask('v1')} = 0 AS kept, failed
 FROM judged
 """
+_strict = quality.POLICIES["strict"]
+ORACLES["quality_ablation"] = _ledger + f"""
+, fails AS (SELECT doc_id, unnest([{', '.join(f"{{'rule': {_text(n)}, 'hit': {r}}}" for n, r in quality.RULES if n in _strict)}], recursive := true) FROM judged),
+sums AS (SELECT doc_id, sum(hit::INT) AS n FROM fails GROUP BY doc_id)
+SELECT rule, CAST(count(*) FILTER (hit) AS BIGINT) AS n_failed, CAST(count(*) FILTER (hit AND n = 1) AS BIGINT) AS n_only
+FROM fails JOIN sums USING (doc_id) GROUP BY rule
+"""
 
 # CRC-32 of a string: its bytes from their hex digits, four bits a step.
 def _nibbles() -> str:

@@ -91,13 +91,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of each document, with the verdicts of the base and the current policy."""
     rows = quality.ledger(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *quality.MEASURES,
         (~quality.passes("base")).alias("base_failed"),
         quality.passes("v1").alias("kept"),
         "failed",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy rejects, and what it alone rejects."""
+    return quality.ablation(quality.ledger(_documents(spark, sf_dir).select("text")), "strict")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the token files."""
     files = f"{shared_dir(spark)}/tokens"
@@ -142,7 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_sentencepiece, op2_secret_scan, op3_licence_scan, op4_url_filter, op5_decontamination, op6_near_dedup,
         op7_line_dedup, op8_quality_rules, op9_token_files, op10_toxicity, op11_conversation_repair,
-        op12_importance_resampling, op13_sharding,
+        op12_importance_resampling, op13_sharding, quality_ablation,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
