@@ -12,8 +12,10 @@ Every candidate is verified by exact containment.
 Defined cases: an item with fewer than five words has one shingle of all its words, and
 documents then have the windows of that many words too; without such items they have none.
 In scripts without spaces each letter is a word. Null and empty texts have no shingles and
-match nothing. The SQL of the query knows neither short items nor those scripts; the given
-tables hold none. Repeated rows of a ``doc_id`` or ``item_id`` are
+match nothing. What so few words say is no sign of a test item where many documents say it:
+an item of fewer than five words is not searched for if more than ``COMMON`` of the documents
+hold it, and more than ``COMMON_LEAST``. The SQL of the query knows neither short items nor
+those scripts; the given tables hold none. Repeated rows of a ``doc_id`` or ``item_id`` are
 one document or item with the shingles of all. A null id is an id like others. Extra
 columns are not read.
 """
@@ -32,6 +34,9 @@ WORDS = 5
 TENTHS = 8
 HASHES = 128
 MISS = 1e-4
+#: Share of the documents, and number of them, up to which an item of few words is rare.
+COMMON = 0.01
+COMMON_LEAST = 10
 _WIDTHS = (8, 4, 2, 1)
 
 
@@ -59,12 +64,13 @@ def _grams(df: DataFrame, text: str, *widths: int) -> DataFrame:
 
 
 def _item_grams(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``grams``, the hashes of all five-word shingles, or of all words if they are fewer."""
+    """Adds ``grams``, the hashes of all five-word shingles, or of all words if they are fewer,
+    and ``few``, whether they are."""
     df = fenced(df.withColumn("_words", words_of(F.col(text))), "_words")
     # Words beyond the end are null, which a hash passes over.
     short = F.array(F.xxhash64(*[F.get("_words", F.lit(k)) for k in range(WORDS - 1)]))
-    few = F.size("_words").between(1, WORDS - 1)
-    return df.withColumn("grams", F.when(few, short).otherwise(_windows(WORDS))).drop("_words")
+    df = df.withColumn("few", F.size("_words").between(1, WORDS - 1))
+    return df.withColumn("grams", F.when(F.col("few"), short).otherwise(_windows(WORDS))).drop("_words")
 
 
 def _short_widths(items: DataFrame, text: str) -> list[int]:
@@ -73,6 +79,19 @@ def _short_widths(items: DataFrame, text: str) -> list[int]:
     return sorted(r["n"] for r in counts.collect())
 
 
+def _sized(asked: DataFrame) -> DataFrame:
+    return asked.withColumn("n_item", F.size("item")).withColumn("a", _class("n_item"))
+
+
+def _rare(asked: DataFrame, reduced: DataFrame, documents: int) -> DataFrame:
+    """The items without the shingles of few words that too many documents hold."""
+    most = max(COMMON_LEAST, COMMON * documents)
+    often = reduced.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > most)
+    common = often.join(asked.select(F.explode("short").alias("g")).distinct(), "g", "left_semi").select("g")
+    left = asked.select("item_id", F.explode("item").alias("g")).join(common, "g", "left_anti")
+    return _sized(left.groupBy("item_id").agg(F.collect_set("g").alias("item")))
+
+
 def width(item_class: int, set_class: int) -> int:
     """Rows per band for items of ``2**a`` and sets of ``2**p`` shingles and up, below the
     next power of two; 0 where no width finds all but ``MISS`` of them."""
@@ -106,14 +125,17 @@ def contained(
     """``(doc_id, item_id, n_shared, n_item)`` of each document that holds at least eight
     tenths of an item's shingles."""
     asked = _item_grams(items.select(F.col(item).alias("item_id"), F.col(text).alias("text")), "text")
-    asked = asked.select("item_id", F.explode("grams").alias("g")).groupBy("item_id").agg(F.collect_set("g").alias("item"))
-    asked = stored(asked.withColumn("n_item", F.size("item")).withColumn("a", _class("n_item")), "items")
+    asked = asked.select("item_id", "few", F.explode("grams").alias("g")).groupBy("item_id")
+    asked = stored(_sized(asked.agg(F.collect_set("g").alias("item"), F.collect_set(F.expr("IF(few, g, NULL)")).alias("short"))), "items")
+    short = _short_widths(items, text)
     known = asked.select(F.explode("item").alias("g")).distinct()
     table = bloom.bloom_table(known, "g")
-    each = _grams(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text", *_short_widths(items, text))
+    each = _grams(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text", *short)
     hits = bloom.maybe_in(each.select("doc_id", F.explode("grams").alias("g")), "g", table)
     reduced = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("g")).alias("grams"))
     reduced = stored(reduced.withColumns({"k1": F.xxhash64("grams"), "k2": F.xxhash64(F.lit("set"), "grams")}), "reduced")
+    if short:
+        asked = stored(_rare(asked, reduced, docs.select(doc).distinct().count()), "rare")
     sets = reduced.groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
     sets = sets.withColumn("n", F.size("grams")).withColumn("p", _class("n"))
     sets = stored(sets.withColumn("sig", _signature("grams")), "sets")

@@ -11,10 +11,11 @@ are filled, so texts of any length cost about the same beyond one look at each s
 Bands of coordinates are joined through buckets. Exact copies count once. A bucket
 links each member to its least one, which leaves most buckets with a single class. In the
 others, the members outside the largest class are compared with all members of small
-classes and a few of large ones, and those that then still stand apart with all; copies
-inside a class are never paired, nor are texts which have too little in common with any
-other class to be similar to one of its members, or whose parity bits show that they
-differ in too many elements. Every link is verified on the exact weighted
+classes and a few of large ones, and those that then still stand apart with all. Texts which
+have too little in common with all other classes to be similar to a member of one leave
+before anything is paired, so that a passage that many different texts share pairs none of
+them; copies inside a class are never paired, nor are texts whose parity bits show that
+they differ in too many elements. Every link is verified on the exact weighted
 similarity. Classes are the connected components of the links.
 
 Defined cases: words are those between white space, in lower case. Texts with fewer than
@@ -245,10 +246,17 @@ def _bounded(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rest.join(keys.join(counts, "id", "left"), "id"), "bounded")
 
 
+def _able(rest: DataFrame) -> DataFrame:
+    """The members that can be similar to one of another class: a similar text shares that
+    part of a set's elements at least, and no more than ``common`` of them can be shared."""
+    return rest.where(f"`all` IS NULL OR common >= {SIMILAR} * `all` - 1e-6")
+
+
 def _across(rest: DataFrame, picked: Column) -> DataFrame:
     """Pairs of a bucket's strays with its ``picked`` members of other classes, but for those
     that cannot be similar by what they have in common with any other class, or by the
     least number of elements in which they differ."""
+    rest = _able(rest)
     side = lambda k: [F.col(c).alias(c[0] + k) for c in ("id", "root", "all", "common", "parity", "keys")]
     strays = rest.where("root != main").select("key", *side("x"))
     others = rest.where(picked).select("key", *side("y"))
@@ -277,8 +285,9 @@ def _compared(buckets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, class_id, n_links)`` per document: the least id of its class, and the
-    number of links its text was found to have."""
+    """``(doc_id, class_id, n_spanning)`` per document: the least id of its class, and how many
+    of the links that hold the class together were verified at its text. Links between texts
+    that already are in one class are not looked for, so it is no count of similar texts."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("id"), body.alias("text"))
     keyed = rows.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"), "text")
@@ -296,11 +305,11 @@ def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     tied = tied.join(several, "a", "left_semi")
     roots = components(links.union(tied))
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = ends.groupBy("id").agg(F.count("*").alias("n_spanning"))
     known = members.groupBy("id").agg(F.min("rep").alias("rep"))
     placed = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     return placed.select(
         F.col("id").alias("doc_id"),
         F.coalesce("root", "rep").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"),
     )

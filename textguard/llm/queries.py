@@ -64,10 +64,11 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on each page's url."""
+def op4_url_filter(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """The verdict on each page's url. ``listed`` holds canonical URLs in the column ``url``;
+    without a list it is made of the pages on hosts with ``urls.LISTED_LABELS``."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urls.filter_urls(pages, urls.listed_urls(pages))
+    judged = urls.filter_urls(pages, urls.listed_urls(pages) if listed is None else listed)
     return judged.select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
