@@ -1,5 +1,6 @@
 """Evasion, threat, claims, evaluation, drift, usage and variants."""
 
+import hashlib
 import os
 import random
 from collections import deque
@@ -251,6 +252,34 @@ def test_variants(spark, texts):
     assert none.overall_robustness == 0.0
 
 
+def test_variants_of_long_texts(spark):
+    # The places of a text this long took the products past 64 bits when they were columns.
+    text = "ab cd" * 240_000
+    df = spark.createDataFrame([(0, text), (1, None)], "id int, text string")
+    by = {(r.id, r.method): r.perturbed for r in variants.variants(df, ["id"], steps=1).collect()}
+    assert len(by) == 14 and all(form is None for (i, _), form in by.items() if i == 1)
+
+    def roll(seed, place, salt=0):
+        x = seed + place * variants.PLACE + salt * variants.SALT
+        return x * variants.FACTORS[0] % variants.PRIMES[0] * variants.FACTORS[1] % variants.PRIMES[1]
+
+    def seed(method):
+        return int(hashlib.md5((text + method).encode()).hexdigest()[:7], 16)
+
+    own, n = seed("single"), len(text)
+    limit = sorted(roll(own, i) for i in range(n))[int(n * 0.15) - 1]
+    want = []
+    for i, c in enumerate(text):
+        if roll(own, i) <= limit:
+            put = variants.SUBSTITUTES[roll(own, i, 2) % 18], variants.INSERTS[roll(own, i, 3) % 8] + c, ""
+            c = put[roll(own, i, 1) % 3]
+        want.append(c)
+    assert by[(0, "fgsm")] == "".join(want)
+    own = seed("evasion")
+    want = [variants.HOMOGLYPHS.get(c, c) if roll(own, i, 10) % 10 < 3 else c for i, c in enumerate(text)]
+    assert by[(0, "evasion-unicode-homoglyph")] == "".join(want)
+
+
 def test_hot_keys_join_whole(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)], "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("k3", 4), ("none", 5)], "k string, v int")

@@ -7,13 +7,21 @@ variants. Every edit is linear in the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
+import functools
+import hashlib
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textguard.functions.text import cut
-from textguard.operators.fence import fenced
+from textguard.session import ship
 
 # Edit shares, steps, probabilities, characters and tables.
 SINGLE_SHARE, STEP_SHARE, STEPS = 0.15, 0.1, 5
@@ -35,147 +43,212 @@ SHOWN = 80
 PRIMES, FACTORS, PLACE, SALT = (2147483629, 2147483647), (1223106847, 1664525957), 7919, 104729
 
 
-def _mixed(x: Column) -> Column:
-    return x * FACTORS[0] % PRIMES[0] * FACTORS[1] % PRIMES[1]
-
-
-def _roll(seed: Column, place: Column, salt: int = 0) -> Column:
-    """A number below the larger prime for a place; different places differ."""
-    return _mixed(seed + place.cast("long") * PLACE + salt * SALT)
-
-
-def _draw(seed: Column, place: Column, n: int, salt: int = 0) -> Column:
-    """A number in 0..n-1 for a place."""
-    return _roll(seed, place, salt) % n
-
+#: Bytes of text that are edited at once; a longer text is edited on its own.
+SLICE = 1_000_000
+_BLANKS = re.compile("[\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", re.ASCII)
+_CODES = "utf-32-le"
 
-def _pick(options: Sequence[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in options]), index.cast("int") + 1)
 
+def _modulo(x: np.ndarray, n: int) -> np.ndarray:
+    """``x % n``; numpy divides by a fixed number much faster than it takes remainders."""
+    return x - x // np.uint64(n) * np.uint64(n)
 
-def _chars(text: Column) -> Column:
-    return F.split(text, "")
 
+def _roll(seeds: np.ndarray, places: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A number below the larger prime for each place; places of a text differ."""
+    x = seeds + places * np.uint64(PLACE) + np.uint64(salt * SALT)
+    if len(x) and int(x.max()) >= 1 << 32:
+        x = _modulo(x, PRIMES[0])  # the product below has to fit in 64 bits
+    return _modulo(_modulo(x * np.uint64(FACTORS[0]), PRIMES[0]) * np.uint64(FACTORS[1]), PRIMES[1])
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"), lambda w: w != "")
 
+def _codes(chars: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(chars).encode(_CODES), np.uint32)
 
-def _seed(text: Column, method: str) -> Column:
-    return F.conv(F.left(F.md5(F.concat(text, F.lit(method))), F.lit(7)), 16, 10).cast("long")
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-def edited(df: DataFrame, text: str, share: float, method: str, into: str) -> DataFrame:
-    """Adds the text with a share of its characters (one at least) replaced,
-    preceded by an extra one, or dropped."""
-    size = F.length(text)
-    staged = fenced(df.withColumn("__seed", _seed(F.col(text), method)), "__seed")
-    # ``_roll`` of every place, its first sum counted up instead of multiplied.
-    last = F.col("__seed") + F.greatest(size - 1, F.lit(0)).cast("long") * PLACE
-    staged = staged.withColumn("__rolls", F.transform(F.sequence(F.col("__seed"), last, F.lit(PLACE).cast("long")), _mixed))
-    changes = F.greatest(F.floor(size * share).cast("int"), F.lit(1))
-    # Places with the smallest rolls change: as many as asked, all different.
-    staged = fenced(fenced(staged, "__rolls").withColumn("__limit", F.get(F.array_sort("__rolls"), changes - 1)), "__limit")
-    seed = F.col("__seed")
-
-    def change(c, i):
-        action = _draw(seed, i, 3, 1)
-        put = (
-            F.when(action == 0, _pick(SUBSTITUTES, _draw(seed, i, len(SUBSTITUTES), 2)))
-            .when(action == 1, F.concat(_pick(INSERTS, _draw(seed, i, len(INSERTS), 3)), c))
-            .otherwise(F.when(size > 1, F.lit("")).otherwise(c))
-        )
-        return F.when(F.get("__rolls", i) <= F.col("__limit"), put).otherwise(c)
-
-    out = F.when(size > 0, F.array_join(F.transform(_chars(F.col(text)), change), "")).otherwise(F.col(text))
-    return fenced(staged.withColumn(into, out).drop("__seed", "__rolls", "__limit"), into)
 
+class _Texts:
+    """Texts of a slice as one array of characters, with the place of each in its text."""
 
-# The evasions take a column of characters or words and a seed column: inside
-# an array function, anything but a plain column is evaluated per element.
+    def __init__(self, chars: np.ndarray, starts: np.ndarray):
+        self.chars, self.starts, self.sizes = chars, starts, np.diff(starts)
 
+    @classmethod
+    def of(cls, texts: Sequence[str]) -> _Texts:
+        return cls(_codes(texts), _starts(np.array([len(t) for t in texts], np.int64)))
 
-def homoglyphs(chars: Column, seed: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in HOMOGLYPHS.items() for x in pair])
-    swap = lambda c, i: F.when(
-        _draw(seed, i, 10, 10) < 3, F.coalesce(F.try_element_at(table, c), c)
-    ).otherwise(c)
-    return F.array_join(F.transform(chars, swap), "")
+    def strings(self) -> list[str]:
+        whole = self.chars.tobytes().decode(_CODES)
+        bounds = self.starts.tolist()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    def seeds(self, method: str) -> np.ndarray:
+        return _seeds(self.strings(), method)
 
-def spaced(chars: Column, seed: Column) -> Column:
-    add = lambda c, i: F.when(
-        (_draw(seed, i, 10, 20) < 2) & (c != " "), F.concat(c, _pick(BLANKS, _draw(seed, i, len(BLANKS), 21)))
-    ).otherwise(c)
-    return F.array_join(F.transform(chars, add), "")
+    @functools.cached_property
+    def places(self) -> np.ndarray:
+        return (np.arange(len(self.chars)) - np.repeat(self.starts[:-1], self.sizes)).astype(np.uint64)
 
+    def replaced(self, counts: np.ndarray, chars: np.ndarray | None = None) -> tuple[_Texts, np.ndarray]:
+        """Texts in which each character stands ``counts`` times, and where each now begins."""
+        ends = _starts(counts)
+        return _Texts(np.repeat(self.chars if chars is None else chars, counts), ends[self.starts]), ends[:-1]
 
-def entities(chars: Column, seed: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    swap = lambda c, i: F.when(
-        _draw(seed, i, 10, 30) < 3, F.coalesce(F.try_element_at(table, c), c)
-    ).otherwise(c)
-    return F.array_join(F.transform(chars, swap), "")
 
+def _seeds(texts: Sequence[str], method: str) -> np.ndarray:
+    tail = method.encode()
+    return np.array([int(hashlib.md5(t.encode() + tail).hexdigest()[:7], 16) for t in texts], np.uint64)
 
-def split_words(words: Column, seed: Column) -> Column:
-    def cut_word(w, i):
-        middle = F.floor(F.length(w) / 2).cast("int")
-        mark = _pick(SPLITTERS, _draw(seed, i, len(SPLITTERS), 41))
-        split = F.concat(F.left(w, middle), mark, F.substring(w, middle + 1, F.length(w)))
-        return F.when((F.octet_length(w) <= 2) | (_draw(seed, i, 10, 40) >= 3), w).otherwise(split)
 
-    return F.array_join(F.transform(words, cut_word), " ")
-
-
-def reordered(words: Column, seed: Column) -> Column:
+def edited(texts: _Texts, share: float, method: str) -> _Texts:
+    """Each text with a share of its characters (one at least) replaced, preceded by an
+    extra one, or dropped."""
+    seeds, sizes = np.repeat(texts.seeds(method), texts.sizes), texts.sizes
+    rolls = _roll(seeds, texts.places)
+    # Places with the smallest rolls change: as many as asked, all different.
+    limits = np.zeros(len(sizes), np.uint64)
+    for row, (start, size) in enumerate(zip(texts.starts.tolist(), sizes.tolist())):
+        if size:
+            last = max(math.floor(size * share), 1) - 1
+            limits[row] = np.partition(rolls[start : start + size], last)[last]
+    at = np.flatnonzero(rolls <= np.repeat(limits, sizes))
+    seeds, places = seeds[at], texts.places[at]
+    action = _modulo(_roll(seeds, places, 1), 3)
+    swap, extra, drop = at[action == 0], at[action == 1], at[(action == 2) & (np.repeat(sizes, sizes)[at] > 1)]
+    pick = lambda options, kind, salt: _codes(options)[_modulo(_roll(seeds, places, salt), len(options))[action == kind]]
+    chars, counts = texts.chars.copy(), np.ones(len(texts.chars), np.int64)
+    chars[swap], counts[extra], counts[drop] = pick(SUBSTITUTES, 0, 2), 2, 0
+    out, begins = texts.replaced(counts, chars)
+    out.chars[begins[extra]] = pick(INSERTS, 1, 3)
+    return out
+
+
+def _among(texts: _Texts, seeds: np.ndarray, wanted: np.ndarray, salt: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the ``wanted`` characters whose draw of 10 is under ``below``, with their seeds."""
+    at = np.flatnonzero(wanted)
+    own = np.repeat(seeds, texts.sizes)[at]
+    drawn = _modulo(_roll(own, texts.places[at], salt), 10) < below
+    return at[drawn], own[drawn]
+
+
+def homoglyphs(texts: _Texts, seeds: np.ndarray) -> list[str]:
+    table = np.arange(128, dtype=np.uint32)
+    table[_codes(tuple(HOMOGLYPHS))] = _codes(tuple(HOMOGLYPHS.values()))
+    alike = np.where(texts.chars < 128, table[np.minimum(texts.chars, 127)], texts.chars)
+    at, _ = _among(texts, seeds, alike != texts.chars, 10, 3)
+    chars = texts.chars.copy()
+    chars[at] = alike[at]
+    return _Texts(chars, texts.starts).strings()
+
+
+def spaced(texts: _Texts, seeds: np.ndarray) -> list[str]:
+    at, own = _among(texts, seeds, texts.chars != ord(" "), 20, 2)
+    counts = np.ones(len(texts.chars), np.int64)
+    counts[at] = 2
+    out, begins = texts.replaced(counts)
+    out.chars[begins[at] + 1] = _codes(BLANKS)[_modulo(_roll(own, texts.places[at], 21), len(BLANKS))]
+    return out.strings()
+
+
+def entities(texts: _Texts, seeds: np.ndarray) -> list[str]:
+    at, _ = _among(texts, seeds, np.isin(texts.chars, _codes(tuple(ENTITIES))), 30, 3)
+    old, counts = texts.chars[at], np.ones(len(texts.chars), np.int64)
+    for char, entity in ENTITIES.items():
+        counts[at[old == ord(char)]] = len(entity)
+    out, begins = texts.replaced(counts)
+    for char, entity in ENTITIES.items():
+        out.chars[begins[at[old == ord(char)]][:, None] + np.arange(len(entity))] = _codes(entity)
+    return out.strings()
+
+
+def split_words(words: list[str], seed: np.ndarray) -> str:
+    places, out = np.arange(len(words), dtype=np.uint64), words[:]
+    marks = _modulo(_roll(seed, places, 41), len(SPLITTERS)).tolist()
+    for i in np.flatnonzero(_modulo(_roll(seed, places, 40), 10) < 3).tolist():
+        word, middle = words[i], len(words[i]) // 2
+        if len(word.encode()) > 2:
+            out[i] = word[:middle] + SPLITTERS[marks[i]] + word[middle:]
+    return " ".join(out)
+
+
+def reordered(words: list[str], seed: np.ndarray) -> str:
     """Words with up to two fifths of swaps: the places taken are the same, the
     words on them change seats."""
-    rolled = F.array_sort(
-        F.transform(
-            words, lambda w, i: F.struct(_roll(seed, i, 50).alias("r"), i.alias("i"), w.alias("w"))
-        )
-    )
-    taken = F.least(F.size(words), F.floor(F.size(words) * 0.4).cast("int") * 2)
-    moved = F.slice(rolled, 1, taken)
-    seats = F.array_sort(F.transform(moved, lambda x: x["i"]))
-    seated = F.zip_with(seats, moved, lambda i, x: F.struct(i.alias("i"), x["w"].alias("w")))
-    stayed = F.transform(
-        F.slice(rolled, taken + 1, F.size(words)), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.concat(seated, stayed)), lambda x: x["w"]), " ")
-    return F.when(F.size(words) > 2, joined)
+    order = np.argsort(_roll(seed, np.arange(len(words), dtype=np.uint64), 50), kind="stable")
+    moved = order[: min(len(words), math.floor(len(words) * 0.4) * 2)]
+    out = words[:]
+    for seat, i in zip(np.sort(moved).tolist(), moved.tolist()):
+        out[seat] = words[i]
+    return " ".join(out)
 
 
 BY_CHARACTER = {"unicode-homoglyph": homoglyphs, "whitespace-injection": spaced, "encoding-mix": entities}
 BY_WORD = {"character-splitting": split_words, "word-reordering": reordered}
 
 
+def _forms(given: Sequence[str], steps: int, single_share: float, step_share: float) -> list[list[str]]:
+    """The texts in each form, in the order of the methods."""
+    texts = last = _Texts.of(given)
+    out = [edited(texts, single_share, "single").strings()]
+    for step in range(1, steps + 1):
+        last = edited(last, step_share, f"multi{step}")
+        out.append(last.strings())
+    seeds = _seeds(given, "evasion")
+    out += [form(texts, seeds) for form in BY_CHARACTER.values()]
+    # An empty text counts as one empty character, which may get a blank behind it.
+    for row in np.flatnonzero(texts.sizes == 0).tolist():
+        draw = lambda n, salt: int(_modulo(_roll(seeds[row : row + 1], np.zeros(1, np.uint64), salt), n)[0])  # noqa: B023, E731
+        if draw(10, 20) < 2:
+            out[1 + steps + list(BY_CHARACTER).index("whitespace-injection")][row] = BLANKS[draw(len(BLANKS), 21)]
+    words = [[w for w in _BLANKS.split(t) if w] for t in given]
+    out.append([split_words(w, seeds[i : i + 1]) for i, w in enumerate(words)])
+    # One or two words have no other order; they stay as they are.
+    out.append([reordered(w, seeds[i : i + 1]) if len(w) > 2 else given[i] for i, w in enumerate(words)])
+    return out
+
+
+def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with bounded text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // SLICE)) + 1
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def variants(
     df: DataFrame, keys: Sequence[str], text: str = "text", steps: int = STEPS,
     single_share: float = SINGLE_SHARE, step_share: float = STEP_SHARE,
 ) -> DataFrame:
     """One row per text and method: single edit, each of the repeated edits, and
-    each evasion. No shuffle; the rows stream out of the scan."""
-    staged = edited(df.select(*keys, text), text, single_share, "single", "__single")
-    last = text
-    for step in range(1, steps + 1):
-        staged = edited(staged, last, step_share, f"multi{step}", f"__multi{step}")
-        last = f"__multi{step}"
-    row = lambda method, group, step, value: F.struct(
-        F.lit(method).alias("method"), F.lit(group).alias("method_group"), F.lit(step).alias("step"),
-        # One or two words have no other order; they stay as they are.
-        F.coalesce(value, F.col(text)).alias("perturbed"),
-    )
+    each evasion. No shuffle; the rows stream out of the scan. Workers edit the texts
+    of a slice together, as arrays of characters; a null text has null variants."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.schema.names.index(text)
+            for batch in _slices(whole, whole.column(at)):
+                given = batch.column(at).to_pylist()
+                forms = iter(zip(*_forms([t for t in given if t is not None], steps, single_share, step_share)))
+                made = pa.array([None if t is None else next(forms) for t in given], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "__forms"])
+
     # The names of the methods.
-    rows = [row("fgsm", "single", 0, F.col("__single"))]
-    rows += [row(f"pgd-step-{s}", "multi", s, F.col(f"__multi{s}")) for s in range(1, steps + 1)]
-    staged = staged.withColumns(
-        {"__chars": _chars(F.col(text)), "__words": _words(F.col(text)), "__key": _seed(F.col(text), "evasion")}
-    )
-    staged = fenced(staged, "__chars", "__words", "__key")
-    rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__chars"), F.col("__key"))) for n, f in BY_CHARACTER.items()]
-    rows += [row(f"evasion-{n}", "evasion", 0, f(F.col("__words"), F.col("__key"))) for n, f in BY_WORD.items()]
+    names = [("fgsm", "single", 0)] + [(f"pgd-step-{s}", "multi", s) for s in range(1, steps + 1)]
+    names += [(f"evasion-{n}", "evasion", 0) for n in (*BY_CHARACTER, *BY_WORD)]
+    rows = [
+        F.struct(
+            F.lit(method).alias("method"), F.lit(group).alias("method_group"), F.lit(step).alias("step"),
+            F.get("__forms", F.lit(i)).alias("perturbed"),
+        )
+        for i, (method, group, step) in enumerate(names)
+    ]
+    source = df.select(*keys, text)
+    ship(df.sparkSession)
+    staged = source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("__forms", T.ArrayType(T.StringType()))]))
     return staged.select(*keys, F.col(text).alias("input"), F.inline(F.array(*rows)))
 
 
