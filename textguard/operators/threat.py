@@ -5,6 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ THRESHOLD = 0.7
 CAP = 0.9
 # Fixed value: texts shorter than this score zero on the set-based path.
 SHORT_BYTES = 32
+#: Bytes of text that a user's model gets at a time.
+SCORED_BYTES = 1_000_000
 
 
 def swapped(word: str) -> list[str]:
@@ -163,5 +169,19 @@ def batch_scorer(load: Callable[[], Callable], batch_size: int = 1_000) -> Calla
 
 
 def pandas_scorer(function: Callable) -> Callable[[Column], Column]:
-    """Adapter for a user's own model: a function of one pandas Series."""
-    return F.pandas_udf(function, "double")
+    """Adapter for a user's own model: a function of one pandas Series. It gets texts of about
+    ``SCORED_BYTES`` at a time, or one text, so that a worker's memory does not follow the batch."""
+
+    def score(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SCORED_BYTES)) + 1).tolist(), len(texts)]
+        made = [
+            pa.Array.from_pandas(pd.Series(function(texts.slice(a, b - a).to_pandas())), type=pa.float64())
+            for a, b in zip(cuts, cuts[1:])
+            if b > a
+        ]
+        return pa.concat_arrays([pa.array([], pa.float64()), *made])
+
+    # The types are given by name, as annotations in this module are text.
+    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(score, "double")
