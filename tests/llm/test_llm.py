@@ -120,6 +120,14 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd).where(F.size("licences") > 0).count() == 0
 
 
+def test_whole_units_are_kept_once():
+    coder = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    first = coder.encode("others and others")
+    assert len(coder.unit) == 2 and not coder.part
+    assert coder.encode("others and others") == first and coder.decode(np.frombuffer(first, np.int32)) == "others and others"
+    assert coder.fits.most + coder.unit.most + coder.part.most <= 450_000
+
+
 def test_every_licence_sentence_passes_the_gate(spark):
     """An example of each pattern, with the fewest licence words that it can do with."""
     examples = {

@@ -37,9 +37,11 @@ from pyspark.sql import types as T
 from textguard.llm.store import in_arrow
 
 SPACE = "▁"
-#: Entries of each table of kept results in a worker; a full table starts anew. Longer
-#: strings than ``LONG`` are not kept, so a table takes some 20 MB at most.
+#: Entries of a table of kept results in a worker; a full table starts anew. Longer
+#: strings than ``LONG`` are not kept, so a table of so many takes some 20 MB at most. A missed
+#: unit or pair costs far more than a missed part, and texts hold many more of them.
 KEPT = 100_000
+KEPT_UNITS, KEPT_PAIRS, KEPT_PARTS = 200_000, 200_000, 50_000
 LONG = 64
 
 
@@ -111,15 +113,15 @@ class Pieces:
 
     @functools.cached_property
     def fits(self) -> Kept:
-        return Kept(self._fits)
+        return Kept(self._fits, KEPT_PAIRS)
 
     @functools.cached_property
     def part(self) -> Kept:
-        return Kept(self._part)
+        return Kept(self._part, KEPT_PARTS)
 
     @functools.cached_property
     def unit(self) -> Kept:
-        return Kept(self._unit)
+        return Kept(self._unit, KEPT_UNITS)
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself, for short strings: best score first, leftmost of
@@ -177,6 +179,8 @@ class Pieces:
         starts a line."""
         text = unit if unit[:1] in (SPACE, "\n") else SPACE + unit
         pairs, part, start, out = self.pairs, self.part, 0, []
+        if pairs.issuperset(map(add, text, text[1:])):
+            return self._part(text)  # kept as the unit
         for i, pair in enumerate(map(add, text, text[1:]), 1):
             if pair not in pairs:
                 out.append(part[text[start:i]])
