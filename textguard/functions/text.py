@@ -1,15 +1,10 @@
-"""Column expressions over text: gates, normal forms, lengths, fingerprints."""
+"""Column expressions over text: normal forms, lengths, fingerprints."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textguard.rules.model import Gate
-
 MARK = "\u0001"
 
 
@@ -24,68 +19,11 @@ def folded(text: Column) -> Column:
     return F.lower(F.when(rare, F.translate(text, "ſ\u212a", "sk")).otherwise(text))
 
 
-def digit_skeleton(text: Column) -> Column:
-    """Digit runs of the text, whatever lies between two runs as one space."""
-    return F.regexp_replace(text, "[^0-9]+", " ")
-
-
-def literal_trie(words: Iterable[str]) -> str:
-    """Regex for any of ``words``, longest first, shared beginnings only once."""
-    rest: dict[str, set[str]] = {}
-    optional = False
-    for word in words:
-        if word:
-            rest.setdefault(word[0], set()).add(word[1:])
-        else:
-            optional = True
-    if not rest:
-        return ""
-    ways = [re.escape(first) + literal_trie(tails) for first, tails in sorted(rest.items())]
-    return f"(?:{'|'.join(ways)})" + "?" * optional
-
-
-def literals_in(fold: Column, words: Iterable[str]) -> Column:
-    """The distinct ``words`` that occur in the text, space-separated, found in
-    one pass. A word that is the beginning of another one found is covered by
-    it, so ``contains`` on the result answers for every word."""
-    by_first: dict[str, set[str]] = {}
-    for word in words:
-        by_first.setdefault(word[0], set()).add(word)
-    firsts = sorted(by_first)
-    ranges = [firsts[i : i + 5] for i in range(0, len(firsts), 5)]
-    ways = [
-        f"(?=[{''.join(map(re.escape, r))}])" + literal_trie(w for c in r for w in by_first[c]) for r in ranges
-    ]
-    # Zero-width, so that overlapping words are all seen.
-    found = F.regexp_extract_all(fold, F.lit(f"(?=({'|'.join(ways)}))"), F.lit(1))
-    return F.array_join(F.array_distinct(found), " ")
-
-
 def quoted(value: str) -> str:
     """A Spark SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def gate_condition(gate: Gate, fold: str, words: str, skeleton: str) -> str:
-    """SQL condition every text with a match fulfils, empty when there is none.
-
-    ``words`` names the column of literals of two or more characters present in
-    the text, or the folded text itself. Conditions are written as SQL text: the
-    catalogue has some thousand of them, and one parse is far cheaper than as
-    many calls into the JVM.
-    """
-    tests = [
-        "(" + " OR ".join(f"contains({words if len(w) > 1 else fold}, {quoted(w)})" for w in group) + ")"
-        for group in gate.words
-    ]
-    if gate.digits:
-        tests.append(f"rlike({skeleton}, {quoted(gate.digits)})")
-    if gate.alternatives:
-        ways = [gate_condition(a, fold, words, skeleton) for a in gate.alternatives]
-        tests.append("(" + " OR ".join(f"({w})" for w in ways) + ")")
-    return " AND ".join(tests)
-
-
 def cut(value: Column, n: int) -> Column:
     """First ``n`` characters and an ellipsis when the value is longer."""
     return F.when(F.length(value) > n, F.concat(F.left(value, F.lit(n)), F.lit("..."))).otherwise(value)

@@ -12,7 +12,7 @@ from textguard.functions.text import quoted
 from textguard.operators import ruleset
 from textguard.operators.fence import fenced
 from textguard.operators.guard import check_patterns
-from textguard.operators.scan import _SAFE, gated, hits_of, with_gates
+from textguard.operators.scan import _SAFE, hits_of, where_present, with_present
 from textguard.rules import phrases
 
 
@@ -26,17 +26,18 @@ def with_evasion(
     """
     check_patterns(df, [p for *_, p in extra])
     columns = [F.col(c) for c in df.columns]
-    seen = with_gates(df, text, phrases.EVASION_GATES.values())
+    known = len(phrases.EVASION)
+    seen = with_present(df, text, enumerate(phrases.EVASION_RULES))
 
-    def technique(name, category, weight, pattern):
+    def technique(i, name, category, weight, pattern):
         first = f"regexp_extract({_SAFE}, {quoted(java_of(name, pattern))}, 0)"
-        found = gated(phrases.EVASION_GATES.get(name), first)
+        found = where_present(i, first) if i < known else first
         return (
             f"named_struct('name', {quoted(name)}, 'category', {quoted(category)}, 'weight', {float(weight)}D, "
             f"'match', {found})"
         )
 
-    matched = hits_of([technique(*row) for row in (*phrases.EVASION, *extra)], "coalesce(h.match, '') <> ''")
+    matched = hits_of([technique(i, *row) for i, row in enumerate((*phrases.EVASION, *extra))], "coalesce(h.match, '') <> ''")
     score = F.aggregate("__matched", F.lit(0.0), lambda a, t: a + t["weight"])
     value = F.struct(
         (F.size("__matched") > 0).alias("detected"),

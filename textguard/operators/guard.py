@@ -20,7 +20,7 @@ from textguard.functions.text import cut, quoted, token_estimate, truncated_pref
 from textguard.functions.validators import plausible
 from textguard.operators.fence import fenced
 from textguard.operators.ruleset import analysed
-from textguard.operators.scan import _SAFE, VALUE_LIMIT, gated, hits_of, lookup, with_gates, with_matches
+from textguard.operators.scan import _SAFE, VALUE_LIMIT, hits_of, lookup, where_present, with_matches, with_present
 from textguard.rules import GATES, PACKS, phrases, rules_of, secrets, validated
 from textguard.rules.model import Rule
 
@@ -183,10 +183,10 @@ def with_toxicity(df: DataFrame, text: str = "text", into: str = "toxicity") ->
     """Adds the toxicity verdict. Only presence counts, so rules are tested."""
     columns = [F.col(c) for c in df.columns]
     hit = []
-    for r in phrases.TOXICITY_RULES:
+    for i, r in enumerate(phrases.TOXICITY_RULES):
         test = f"rlike({_SAFE}, {quoted(java_of(r.name, r.regex))})"
-        hit.append(f"CASE WHEN {gated(phrases.TOXICITY_GATES[r.name], test, 'false')} THEN {quoted(r.name)} END")
-    seen = with_gates(df, text, phrases.TOXICITY_GATES.values())
+        hit.append(f"CASE WHEN {where_present(i, test, 'false')} THEN {quoted(r.name)} END")
+    seen = with_present(df, text, enumerate(phrases.TOXICITY_RULES))
     hits = seen.select(*columns, hits_of(hit, "h IS NOT NULL").alias(into))
     return fenced(hits.withColumn(into, toxicity_of(F.col(into))), into)
 

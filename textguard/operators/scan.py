@@ -1,8 +1,8 @@
 """One-pass rule scan: text in, an array of matches per row out.
 
-The scan is a chain of projections and never shuffles. Each rule runs only on
-texts that pass its gate (a literal or digit-run test a matching text cannot
-fail); the offsets of all rules are computed by one shared array expression.
+The scan is a chain of projections and never shuffles. Each rule's pattern runs
+only on texts that it matches, as RE2 tells for all rules beforehand; the
+offsets of all rules are computed by one shared array expression.
 """
 
 from __future__ import annotations
@@ -14,32 +14,27 @@ from pyspark.sql import functions as F
 
 from textguard.functions import spans
 from textguard.functions.dialect import java_of
-from textguard.functions.text import cut, digit_skeleton, folded, gate_condition, literals_in, markless, quoted
+from textguard.functions.text import cut, markless, quoted
 from textguard.operators.fence import fenced
+from textguard.operators.present import rules_in
 from textguard.rules import GATES, PACKS, rules_of
-from textguard.rules.model import Gate, Rule, literals_of
+from textguard.rules.model import Gate, Rule
+from textguard.session import ship
 
 VALUE_LIMIT = 200
-_FOLD, _WORDS, _SKELETON, _SAFE, _HITS = "__fold", "__words", "__skeleton", "__safe", "__hits"
-# Looking for each literal on its own costs about 3 ns per character, one pass
-# for all of them about as much as a hundred of those.
-_ONE_PASS_FROM = 100
+_FOUND, _SAFE, _HITS = "__found", "__safe", "__hits"
 
 
-def with_gates(df: DataFrame, text: str, gates: Iterable[Gate]) -> DataFrame:
-    """Adds the safe text and what the gates look at: the folded text, the gate
-    literals present in it, and its digit skeleton."""
-    literals = {w for gate in gates for w in literals_of(gate) if len(w) > 1}
+def with_present(df: DataFrame, text: str, rules: Iterable[tuple[int, Rule]]) -> DataFrame:
+    """Adds the safe text and the numbers of those of the numbered ``rules`` that match it."""
+    ship(df.sparkSession)
     safe = df.withColumn(_SAFE, markless(F.coalesce(F.col(text), F.lit(""))))
-    safe = safe.withColumns({_FOLD: folded(F.col(_SAFE)), _SKELETON: digit_skeleton(F.col(_SAFE))})
-    one_pass = len(literals) >= _ONE_PASS_FROM
-    return safe.withColumn(_WORDS, literals_in(F.col(_FOLD), literals) if one_pass else F.col(_FOLD))
+    return fenced(safe.withColumn(_FOUND, rules_in(F.col(_SAFE), list(rules))), _FOUND)
 
 
-def gated(gate: Gate | None, value: str, otherwise: str = "NULL") -> str:
-    """SQL for ``value`` where the rule can match, else ``otherwise``."""
-    condition = gate_condition(gate, _FOLD, _WORDS, _SKELETON) if gate else ""
-    return f"CASE WHEN {condition} THEN {value} ELSE {otherwise} END" if condition else value
+def where_present(n: int, value: str, otherwise: str = "NULL") -> str:
+    """SQL for ``value`` where rule ``n`` matches, else ``otherwise``."""
+    return f"CASE WHEN array_contains({_FOUND}, {n}S) THEN {value} ELSE {otherwise} END"
 
 
 def hits_of(rows: Iterable[str], keep: str) -> Column:
@@ -56,11 +51,10 @@ def with_matches(
 ) -> DataFrame:
     """Adds ``into``: all matches of ``rules`` sorted by start, then rule order."""
     columns = [F.col(c) for c in df.columns]
-    marked = [
-        f"named_struct('n', {i}, 'parts', "
-        f"{gated(gates.get(r.name), spans.marked_parts(_SAFE, java_of(r.name, r.regex)))})"
-        for i, r in enumerate(rules)
-    ]
+    tested = [(i, r) for i, r in enumerate(rules) if r.name in gates]
+    parts = {i: spans.marked_parts(_SAFE, java_of(r.name, r.regex)) for i, r in enumerate(rules)}
+    parts.update({i: where_present(i, parts[i]) for i, _ in tested})
+    marked = [f"named_struct('n', {i}, 'parts', {p})" for i, p in sorted(parts.items())]
     hits = hits_of(marked, "size(h.parts) > 1")
     found = F.flatten(F.transform(F.col(_HITS), lambda h: spans.located(h["n"], h["parts"])))
     own = F.when(
@@ -70,9 +64,7 @@ def with_matches(
             lambda m: m.withField("value", F.substring(F.col(text), m["start"] + 1, m["end"] - m["start"])),
         ),
     ).otherwise(found)
-    found_in = with_gates(df, text, [gates[r.name] for r in rules if r.name in gates]).select(
-        *columns, hits.alias(_HITS)
-    )
+    found_in = with_present(df, text, tested).select(*columns, hits.alias(_HITS))
     return fenced(found_in.select(*columns, F.array_sort(own).cast(spans.MATCH_TYPE).alias(into)), into)
 
 
@@ -125,8 +117,8 @@ def rule_counts(df: DataFrame, packs: Sequence[str] = (), text: str = "text") ->
     counted = []
     for i, (_, r) in enumerate(pairs):
         matches = f"size(regexp_extract_all({_SAFE}, {quoted(java_of(r.name, r.regex))}, 0))"
-        counted.append(f"named_struct('n', {i}, 'k', {gated(GATES.get(r.name), matches, '0')})")
-    hits = with_gates(df.select(text), text, [GATES[r.name] for _, r in pairs]).select(
+        counted.append(f"named_struct('n', {i}, 'k', {where_present(i, matches, '0')})")
+    hits = with_present(df.select(text), text, [(i, r) for i, (_, r) in enumerate(pairs)]).select(
         hits_of(counted, "h.k > 0").alias(_HITS)
     )
     per_rule = (
