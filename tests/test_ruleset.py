@@ -74,3 +74,19 @@ def test_bad_patterns_are_reported(spark):
     assert {r["name"] for r in ruleset.rejected(rules).collect()} == {"open", "none", "class", "many"}
     df = spark.createDataFrame([(1, "xabcx")], "id int, text string")
     assert _rows(ruleset.findings(df, rules, ["id"])) == [(1, "ok", 1, 4, "abc")]
+
+
+def test_few_rules_need_no_index(spark, monkeypatch):
+    monkeypatch.setattr(ruleset, "_stretches", None)
+    texts = [(1, "see a.example.com, beta"), (2, "alpha 42"), (3, None), (4, "")]
+    rules = [("host", 1, r"[a-z]+\.example\.com"), ("digits", 2, r"[0-9]{2}"), ("word", 3, "(?i)BETA|alpha")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    assert _rows(ruleset.findings(df, _rules(spark, rules), ["id"])) == _expected(texts, rules)
+
+
+def test_more_rules_than_few_use_the_index(spark, monkeypatch):
+    monkeypatch.setattr(ruleset, "FEW", 1)
+    texts = [(1, "see a.example.com, beta"), (2, "alpha 42")]
+    rules = [("host", 1, r"[a-z]+\.example\.com"), ("digits", 2, r"[0-9]{2}"), ("word", 3, "(?i)BETA|alpha")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    assert _rows(ruleset.findings(df, _rules(spark, rules), ["id"])) == _expected(texts, rules)

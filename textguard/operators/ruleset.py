@@ -7,6 +7,7 @@ fixed size tells but for few, meet the entries in a join; what holds the whole l
 handed to the pattern, which comes from the rule's column. Rules without such a literal
 run on every text.
 
+With at most ``FEW`` entries each text is searched for the literals themselves, without an index.
 An index of at most ``BROADCAST`` entries goes to the texts, so that texts are not shuffled.
 A larger one meets ``(key, stretch)`` rows, and only found pairs of key and rule go back to
 the texts; rules without a literal then go to the texts in blocks of that size.
@@ -36,6 +37,9 @@ from textguard.session import ship
 
 #: Characters of an index entry.
 STRETCH = 3
+#: Up to so many entries each text is searched for each literal, which costs about 1 ns a character and
+#: literal; to list and look up a text's stretches costs as much as some hundred of those.
+FEW = 100
 #: Entries that are handed to every task at most.
 BROADCAST = 20_000
 #: The bitmap has ``64 * WORDS`` bits.
@@ -193,6 +197,8 @@ def findings(df: DataFrame, rules: DataFrame, keys: Sequence[str], text: str = "
     texts = _prepared(df, keys, text)
     size = entries.groupBy((F.col("stretch") == "").alias("everywhere")).count().collect()
     count = {r["everywhere"]: r["count"] for r in size}
+    if sum(count.values()) <= min(FEW, most):
+        return _found(texts.join(F.broadcast(entries), _holds()), keys)
     if sum(count.values()) <= most:
         hits = F.concat(F.array(F.lit("")), F.col("_stretches"))
         seen = fenced(_stretches(texts, entries), "_stretches").withColumn("stretch", F.explode(hits))
