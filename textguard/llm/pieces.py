@@ -38,10 +38,10 @@ from textguard.llm.store import in_arrow
 
 SPACE = "▁"
 #: Entries of a table of kept results in a worker; a full table starts anew. Longer
-#: strings than ``LONG`` are not kept, so a table of so many takes some 20 MB at most. A missed
-#: unit or pair costs far more than a missed part, and texts hold many more of them.
+#: strings than ``LONG`` are not kept, so 100,000 entries take some 20 MB. A missed unit or pair
+#: costs far more than a missed part, and texts hold many more of them.
 KEPT = 100_000
-KEPT_UNITS, KEPT_PAIRS, KEPT_PARTS = 200_000, 200_000, 50_000
+KEPT_UNITS, KEPT_PAIRS, KEPT_PARTS = 600_000, 300_000, 50_000
 LONG = 64
 
 
