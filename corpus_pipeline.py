@@ -61,7 +61,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, exact)``: ids of the text, and whether they decode to it."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
+    coded = pieces.round_trip(docs.select("doc_id", "text"), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("exact"))
 

@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textguard.llm.store import in_arrow
+from textguard.llm.store import in_arrow, keep
 
 SPACE = "▁"
 #: Entries of a table of kept results in a worker; a full table starts anew. Longer
@@ -51,6 +51,7 @@ class Kept(dict):
     def __init__(self, make, most: int = KEPT):
         super().__init__()
         self.make, self.most = make, most
+        keep(self)
 
     def __missing__(self, key):
         if type(key) is str and len(key) > LONG:
@@ -259,18 +260,34 @@ def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]
             yield batch.slice(a, b - a)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    coder = pieces(path)
+    for whole in batches:
+        column = whole.column(whole.schema.names.index(text))
+        for batch in _slices(whole, column):
+            coded = [coder.encode(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(coded), np.int32))
+            yield _appended(batch, ids, pa.ListArray.from_arrays(pa.array(ends), values))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
+    coder = pieces(path)
+    for batch in batches:
+        column = batch.column(batch.schema.names.index(ids))
+        if column.null_count:
+            column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
+        ends = column.offsets.to_numpy()
+        values = column.values.to_numpy()
+        texts = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
+        yield _appended(batch, text, pa.array(texts, pa.string()))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with ``ids``, the encoding of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(path)
-        for whole in batches:
-            column = whole.column(whole.schema.names.index(text))
-            for batch in _slices(whole, column):
-                coded = [coder.encode(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-                yield _appended(batch, ids, pa.ListArray.from_arrays(pa.array(ends), values))
+        return _encoded(batches, path, text, ids)
 
     return in_arrow(df, run, _schema(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -279,14 +296,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     """``df`` with ``text``, the decoding of each list of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(path)
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            if column.null_count:
-                column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy()
-            texts = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
-            yield _appended(batch, text, pa.array(texts, pa.string()))
+        return _decoded(batches, path, ids, text)
 
     return in_arrow(df, run, _schema(df, text, T.StringType()))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, as ``encode`` and ``decode`` after it. One worker does
+    both, so that a task needs one process, and one set of tables, instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, path, text, ids), path, ids, decoded)
+
+    coded = _schema(df, ids, T.ArrayType(T.IntegerType()))
+    return in_arrow(df, run, T.StructType([f for f in coded.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())]))

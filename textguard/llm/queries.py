@@ -29,7 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, and what they decode to, as digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), model).drop("text"), model)
+    docs = pieces.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return docs.select(
         "doc_id",
