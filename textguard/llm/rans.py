@@ -54,37 +54,31 @@ def encode(symbols: np.ndarray, freq: np.ndarray) -> list[tuple[bytes, np.ndarra
     blocks = -(-n // BLOCK)
     full = np.full(blocks * BLOCK, int(np.argmax(freq)), np.int64)
     full[:n] = symbols
-    steps = full.reshape(blocks, BLOCK // LANES, LANES)
+    # Steps first, so that a step lies together.
+    steps = np.ascontiguousarray(full.reshape(blocks, BLOCK // LANES, LANES).transpose(1, 0, 2))
     f, c = _tables(freq)
+    limit, rest = f << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - f
     state = np.full((blocks, LANES), _LOW, np.uint64)
-    limit = np.uint64(63 - SCALE)
-    words, owners = [], []
-    written = np.zeros(blocks, np.int64)
+    over, low = np.zeros(steps.shape, bool), np.zeros(steps.shape, np.uint32)
     states = np.zeros((blocks, BLOCK // SEGMENT, LANES), np.uint64)
-    places = np.zeros((blocks, BLOCK // SEGMENT), np.int64)
     for t in range(BLOCK // LANES - 1, -1, -1):
-        s = steps[:, t]
-        fs = f[s]
-        over = state >= fs << limit
-        if over.any():
-            # Read backwards later: so lanes are written from the last to the first.
-            row, lane = np.nonzero(over[:, ::-1])
-            lane = LANES - 1 - lane
-            words.append((state[row, lane] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            owners.append(row)
-            written += over.sum(axis=1)
-            state = np.where(over, state >> np.uint64(32), state)
-        state = (state // fs << np.uint64(SCALE)) + state % fs + c[s]
+        s = steps[t]
+        np.greater_equal(state, limit[s], out=over[t])
+        low[t] = state  # its low half
+        state = np.where(over[t], state >> np.uint64(32), state)
+        # state // f << SCALE, plus state % f, plus c
+        state = state + state // f[s] * rest[s] + c[s]
         if t % _STEPS == 0:
             states[:, t // _STEPS] = state
-            places[:, t // _STEPS] = written
-    word = np.concatenate(words) if words else np.zeros(0, np.uint32)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    by_block = np.split(word[np.argsort(owner, kind="stable")], np.cumsum(written)[:-1]) if blocks else []
+    # Written from the last step and lane to the first, so read in the order of the symbols.
+    over = np.ascontiguousarray(over.transpose(1, 0, 2))
+    word = low.transpose(1, 0, 2)[over].astype("<u4")
+    written = np.count_nonzero(over.reshape(blocks, BLOCK // SEGMENT, SEGMENT), axis=2)
+    places = np.cumsum(written, axis=1) - written
+    by_block = np.split(word, np.cumsum(written.sum(axis=1))[:-1]) if blocks else []
     out = []
     for b in range(blocks):
-        stream = by_block[b][::-1].astype("<u4").tobytes()
-        ends = written[b] - places[b]
+        stream, ends = by_block[b].tobytes(), places[b]
         crc = zlib.crc32(ends.astype("<i8").tobytes(), zlib.crc32(states[b].astype("<u8").tobytes(), zlib.crc32(stream)))
         out.append((stream, states[b], ends, crc))
     return out
@@ -109,11 +103,14 @@ def decode(blocks: list[tuple[bytes, np.ndarray, np.ndarray, int]], freq: np.nda
     low = np.uint64((1 << SCALE) - 1)
     for t in range(_STEPS):
         r = state & low
-        s = slot[r.astype(np.int64)]
+        s = slot[r.view(np.int64)]
         out[:, t] = s
         state = f[s] * (state >> np.uint64(SCALE)) + r - c[s]
         under = state < _LOW
-        order = np.cumsum(under, axis=1)
-        state = np.where(under, state << np.uint64(32) | word[np.minimum(at[:, None] + order - 1, len(word) - 1)], state)
-        at = at + order[:, -1]
+        lanes = np.flatnonzero(under)
+        read = np.count_nonzero(under, axis=1)
+        ahead = np.cumsum(read) - read
+        flat = state.reshape(-1)
+        flat[lanes] = flat[lanes] << np.uint64(32) | word[np.repeat(at - ahead, read) + np.arange(len(lanes))]
+        at = at + read
     return out.reshape(-1)[:n]

@@ -7,10 +7,11 @@ the ids and lengths of its documents, one frequency table, and independent block
 interleaved ANS states over that table, each with check points and a checksum
 (``rans``). Positions in the whole stream follow from one sum per task.
 
-The library's results are kept per word in a bounded table of the worker: white space
-always ends a word, so only words that are not in the table are handed to it; very long
-ones are not kept. Texts for which that is not certain (special tokens, letters beyond
-Latin) go to it whole.
+The library's results are kept per word in a bounded table of the worker: the texts of a
+batch are taken apart as one array of bytes, by the classes of neighbouring bytes, and only
+words that are not in the table are handed to the library; very long ones are not kept.
+Stretches between white space with signs for which that is not certain count as one word,
+and texts with special tokens or letters beyond Latin go to the library whole.
 
 Defined cases: a null or empty text has the end id alone. Documents with a null id come
 first; rows that repeat an id follow each other by a hash of their text, and may lie in
@@ -23,7 +24,6 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from textguard.llm import rans
 from textguard.llm.store import in_arrow
@@ -41,17 +41,31 @@ from textguard.llm.store import in_arrow
 END = 1
 #: Ids after which a group is closed, at the end of a document.
 GROUP = 2_000_000
-#: Words whose ids a worker keeps, none longer than ``LONG``; the table starts anew when it is full.
+#: Words whose ids a worker keeps, none longer than ``LONG``; a full table starts anew with those of the texts at hand.
 KEPT = 600_000
 LONG = 64
 _SLICE = 8_000_000
 #: Texts of these characters are the same to Python and to the library in all that
 #: matters here: normal form, lower case, white space, letters and numbers.
 _PLAIN = re.compile("[\t-\r -~ -įı-ž]*")
-_SIMPLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
-#: Texts and parts of texts that ``_SIMPLE`` takes apart as the library does.
+#: Words that the library takes for one if no space stands within them.
 _SIMPLE_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+#: Class of each byte of a plain text in lower case. Bytes beyond ASCII are letters, but for
+#: the stretches that ``_ODD`` finds.
+_CLASS = np.full(256, _LETTER, np.uint8)
+_CLASS[:128] = _SIGN
+_CLASS[[*range(9, 14), 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[97:123] = _LETTER
+#: First bytes of the signs and letters that ``_SIMPLE_TEXT`` lacks, and second bytes of ``×`` and ``÷``.
+_ODD, _ODD_NEXT = np.zeros(256, bool), np.zeros(256, bool)
+_ODD[[0xC2, 0xC4, 0xC5]] = _ODD_NEXT[[0x97, 0xB7]] = True
+#: Letters that make a word with the apostrophe before them.
+_ONE, _TWO = np.zeros(256, bool), [tuple(x) for x in (b"re", b"ve", b"ll")]
+_ONE[list(b"stmd")] = True
+
 _NONE = np.zeros(0, "<u4")
 
 SCHEMA = (
@@ -70,6 +84,12 @@ class Words:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        # The same model for words that are in lower case and apart already. It is given the
+        # library's signs for bytes: ASCII as it is, two signs for a letter of Latin-1.
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = [(c, level.pre_tokenize_str(c)[0][0]) for c in map(chr, range(0xDF, 0x100))]
         self.word: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -79,7 +99,11 @@ class Words:
         """Asks the library for new words, many at once."""
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            got = self.library.encode(" ".join(some), add_special_tokens=False)
+            text = " ".join(some)
+            if not text.isascii():
+                for letter, sign in self.signs:
+                    text = text.replace(letter, sign)
+            got = self.bare.encode(text, add_special_tokens=False)
             owner, ids = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
             if len(owner) == 0 or owner[-1] != len(some) - 1:
                 self.word.update((w, self._whole(w)) for w in some)
@@ -87,45 +111,72 @@ class Words:
             ends = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
             self.word.update((w, ids[a:b]) for w, a, b in zip(some, ends, ends[1:]))
 
-    def _of_units(self, units: list[str]) -> list[bytes]:
-        """Ids of different units, which stand between white space and have no capitals."""
-        if _SIMPLE_TEXT.fullmatch("\n".join(units)):
-            parts = list(map(_SIMPLE.findall, units))
-        else:
-            parts = [_SIMPLE.findall(u) if _SIMPLE_TEXT.fullmatch(u) else [u] for u in units]
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
         if len(self.word) > KEPT:
-            self.word.clear()
-        new = set(chain.from_iterable(parts)) - self.word.keys()
-        self._learn([w for w in new if _SIMPLE_TEXT.fullmatch(w)])
-        self.word.update((w, self._whole(w)) for w in new - self.word.keys())
-        of = self.word.__getitem__
-        out = [b"".join(map(of, p)) for p in parts]
-        for w in new:
-            if len(w) > LONG:
-                del self.word[w]
+            self.word = {w: self.word[w] for w in words if w in self.word}
+        out = list(map(self.word.get, words))
+        at = [i for i, x in enumerate(out) if x is None]
+        new = [words[i] for i in at]
+        if _SIMPLE_TEXT.fullmatch("".join(new)):
+            self._learn(new)
+        else:
+            self._learn([w for w in new if _SIMPLE_TEXT.fullmatch(w)])
+            self.word.update((w, self._whole(w)) for w in new if w not in self.word)
+        for i, w in zip(at, new):
+            out[i] = self.word[w] if len(w) <= LONG else self.word.pop(w)
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as 32-bit integers."""
         plain = [i for i, t in enumerate(texts) if t and "<|" not in t and _PLAIN.fullmatch(t)]
         out = [_NONE if not t else None for t in texts]
-        # The units of all plain texts as numbers, and each different unit once.
-        split = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
-        ends = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        ids = self._of_units(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        unit = coded.indices.to_numpy()
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        first = np.cumsum(size) - size
-        n = size[unit]
-        after = np.cumsum(n)
-        stream = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[unit] - (after - n), n) + np.arange(n.sum())]
-        at = np.concatenate([[0], after])[ends]
+        # The words of all plain texts as numbers, and each different word once.
+        lower = [texts[i].lower().encode() for i in plain]
+        data = np.frombuffer(b"\n".join([*lower, b"", b""]), np.uint8)
+        starts = _starts(data)
+        held = data > 32  # white space is all that a plain text has below
+        offsets = np.append(np.flatnonzero(starts[held]), np.count_nonzero(held))
+        apart = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data[held]))
+        coded = apart.dictionary_encode()
+        ids = pa.array(self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
+        stream = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        heads = np.cumsum([0] + [len(x) + 1 for x in lower])
+        at = ends[np.searchsorted(np.flatnonzero(starts), heads)]
         for i, a, b in zip(plain, at, at[1:]):
             out[i] = stream[a:b]
         return [np.frombuffer(self._whole(t), "<u4") if x is None else x for x, t in zip(out, texts)]
 
 
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Which bytes of plain texts in lower case start a word: letters and signs up to the next of
+    another class, digits one by one, endings with their apostrophe. Line ends follow each text."""
+    kind = _CLASS[data]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    starts = ((kind != before) | (kind == _DIGIT)) & (kind != _SPACE)
+    mark = np.flatnonzero((data == ord("'")) & starts)
+    one, two = data[np.minimum(mark + 1, len(data) - 1)], data[np.minimum(mark + 2, len(data) - 1)]
+    longer = np.logical_or.reduce([(one == a) & (two == b) for a, b in _TWO])
+    for size, some in ((2, mark[_ONE[one]]), (3, mark[longer])):
+        starts[some + 1] = False
+        starts[some + size] |= kind[some + size] != _SPACE
+    odd = np.flatnonzero(_ODD[data])
+    cross = np.flatnonzero(data == 0xC3)
+    odd = np.concatenate([odd, cross[_ODD_NEXT[data[np.minimum(cross + 1, len(data) - 1)]]]])
+    if len(odd):
+        # From the white space before to that behind: no start but the first.
+        space = np.flatnonzero(kind == _SPACE)
+        behind = np.unique(np.searchsorted(space, odd))
+        inside = np.zeros(len(data) + 1, np.int8)
+        first = np.where(behind > 0, space[behind - 1] + 1, 0)
+        inside[first] += 1
+        inside[space[behind]] -= 1
+        starts &= np.cumsum(inside[:-1], dtype=np.int8) == 0
+        starts[first] = True
+    return starts
+
+
 @functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
     return Words(path)
